@@ -27,7 +27,8 @@ WORD = "([a-z0-9_]+)"
 HASHES = 64  # MinHash values of a class, a byte each
 STEP = 8  # compared before each decision
 TOLERANCE = 1e-7
-FREQUENT = 50_000  # words ranked by their number of texts; the rest count as rarest
+BUCKETS = 1 << 22  # of the table that counts how many texts have a word; a word counts as often as its bucket
+SLICE = 1 << 14
 SPLIT = 100_000  # texts with one prefix word beyond which its group is split
 
 
@@ -69,8 +70,30 @@ def signed(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0).mapInArrow(_signed, f"id {kind}, key binary, n int, words array<bigint>, sketch binary")
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], words: np.ndarray, counts: np.ndarray, t: Fraction) -> Iterator[pa.RecordBatch]:
-    """The rarest words of each class, once for each class and partition."""
+def _dense(group: pa.Table) -> pa.Table:
+    """Counts of one slice of buckets, a byte each: eight times the binary logarithm, 0 for none or one."""
+    out = np.zeros(SLICE, np.uint8)
+    at, n = np.asarray(group.column("bucket")) % SLICE, np.asarray(group.column("count"))
+    out[at] = np.minimum(255, np.floor(np.log2(n) * 8))
+    return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+
+
+def word_counts(table: DataFrame) -> np.ndarray:
+    """The byte of each bucket, over all texts: ``BUCKETS`` bytes whatever the input."""
+    bucket = F.pmod(F.col("w"), F.lit(BUCKETS)).cast("int")
+    counts = table.select(F.explode("words").alias("w")).groupBy(bucket.alias("bucket")).count()
+    slices = counts.withColumn("slice", F.floor(F.col("bucket") / SLICE).cast("int")).groupBy("slice").applyInArrow(_dense, "slice int, counts binary").collect()
+    out = np.zeros(BUCKETS, np.uint8)
+    for r in slices:
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) -> Iterator[pa.RecordBatch]:
+    """The rarest words of each class with their place, once for each class and partition.
+
+    A word that no other text has is left out, as it can lead to no pair.
+    """
     seen: set[bytes] = set()
     for batch in batches:
         keys = batch.column("key").to_pylist()
@@ -82,18 +105,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: np.ndarray, counts: np.n
         batch = batch.take(pa.array(fresh, pa.int32()))
         if not batch.num_rows:
             continue
-        lists = batch.column("words")
-        flat, n = np.asarray(lists.flatten()), np.asarray(batch.column("n")).astype(np.int64)
+        flat, n = np.asarray(batch.column("words").flatten()), np.asarray(batch.column("n")).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
-        count = np.where(words[at] == flat, counts[at], 0) if len(words) else np.zeros(len(flat), np.int64)
+        count = counts[flat % BUCKETS]
         order = np.lexsort((flat, count, row))
         place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         length = n - -(-t.numerator * n // t.denominator) + 1
-        chosen = order[place < length[row]]
-        rows = row[chosen]
+        inside = (place < length[row]) & (count[order] > 0)
+        chosen, rows = order[inside], row[inside]
+        parts = (np.exp2(count[chosen] / 8) // SPLIT + 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(flat[chosen], pa.int64()), batch.column("key").take(pa.array(rows)), pa.array(n[rows], pa.int32())], ["token", "key", "n"]
+            [pa.array(flat[chosen], pa.int64()), batch.column("key").take(pa.array(rows)), pa.array(n[rows], pa.int32()), pa.array(place[inside], pa.int32()), pa.array(parts)],
+            ["token", "key", "n", "place", "parts"],
         )
 
 
@@ -124,37 +147,35 @@ def _promising(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[
         yield batch.select(["key_a", "key_b"]).take(pa.array(alive))
 
 
-def similar_classes(table: DataFrame, threshold: float = 0.8, frequent: int = FREQUENT) -> DataFrame:
-    """``key_a, key_b`` of different classes of ``signed`` whose similarity is at least the threshold."""
+def similar_classes(table: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``key_a, key_b`` of different classes of ``signed`` whose similarity is at least the threshold.
+
+    Two similar sets share a word among the rarest of each, in any fixed order of words; at
+    the first such word, what follows in both sets must still suffice for the threshold.
+    """
     t = Fraction(str(threshold))
-    spark = table.sparkSession
-    top = (
-        table.select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1")
-        .orderBy(F.desc("count"), "w").limit(frequent).collect()
-    )  # bounded by ``frequent``
-    rank = sorted((r["w"], r["count"]) for r in top)
-    words = spark.sparkContext.broadcast(np.array([w for w, _ in rank], dtype=np.int64))
-    counts = spark.sparkContext.broadcast(np.array([c for _, c in rank], dtype=np.int64))
-    hot = max([c for _, c in rank], default=0)
+    counted = word_counts(table)
+    hot = 2.0 ** (int(counted.max(initial=0)) / 8) > SPLIT
+    counts = table.sparkSession.sparkContext.broadcast(counted)
     # a class of n words has no partner below threshold n/(n+1)
     tokens = (
         table.where(F.col("n") + 1 >= F.lit(float(1 / (1 - t))) - 1e-9).select("key", "n", "words")
-        .mapInArrow(lambda b: _prefixes(b, words.value, counts.value, t), "token bigint, key binary, n int")
+        .mapInArrow(lambda b: _prefixes(b, counts.value, t), "token bigint, key binary, n int, place int, parts int")
     )
-    parts = int(hot // SPLIT + 1)
-    if parts > 1:
-        common = spark.createDataFrame([(w, c // SPLIT + 1) for w, c in rank if c > SPLIT], "token bigint, parts bigint")
-        spread = tokens.dropDuplicates(["token", "key"]).join(F.broadcast(common), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        left = spread.withColumn("salt", F.pmod(F.xxhash64("key"), "parts"))
-        right = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    if hot:  # words of many texts may lead some prefixes: split their groups
+        spread = tokens.dropDuplicates(["token", "key"])
+        left = spread.withColumn("salt", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+        right = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         on = ["token", "salt"]
     else:
-        left = right = tokens.repartition("token").dropDuplicates(["token", "key"])
+        left = right = tokens.drop("parts").repartition("token").dropDuplicates(["token", "key"])
         on = ["token"]
-    a = left.select(*on, F.col("key").alias("key_a"), F.col("n").alias("n_a"))
-    b = right.select(*on, F.col("key").alias("key_b"), F.col("n").alias("n_b"))
-    fits = (F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator) & (F.col("key_a") < F.col("key_b"))
-    candidates = a.join(b, on).where(fits).select("key_a", "key_b").distinct()
+    a = left.select(*on, F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
+    b = right.select(*on, F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
+    fits = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    enough = reach * (t.numerator + t.denominator) >= (F.col("n_a") + F.col("n_b")) * t.numerator
+    candidates = a.join(b, on).where((F.col("key_a") < F.col("key_b")) & fits & enough).select("key_a", "key_b").distinct()
 
     sketches = table.select("key", "sketch").dropDuplicates(["key"])
     compared = candidates.join(sketches.select(F.col("key").alias("key_a"), F.col("sketch").alias("sketch_a")), "key_a").join(
