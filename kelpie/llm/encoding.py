@@ -38,7 +38,7 @@ def _encode(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
         ends = np.asarray(run.run_ends)
         which = np.repeat(np.arange(len(codes)), np.diff(ends, prepend=0))
         taken = pa.array(codes, pa.list_(pa.int32())).take(pa.array(which))
-        yield pa.RecordBatch.from_arrays([*batch.columns, taken], [*batch.schema.names, "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), taken], ["block", "word", "ids"])
 
 
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -71,11 +71,11 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_char
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
         .withColumn("words", words_of("text"))
     )
-    # the id stays in, so that both readings of the documents share one shuffle
-    lexicon = docs.select("block", "doc_id", F.explode("words").alias("word")).groupBy("block", "word").agg(F.min("doc_id").alias("first_doc"))
+    # the id stays in and the outer explode adds no filter, so that both readings of the documents share one shuffle
+    lexicon = docs.select("block", "doc_id", F.explode_outer("words").alias("word")).groupBy("block", "word").agg(F.min("doc_id").alias("first_doc"))
     coded = (
-        lexicon.repartition("word").sortWithinPartitions("word")
-        .mapInArrow(lambda b: _encode(b, folder), f"block int, word string, first_doc {kind}, ids array<int>")
+        lexicon.where("word IS NOT NULL AND first_doc IS NOT NULL").select("block", "word").repartition("word").sortWithinPartitions("word")
+        .mapInArrow(lambda b: _encode(b, folder), "block int, word string, ids array<int>")
     )
     return (
         docs.select("block", "doc_id", "words").groupBy("block")
