@@ -88,10 +88,10 @@ def is_protected(branch: Column) -> Column:
 
 
 def release_version(branch: Column) -> Column:
-    """``release_12_3`` as the number 12.3, null for other names; 12_18 is 12.18 and so below 12.2."""
-    pattern = r"(?i)^release[_/](\d+)[_./](\d+)$"
-    number = F.concat_ws(".", F.regexp_extract(branch, pattern, 1), F.regexp_extract(branch, pattern, 2))
-    return F.when(branch.rlike(pattern), number).cast("double")
+    """``release_12_3`` as 12.03 and ``release_12`` as 12, null for other names."""
+    two, one = r"(?i)^release[_/](\d+)[_./](\d+)$", r"(?i)^release[_/](\d+)$"
+    of_two = F.regexp_extract(branch, two, 1).try_cast("double") + F.regexp_extract(branch, two, 2).try_cast("double") / 100.0
+    return F.coalesce(of_two, F.regexp_extract(branch, one, 1).try_cast("double"))
 
 
 def working_branch(source: Column, description: Column, prefix: str = "work") -> Column:

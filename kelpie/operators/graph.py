@@ -84,7 +84,7 @@ def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
     ids = nodes.select("id").distinct()
     exact = names.join(ids, names["name"] == ids["id"]).select("name", "id")
     open_names = names.join(exact.select("name"), "name", "left_anti")
-    loose = open_names.join(ids, ids["id"].ilike(F.concat(F.lit("%"), F.col("name"), F.lit("%")))).select("name", "id")
+    loose = open_names.join(ids, F.expr("id ILIKE concat('%', name, '%')")).select("name", "id")
     found = exact.unionByName(loose)
     counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("matches"))
     return found.join(counts, "name")

@@ -108,7 +108,7 @@ def vector_hits(rows: DataFrame, queries: DataFrame, doc: str, vector: str, k: i
     ask = queries.where("v IS NOT NULL").select("query", "v")
     across, down = have.count() // block_rows + 1, ask.count() // block_queries + 1
     left = ask.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(down))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = have.withColumn("rb", F.pmod(F.xxhash64("doc"), F.lit(across)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("bigint"))
+    right = have.withColumn("rb", F.pmod(F.xxhash64("doc"), F.lit(across)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))))
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, doc {rows.schema[doc].dataType.simpleString()}, cosine double"
     near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_nearest(k), kinds)
     scored = near.withColumn("relevance", F.round(F.greatest(F.lit(0.0), F.col("cosine")), 4)).drop("cosine")

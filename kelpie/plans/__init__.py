@@ -3,5 +3,7 @@
 
 def all_sets() -> list:
     from kelpie.plans.core_queries import CORE
+    from kelpie.plans.graph_queries import GRAPH
+    from kelpie.plans.retrieval_queries import RETRIEVAL
 
-    return [CORE]
+    return [CORE, RETRIEVAL, GRAPH]
