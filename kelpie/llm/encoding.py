@@ -68,7 +68,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_char
     docs = (
         df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+        .repartition(max(int(blocks), int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
         .withColumn("words", words_of("text"))
     )
     # the id stays in and the outer explode adds no filter, so that both readings of the documents share one shuffle
