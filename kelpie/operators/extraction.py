@@ -22,10 +22,17 @@ def _edges(files: DataFrame, found: Column, kind: str, source: Column | None = N
     return targets.select((F.col("file") if source is None else source).alias("source"), "target", F.lit(kind).alias("edge_type"), "file", "repo", "branch")
 
 
-def pipeline_edges(files: DataFrame) -> DataFrame:
-    """References of pipelines to templates, services and infrastructure."""
-    kinds = [("templateRef", "CALLS_TEMPLATE"), ("serviceRef", "USES_SERVICE"), ("infraRef", "TARGETS_INFRA")]
-    pairs = F.flatten(F.array(*[F.transform(every("text", rf"{word}:\s*[\"']?(\S+)[\"']?"), lambda t, k=kind: F.struct(t.alias("target"), F.lit(k).alias("edge_type"))) for word, kind in kinds]))
+#: Words that refer to templates, services and infrastructure.
+REFERENCES = {"templateRef": "CALLS_TEMPLATE", "serviceRef": "USES_SERVICE", "infraRef": "TARGETS_INFRA"}
+
+
+def pipeline_edges(files: DataFrame, words: dict[str, str] = REFERENCES) -> DataFrame:
+    """An edge for each value after one of the words, of the word's type; every occurrence counts."""
+
+    def told(word: str, kind: str) -> Column:
+        return F.transform(every("text", rf"\b{word}:\s*[\"']?(\S+)[\"']?"), lambda t: F.struct(t.alias("target"), F.lit(kind).alias("edge_type")))
+
+    pairs = F.flatten(F.array(*[told(word, kind) for word, kind in words.items()]))
     return files.select("*", F.explode(pairs).alias("e")).select(F.col("file").alias("source"), "e.target", "e.edge_type", "file", "repo", "branch")
 
 
@@ -33,7 +40,7 @@ def terraform_edges(files: DataFrame, vault: str = "azurerm_key_vault_secret", c
     """Secrets made and read by Terraform, and depends_on; a block ends at the first brace that begins a line."""
 
     def blocks(head: str, kind: str) -> DataFrame:
-        pattern = rf'(?s){head}\s+"{kind}"\s+"(\w+)"\s*\{{(.*?)\n\}}'
+        pattern = rf'(?s){head}\s+"{kind}"\s+"([\w-]+)"\s*\{{(.*?)\n\}}'
         zipped = F.arrays_zip(every("text", pattern, 1).alias("name"), every("text", pattern, 2).alias("body"))
         return files.where(F.contains("text", F.lit(kind))).select("file", "repo", "branch", F.explode(zipped).alias("b")).select("file", "repo", "branch", F.col("b.name").alias("name"), F.col("b.body").alias("body"))
 
@@ -56,8 +63,8 @@ def terraform_edges(files: DataFrame, vault: str = "azurerm_key_vault_secret", c
 
 
 def mount_edges(files: DataFrame) -> DataFrame:
-    """Cluster secrets mounted by templates."""
-    names = F.transform(every("text", r"secretKeyRef:\s*\n\s+name:\s*[\"']?([^\"'\n]+)[\"']?"), lambda n: F.concat(F.lit("k8s_secret:"), F.trim(n)))
+    """Cluster secrets mounted by templates, in block or flow form."""
+    names = F.transform(every("text", r"secretKeyRef:\s*(?:\n\s+|\{\s*)name:\s*[\"']?([^\"'\n,}]+)[\"']?"), lambda n: F.concat(F.lit("k8s_secret:"), F.trim(n)))
     return _edges(files, names, "MOUNTS_SECRET")
 
 
@@ -114,7 +121,7 @@ def declared(files: DataFrame) -> DataFrame:
     return one.select("file", "repo", "branch", F.col("d.kind").alias("kind"), F.when(pair, F.col("d.a")).alias("type"), F.when(pair, F.col("d.b")).otherwise(F.col("d.a")).alias("name"))
 
 
-def services(files: DataFrame) -> DataFrame:
+def services(files: DataFrame, word: str = "serviceRef") -> DataFrame:
     """Distinct services: from service definitions, charts and references of pipelines, with the number of sources."""
     from kelpie.functions.names import file_class, service_name
 
@@ -122,6 +129,6 @@ def services(files: DataFrame) -> DataFrame:
     identifier, label = F.regexp_extract("text", r"identifier:\s*[\"']?([^\s\"']+)", 1), F.regexp_extract("text", r"(?m)^name:\s*[\"']?([^\"'\n]+)", 1)
     own = kind.where("class = 'harness_svc'").select(F.when(identifier == "", stem(F.col("file"))).otherwise(identifier).alias("display"), F.lit("definition").alias("source"), "file", "repo")
     charts = kind.where("class = 'helm_chart'").select(F.when(label == "", parent_name(F.col("file"))).otherwise(label).alias("display"), F.lit("chart").alias("source"), "file", "repo")
-    refs = files.select(F.explode(F.array_distinct(every("text", r"serviceRef:\s*[\"']?([^\s\"']+)"))).alias("display"), F.lit("pipeline_ref").alias("source"), "file", "repo").where(~F.col("display").rlike(r"^[<$]"))
+    refs = files.select(F.explode(F.array_distinct(every("text", rf"\b{word}:\s*[\"']?([^\s\"']+)"))).alias("display"), F.lit("pipeline_ref").alias("source"), "file", "repo").where(~F.col("display").rlike(r"^[<$]"))
     found = own.unionByName(charts).unionByName(refs).distinct().withColumn("name", service_name(F.col("display")))
     return found.groupBy("name").agg(F.min("display").alias("display_name"), F.count(F.lit(1)).alias("sources"), F.countDistinct("repo").alias("repos"))

@@ -45,6 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when Python exits."""
+    path = f"{shared_dir(spark)}/kelpie/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -52,11 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     table keeps column pruning and filter pushdown. Deleted when Python exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kelpie/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
