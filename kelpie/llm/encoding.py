@@ -72,9 +72,9 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_char
         .withColumn("words", words_of("text"))
     )
     # the id stays in and the outer explode adds no filter, so that both readings of the documents share one shuffle
-    lexicon = docs.select("block", "doc_id", F.explode_outer("words").alias("word")).groupBy("block", "word").agg(F.min("doc_id").alias("first_doc"))
+    lexicon = docs.select("block", "doc_id", F.explode_outer("words").alias("word")).groupBy("block", "word").agg(F.count("doc_id").alias("uses"))
     coded = (
-        lexicon.where("word IS NOT NULL AND first_doc IS NOT NULL").select("block", "word").repartition("word").sortWithinPartitions("word")
+        lexicon.where("word IS NOT NULL AND uses >= 0").select("block", "word").repartition("word").sortWithinPartitions("word")
         .mapInArrow(lambda b: _encode(b, folder), "block int, word string, ids array<int>")
     )
     return (

@@ -109,6 +109,6 @@ def mix(df: DataFrame, targets: DataFrame, total: int | None = None, seed: int =
     shares = (
         wanted.select("source", "target_share", "repeat_cap", F.col("available").alias("available_tokens"), F.col("budget").alias("budget_tokens"))
         .join(used, "source", "left").fillna(0, ["documents", "used_tokens", "most_uses"])
-        .withColumn("actual_share", F.col("used_tokens") / F.sum("used_tokens").over(everything))
+        .withColumn("actual_share", F.coalesce(F.try_divide("used_tokens", F.sum("used_tokens").over(everything)), F.lit(0.0)))
     )
     return selection, shares
