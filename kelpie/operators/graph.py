@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,23 +141,23 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def secret_flow(edges: DataFrame) -> DataFrame:
-    """Chains from the file that makes a secret over the reading data source and cluster secret to the mounting file.
+    """``secret, stage, name``: the files that make a secret, the data sources that read it, the
+    cluster secrets made of those, their files, and the files that mount them.
 
-    One row for each distinct chain; a missing later part is null.
+    Each (secret, stage, name) once: the stages of a secret are listed, not multiplied.
     """
 
-    def of(kind: str, prefix: str | None = None, end: str = "target") -> DataFrame:
-        rows = edges.where(F.col("edge_type") == kind)
-        return rows.where(F.startswith(end, F.lit(prefix))) if prefix else rows
-
-    made = of("CREATES_KV_SECRET", "kv_secret:").select(F.col("target").alias("secret"), F.col("source").alias("kv_file")).distinct()
-    data = of("READS_KV_SECRET", "kv_secret:").select(F.col("target").alias("secret"), F.col("source").alias("reader")).distinct()
-    held = of("READS_KV_SECRET", "kv_data:").select(F.col("target").alias("reader"), F.col("source").alias("k8s")).distinct()
-    mounts = of("MOUNTS_SECRET", "k8s_secret:").select(F.col("target").alias("k8s_secret"), F.col("source").alias("mount_file")).distinct()
-    created = of("CREATES_K8S_SECRET", "k8s_secret:").select(F.col("target").alias("k8s_secret"), F.col("source").alias("k8s_file")).distinct()
-    chain = made.join(data, "secret", "left").join(held, "reader", "left")
-    chain = chain.withColumn("k8s_secret", F.coalesce("k8s", F.when(F.startswith("reader", F.lit("k8s_secret:")), F.col("reader"))))
-    return (
-        chain.join(created, "k8s_secret", "left").join(mounts, "k8s_secret", "left")
-        .select("secret", "kv_file", F.col("reader").alias("kv_data"), "k8s_secret", "k8s_file", "mount_file").distinct()
-    )
+    def ends(kind: str, prefix: str, target: str, source: str) -> DataFrame:
+        rows = edges.where((F.col("edge_type") == kind) & F.startswith("target", F.lit(prefix)))
+        return rows.select(F.col("target").alias(target), F.col("source").alias(source)).distinct()
+
+    made = ends("CREATES_KV_SECRET", "kv_secret:", "secret", "name")
+    read = ends("READS_KV_SECRET", "kv_secret:", "secret", "name").join(made.select("secret").distinct(), "secret", "left_semi")
+    held = ends("READS_KV_SECRET", "kv_data:", "reader", "name")
+    direct = read.where(F.startswith("name", F.lit("k8s_secret:")))
+    cluster = read.select("secret", F.col("name").alias("reader")).join(held, "reader").select("secret", "name").unionByName(direct).distinct()
+    upward = cluster.select("secret", F.col("name").alias("k8s"))
+    created = upward.join(ends("CREATES_K8S_SECRET", "k8s_secret:", "k8s", "name"), "k8s").select("secret", "name").distinct()
+    mounted = upward.join(ends("MOUNTS_SECRET", "k8s_secret:", "k8s", "name"), "k8s").select("secret", "name").distinct()
+    stages = [("kv_file", made), ("kv_data", read), ("k8s_secret", cluster), ("k8s_file", created), ("mount_file", mounted)]
+    return reduce(DataFrame.unionByName, [rows.select("secret", F.lit(stage).alias("stage"), "name") for stage, rows in stages])

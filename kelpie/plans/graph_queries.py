@@ -133,8 +133,10 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     held AS (SELECT target AS reader, source AS k8s FROM e WHERE edge_type = 'READS_KV_SECRET' AND starts_with(target, 'kv_data:')),
     mounts AS (SELECT target AS k8s_secret, source AS mount_file FROM e WHERE edge_type = 'MOUNTS_SECRET' AND starts_with(target, 'k8s_secret:')),
     created AS (SELECT target AS k8s_secret, source AS k8s_file FROM e WHERE edge_type = 'CREATES_K8S_SECRET' AND starts_with(target, 'k8s_secret:')),
-    chain AS (SELECT m.secret, m.kv_file, d.reader, coalesce(h.k8s, CASE WHEN starts_with(d.reader, 'k8s_secret:') THEN d.reader END) AS k8s_secret FROM made m LEFT JOIN data d ON d.secret = m.secret LEFT JOIN held h ON h.reader = d.reader)
-    SELECT DISTINCT c.secret, c.kv_file, c.reader AS kv_data, c.k8s_secret, r.k8s_file, t.mount_file FROM chain c LEFT JOIN created r ON r.k8s_secret = c.k8s_secret LEFT JOIN mounts t ON t.k8s_secret = c.k8s_secret""",
+    seen AS (SELECT * FROM data WHERE secret IN (SELECT secret FROM made)),
+    cluster AS (SELECT s.secret, h.k8s FROM seen s JOIN held h ON h.reader = s.reader UNION SELECT secret, reader FROM seen WHERE starts_with(reader, 'k8s_secret:'))
+    SELECT DISTINCT secret, 'kv_file' AS stage, kv_file AS name FROM made UNION ALL SELECT DISTINCT secret, 'kv_data', reader FROM seen UNION ALL SELECT secret, 'k8s_secret', k8s FROM cluster UNION ALL
+    SELECT DISTINCT c.secret, 'k8s_file', r.k8s_file FROM cluster c JOIN created r ON r.k8s_secret = c.k8s UNION ALL SELECT DISTINCT c.secret, 'mount_file', m.mount_file FROM cluster c JOIN mounts m ON m.k8s_secret = c.k8s""",
 )
 def secret_flow(spark: SparkSession, d: str) -> DataFrame:
     return G.secret_flow(_edges(spark, d))
