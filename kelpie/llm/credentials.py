@@ -155,7 +155,7 @@ class Finder:
             for m in rule.finditer(line):
                 value = m["val"].rstrip(".:")
                 ticked = rule is _PROSE and m["tick"]
-                if _plain(value) and (ticked or not re.search(r"^https?:|[/=<>{}]{2}|^--|[(\[{]|^[\w.]+=", value)) and self.unnatural(value) and not re.search(r"\s", value):
+                if _plain(value) and (ticked or not re.search(r"^https?:|[/=<>{}]{2}|^--|[(\[{]", value) and not ("=" in value and _holds_secret(value.split("=")[0]))) and self.unnatural(value) and not re.search(r"\s", value):
                     if rule is _PROSE and _ASSIGN.match(line, m.start()) and not _holds_secret(_ASSIGN.match(line, m.start())["key"]):
                         continue
                     if rule is not _NETRC and value.islower() and value.isalpha() and not re.search(r"(?i)[:：=`]\s*[`\"']?$|\b(?:is|pw|pwd)\s+[`\"']?$|/\s*$", line[: m.start("val")]):

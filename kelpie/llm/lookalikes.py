@@ -19,7 +19,7 @@ _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳϹͿ", "ABEZHIKMNOPTYXvoc
 _CYRILLIC = dict(zip("ЅІЈАВЕКМНОРСТХаеорсухѕіјһӀԁԌԛԜԝҮ", "SIJABEKMHOPCTXaeopcyxsijhIdGqWwY"))
 _LETTERS = {"ɑ": "a", "ɡ": "g", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
 _ARMENIAN = {"Ս": "U", "Օ": "O", "հ": "h", "ո": "n", "ս": "u", "օ": "o"}
-_MARKS = {"‐": "-", "‑": "-"}
+_MARKS = {"µ": "μ", "‐": "-", "‑": "-", "‥": "..", "…": "..."}
 PROTOTYPES = _GREEK | _CYRILLIC | _LETTERS | _ARMENIAN | _MARKS
 
 # Characters that are displayed as nothing beyond the format class of Unicode.

@@ -206,7 +206,7 @@ def test_mixing_nothing(spark):
 
 
 def test_one_form_for_one_look(spark):
-    same = [("café ﬁx", "café fix"), ("pay", "рау"), ("A B", "Ａ Ｂ"), ("ab", "a​b﻿"), ("ガ", "ｶﾞ"), ("a-b", "a‑b"), ("scope", "ѕсоре"), ("K", "K")]
+    same = [("café ﬁx", "café fix"), ("pay", "рау"), ("A B", "Ａ Ｂ"), ("ab", "a​b﻿"), ("ガ", "ｶﾞ"), ("a-b", "a‑b"), ("scope", "ѕсоре"), ("wait...", "wait…"), ("5 μs", "5 µs"), ("K", "K")]
     other = [("a", "A"), ("e", "é"), ("3", "³"), ("a.", "a"), ("a b", "a  b"), ("rn", "m"), ("1", "l"), ("a\tb", "a b"), ("½", "1/2"), ("ß", "ss")]
     assert all(L.skeleton(a) == L.skeleton(b) for a, b in same) and all(L.skeleton(a) != L.skeleton(b) for a, b in other)
 
