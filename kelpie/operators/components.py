@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.operators.skew import split_join
 from kelpie.session import materialize, release
 
 
@@ -19,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(pairs.union(pairs.select("y", "x")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
     while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("low"))
+        near = split_join(both, labels.withColumnRenamed("node", "y"), ["y"], ["x"]).groupBy("x").agg(F.min("component").alias("low"))
         # the node that lent the label hears of the smaller one, too
         hooked = labels.join(near, labels["node"] == near["x"]).select("node", "component", F.least("low", "component").alias("low"))
         told = hooked.select(F.col("component").alias("node"), F.col("low").alias("component")).unionByName(hooked.select("node", F.col("low").alias("component")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.names import node_kind, risk
 from kelpie.functions.text import fuzzy_match
+from kelpie.operators.skew import split_join
 from kelpie.session import materialize, release
 
 _COLUMNS = ["source", "target", "edge_type", "file", "repo", "branch"]
@@ -42,7 +43,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str
     visited = materialize(seeds.where("seed IS NOT NULL").select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct(), "visited")
     for level in range(depth):
         frontier = visited.where(F.col("hops") == level)
-        fresh = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct().join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
+        fresh = split_join(steps, frontier, ["node"], ["next"]).select("seed", F.col("next").alias("node")).distinct().join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
         following = materialize(visited.unionByName(fresh.withColumn("hops", F.lit(level + 1))), "visited")
         grew = not following.where(F.col("hops") == level + 1).isEmpty()
         release(visited)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.operators.skew import split_join
 from kelpie.session import materialize, release
 
 _LINK = "kind string, node string, up string, hops int, path array<string>"
@@ -82,7 +83,7 @@ def hierarchy(parents: DataFrame, paths: bool = False) -> DataFrame:
     finished = [materialize(done, "roots")]
     while True:
         ends = finished[0].select("kind", F.col("node").alias("up"), F.lit(True).alias("is_root"))
-        flagged = state.join(ends, ["kind", "up"], "left")
+        flagged = split_join(state, ends, ["kind", "up"], ["node"], "left")
         complete = flagged.where("is_root").select(
             "kind", "node", F.col("up").alias("root"), F.col("hops").alias("depth"),
             F.reverse(F.concat(F.array("node"), "path")).alias("path"),
@@ -91,20 +92,21 @@ def hierarchy(parents: DataFrame, paths: bool = False) -> DataFrame:
         if complete.isEmpty():
             break
         finished.append(complete)
-        rest = flagged.where("is_root IS NULL").drop("is_root")
+        rest = materialize(flagged.where("is_root IS NULL").drop("is_root"), "unplaced")
         far = rest.select("kind", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("path").alias("path2"))
         # a pointer may rest on a node placed in this round or an earlier one
         placed = reduce(DataFrame.unionByName, finished[1:]).select(
             "kind", F.col("node").alias("up"), F.col("root").alias("up2"), F.col("depth").alias("hops2"),
             F.expr("slice(reverse(path), 2, size(path))").alias("path2"),
         )
-        step = rest.join(far.unionByName(placed), ["kind", "up"], "left").select(
+        step = split_join(rest, far.unionByName(placed), ["kind", "up"], ["node"], "left").select(
             "kind", "node", F.coalesce("up2", "up").alias("up"),
             (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"),
             F.concat("path", F.coalesce("path2", F.array().cast("array<string>"))).alias("path"),
         )
         following = materialize(step, "forest")
         release(state)
+        release(rest)
         state = following
     tree = finished[0]
     for part in finished[1:]:
@@ -136,7 +138,7 @@ def _cycles(rest: DataFrame) -> DataFrame:
             total = lows
         size = image
         other = jump.select("kind", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        following = materialize(jump.join(other, ["kind", "to"]).select("kind", "node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jump")
+        following = materialize(split_join(jump, other, ["kind", "to"], ["node"]).select("kind", "node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jump")
         release(jump)
         jump = following
     lowest = jump.join(on, ["kind", "node"], "left_semi").select("kind", F.col("node").alias("to"), F.col("low").alias("root"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import terms
+from kelpie.operators.skew import hot_keys, replicated, salted, split_join
+from kelpie.session import materialize
 
 
 def top(df: DataFrame, per: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -35,15 +37,17 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: Column, k1: float
     of all of ``docs``, documents without terms included. Only terms of queries travel:
     postings meet the queries' distinct terms before anything else is joined.
     """
-    measured = docs.select(F.size(terms(text)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
-    n, mean = float(measured["n"]), float(measured["mean"] or 1.0) or 1.0
+    index = materialize(postings(docs, doc, text), "postings")
+    n = float(docs.count())
+    mean = float(index.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
     asked = queries.select("query", F.explode(terms(F.col("q"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(docs, doc, text).join(asked.select("term").distinct(), "term", "left_semi")
+    found = materialize(index.join(asked.select("term").distinct(), "term", "left_semi"), "found")
     weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(F.lit(n + 1) / F.col("df")).alias("idf"))
-    part = F.col("idf") * (delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / mean) + F.col("tf")))
+    part = F.col("idf") * (delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / (mean or 1.0)) + F.col("tf")))
+    weighed = asked.join(weights, "term")
     return (
-        found.join(weights, "term").select("doc", "term", part.alias("part")).join(asked, "term")
-        .groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+        split_join(found, weighed, ["term"], ["doc"]).select("query", "doc", (part * F.col("qtf")).alias("part"))
+        .groupBy("query", "doc").agg(F.sum("part").alias("score"))
     )
 
 
@@ -66,7 +70,8 @@ def overlap_hits(docs: DataFrame, queries: DataFrame, doc: str, text: Column, k:
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("q")))).alias("term"))
     sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
     held = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(terms(text))).alias("term"))
-    shares = held.join(asked, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("common")).join(sizes, "query")
+    hot = hot_keys(held, "term")
+    shares = salted(held, hot, "term", "doc").join(replicated(asked, hot, "term"), ["term", "salt"]).groupBy("query", "doc").agg(F.count(F.lit(1)).alias("common")).join(sizes, "query")
     scored = shares.select("query", "doc", F.round(F.col("common") / F.col("size"), 4).alias("score"))
     return top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
 

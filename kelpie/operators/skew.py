@@ -7,37 +7,54 @@ from pyspark.sql import functions as F
 
 #: No more keys than this are ever treated as hot, so the table of them can be broadcast.
 MAX_HOT_KEYS = 10_000
+#: Rows of one key beyond which its group is split.
+SPLIT_ROWS = 250_000
 
 
-def hot_keys(df: DataFrame, key: str, split_rows: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: str | list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Keys with more than ``split_rows`` rows and the number of parts to split each into.
 
     Counts combine before the shuffle. At most ``MAX_HOT_KEYS`` rows come out (the
     largest), which bounds what is broadcast; a key beyond them has fewer rows than each
-    of those and stays whole. A null key is never hot. Columns: ``key``, ``parts``.
+    of those and stays whole. A null key is never hot. Columns: the keys and ``parts``.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [keys] if isinstance(keys, str) else keys
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (
         counts.where(F.col("_n") > split_rows)
-        .orderBy(F.desc("_n"), key)
+        .orderBy(F.desc("_n"), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_n") / split_rows).cast("int").alias("parts"))
+        .select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("parts"))
     )
 
 
-def salted(df: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+def salted(df: DataFrame, hot: DataFrame, keys: str | list[str], by: str | list[str]) -> DataFrame:
     """The side with many rows: ``salt`` spreads rows of a hot key by the hash of ``by``."""
+    by = [by] if isinstance(by, str) else by
     return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("salt", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), "parts").cast("int")))
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn("salt", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), "parts").cast("int")))
         .drop("parts")
     )
 
 
-def replicated(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+def replicated(df: DataFrame, hot: DataFrame, keys: str | list[str]) -> DataFrame:
     """The other side: each row of a hot key once for each of its salts."""
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(F.broadcast(hot), keys, "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
         .drop("parts")
     )
+
+
+def split_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``many`` joined with ``few``, where a key may hold a large part of the rows of ``many``.
+
+    ``many`` is a materialised table: its number of rows tells at once whether a key can be
+    hot at all. The rows of a hot key spread by the hash of ``by``, those of ``few``
+    go to all its parts. ``how`` is inner, left, left_semi or left_anti.
+    """
+    if many.count() <= split_rows:
+        return many.join(few, keys, how)
+    hot = hot_keys(many, keys, split_rows)
+    return salted(many, hot, keys, by).join(replicated(few, hot, keys), [*keys, "salt"], how).drop("salt")

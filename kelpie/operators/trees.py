@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.operators.skew import hot_keys, replicated, salted
+
 NODES = "node_path string, depth int, kind string, preview string, content_json string"
 
 
@@ -78,7 +80,9 @@ def fetch(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     the best node of each request is kept as rows combine, so no group is gathered.
     """
     distinct = nodes.where("skeleton_id IS NOT NULL AND skeleton_id <> ''").select("skeleton_id", "node_path", "depth", "content_json")
-    near = distinct.join(requests, "skeleton_id").where(F.startswith("node_path", F.col("wanted")))
+    hot = hot_keys(distinct, "skeleton_id")
+    spread = salted(distinct, hot, "skeleton_id", "node_path")
+    near = spread.join(replicated(requests, hot, "skeleton_id"), ["skeleton_id", "salt"]).where(F.startswith("node_path", F.col("wanted")))
     order = F.struct((F.col("node_path") != F.col("wanted")).alias("loose"), "depth", "node_path", "content_json")
     best = near.groupBy("skeleton_id", "wanted").agg(F.min(order).alias("b"))
     out = requests.join(best, ["skeleton_id", "wanted"], "left")
