@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 
 def terms(text: Column) -> Column:
-    """Terms of infrastructure text: words with inner ``-`` and ``_``, and of each the parts longer than one.
+    """Terms of infrastructure text: words with inner ``-`` and ``_``, then the parts longer than one of each of those.
 
     Repetitions stay, as their number counts. A null text has no terms.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-zA-Z0-9][a-zA-Z0-9_-]*)"), F.lit(1))
-
-    def parts(word: Column) -> Column:
-        pieces = F.split(word, "[-_]")
-        return F.when(F.size(pieces) > 1, F.concat(F.array(word), F.filter(pieces, lambda p: F.length(p) > 1))).otherwise(F.array(word))
-
-    return F.flatten(F.transform(words, parts))
+    parts = F.transform(F.filter(words, lambda w: w.rlike("[-_]")), lambda w: F.filter(F.split(w, "[-_]"), lambda p: F.length(p) > 1))
+    return F.concat(words, F.flatten(parts))
 
 
 def simple_relevance(query: Column, text: Column, path: Column) -> Column:

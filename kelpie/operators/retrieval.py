@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import terms
-from kelpie.operators.skew import hot_keys, replicated, salted, split_join
+from kelpie.operators.skew import split_join
 from kelpie.session import materialize
 
 
@@ -20,58 +20,56 @@ def top(df: DataFrame, per: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(docs: DataFrame, doc: str, text: Column) -> DataFrame:
-    """``doc, term, tf, dl``: how often each term occurs and how many terms the document has."""
-    listed = docs.select(F.col(doc).alias("doc"), terms(text).alias("terms"))
-    return (
-        listed.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        .groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def index(docs: DataFrame, doc: str, text: Column) -> DataFrame:
+    """``doc, terms, dl`` of every document, written once: its terms and their number."""
+    return materialize(docs.select(F.col(doc).alias("doc"), terms(text).alias("terms")).withColumn("dl", F.size("terms")), "terms")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query", F.explode(terms(F.col("q"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: Column, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
-    """``query, doc, score`` of every document that shares a term with a query (BM25+).
+def bm25(indexed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+    """``query, doc, score`` of every document of ``index`` that shares a term with a query (BM25+).
 
     ``queries`` has ``query`` and ``q`` (its text). A term repeated in a query counts each
     time. Number of documents, their mean length and the frequency of each term are those
-    of all of ``docs``, documents without terms included. Only terms of queries travel:
-    postings meet the queries' distinct terms before anything else is joined.
+    of all documents, those without terms included. Only terms of queries are counted and
+    travel: occurrences meet the queries' distinct terms first.
     """
-    index = materialize(postings(docs, doc, text), "postings")
-    n = float(docs.count())
-    mean = float(index.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
-    asked = queries.select("query", F.explode(terms(F.col("q"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = materialize(index.join(asked.select("term").distinct(), "term", "left_semi"), "found")
+    measured = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = float(measured["n"]), float(measured["mean"] or 0.0) or 1.0
+    asked = _asked(queries)
+    occurrences = indexed.select("doc", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = materialize(occurrences.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "found")
     weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(F.lit(n + 1) / F.col("df")).alias("idf"))
-    part = F.col("idf") * (delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / (mean or 1.0)) + F.col("tf")))
-    weighed = asked.join(weights, "term")
+    part = F.col("idf") * (delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / mean) + F.col("tf")))
     return (
-        split_join(found, weighed, ["term"], ["doc"]).select("query", "doc", (part * F.col("qtf")).alias("part"))
+        split_join(found, asked.join(weights, "term"), ["term"], ["doc"]).select("query", "doc", (part * F.col("qtf")).alias("part"))
         .groupBy("query", "doc").agg(F.sum("part").alias("score"))
     )
 
 
-def keyword_hits(docs: DataFrame, queries: DataFrame, doc: str, text: Column, k: int = 20, where: Column | None = None) -> DataFrame:
+def keyword_hits(indexed: DataFrame, queries: DataFrame, k: int = 20, among: DataFrame | None = None) -> DataFrame:
     """The ``k`` best documents of each query, with their share of the best score in per cent.
 
-    ``where`` filters after scoring, so that the statistics stay those of all documents.
-    Ties go to the smaller document id.
+    ``among`` (``doc``) restricts the hits after scoring, so that the statistics stay those
+    of all documents. Ties go to the smaller document id.
     """
-    scored = bm25(docs, queries, doc, text).where("score > 0").withColumn("score", F.round("score", 6))
-    if where is not None:
-        scored = scored.join(docs.where(where).select(F.col(doc).alias("doc")).distinct(), "doc", "left_semi")
+    scored = bm25(indexed, queries).where("score > 0").withColumn("score", F.round("score", 6))
+    if among is not None:
+        scored = scored.join(among.select("doc").distinct(), "doc", "left_semi")
     best = top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
     share = F.col("score") / F.max("score").over(Window.partitionBy("query"))
     return best.withColumn("relevance_pct", F.round(share * 100, 1))
 
 
-def overlap_hits(docs: DataFrame, queries: DataFrame, doc: str, text: Column, k: int = 3) -> DataFrame:
+def overlap_hits(indexed: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """Ranking by the share of a query's distinct terms that a document has."""
-    asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("q")))).alias("term"))
+    asked = _asked(queries).select("query", "term")
     sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
-    held = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(terms(text))).alias("term"))
-    hot = hot_keys(held, "term")
-    shares = salted(held, hot, "term", "doc").join(replicated(asked, hot, "term"), ["term", "salt"]).groupBy("query", "doc").agg(F.count(F.lit(1)).alias("common")).join(sizes, "query")
+    held = indexed.select("doc", F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    shares = split_join(materialize(held, "held"), asked, ["term"], ["doc"]).groupBy("query", "doc").agg(F.count(F.lit(1)).alias("common")).join(sizes, "query")
     scored = shares.select("query", "doc", F.round(F.col("common") / F.col("size"), 4).alias("score"))
     return top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
 

@@ -42,9 +42,13 @@ def _body() -> F.Column:
     return F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("file_path", F.lit("")))
 
 
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    return R.index(_documents(spark, d), "doc_id", _body())
+
+
 @RETRIEVAL.add("keyword_search", _BM25 + "SELECT query, doc, score, rank, round(score / max(score) OVER (PARTITION BY query) * 100, 1) AS relevance_pct FROM ranked WHERE rank <= 20")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.keyword_hits(_documents(spark, d), _asked(spark, d), "doc_id", _body())
+    return R.keyword_hits(_indexed(spark, d), _asked(spark, d))
 
 
 @RETRIEVAL.add(
@@ -54,7 +58,7 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 )
 def keyword_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of all documents, hits of one source only."""
-    return R.keyword_hits(_documents(spark, d), _asked(spark, d), "doc_id", _body(), where=F.col("source") == "runbooks")
+    return R.keyword_hits(_indexed(spark, d), _asked(spark, d), among=_documents(spark, d).where("source = 'runbooks'").select(F.col("doc_id").alias("doc")))
 
 
 _OVERLAP = f"""
@@ -69,7 +73,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 @RETRIEVAL.add("overlap_search", _OVERLAP + "SELECT query, doc, score, rank FROM ranked WHERE rank <= 3")
 def overlap_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.overlap_hits(_documents(spark, d), _asked(spark, d), "doc_id", _body())
+    return R.overlap_hits(_indexed(spark, d), _asked(spark, d))
 
 
 @RETRIEVAL.add(
@@ -83,8 +87,8 @@ def overlap_search(spark: SparkSession, d: str) -> DataFrame:
     SELECT query, key, rrf_score, lists, rank FROM placed WHERE rank <= 20""",
 )
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    docs, asked = _documents(spark, d), _asked(spark, d)
-    return R.fuse([R.keyword_hits(docs, asked, "doc_id", _body()), R.overlap_hits(docs, asked, "doc_id", _body(), 20)]).drop("best_list", "best_rank")
+    indexed, asked = _indexed(spark, d), _asked(spark, d)
+    return R.fuse([R.keyword_hits(indexed, asked), R.overlap_hits(indexed, asked, 20)]).drop("best_list", "best_rank")
 
 
 @RETRIEVAL.add("reranked_search")

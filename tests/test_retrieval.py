@@ -22,7 +22,7 @@ def words(t):
 
 def test_terms_split_compounds(spark):
     rows = spark.createDataFrame([("Tagging-Service x_y a--b 9lives",), ("",), (None,)], "t string").select(T.terms(F.col("t")).alias("w")).collect()
-    assert rows[0].w == words("Tagging-Service x_y a--b 9lives") and rows[1].w == [] and rows[2].w == []
+    assert sorted(rows[0].w) == sorted(words("Tagging-Service x_y a--b 9lives")) and rows[1].w == [] and rows[2].w == []
 
 
 def test_bm25_against_its_formula(spark):
@@ -30,7 +30,7 @@ def test_bm25_against_its_formula(spark):
     docs = [(i, " ".join(rng.choice("alpha beta-gamma delta eps zeta the the the".split()) for _ in range(rng.randrange(0, 12)))) for i in range(60)] + [(98, None), (99, "")]
     asked = [(1, "beta delta delta"), (2, "nothing here"), (3, "the")]
     d, q = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(asked, "query int, q string")
-    got = {(r.query, r.doc): r.score for r in R.bm25(d, q, "id", F.col("text")).collect()}
+    got = {(r.query, r.doc): r.score for r in R.bm25(R.index(d, "id", F.col("text")), q).collect()}
     bags = {i: Counter(words(t or "")) for i, t in docs}
     mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
     df = Counter(w for b in bags.values() for w in b)
