@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import extension, file_name
+from kelpie.session import spread
 
 TERRAFORM_BLOCK = r"(?m)(?=^(?:resource|data|module|variable|locals|output|provider|terraform)\s)"
 TOP_KEY = r"(?m)(?=^[A-Za-z_\"'][^\n:]*:)"
@@ -54,7 +55,7 @@ def structural(files: DataFrame, limit: int = 3000) -> DataFrame:
     under 200 characters run together; pipelines by stage. A file without any section, and
     every other kind of file, gives no row here (see ``fixed``).
     """
-    text, known = F.col("text"), files.where("text IS NOT NULL").withColumn("chunker", chunker(F.col("file"), F.col("text"))).where("chunker <> 'fixed'")
+    text, known = F.col("text"), spread(files.where("text IS NOT NULL").select("id", "file", "text")).withColumn("chunker", chunker(F.col("file"), F.col("text"))).where("chunker <> 'fixed'")
     terraform = _grouped(_sections(text, TERRAFORM_BLOCK, r"^(?:resource|data|module|variable|locals|output|provider|terraform)\s"), limit, lambda s: s.rlike(r"^(variable|output)\s"), "\n\n", False)
     values = _grouped(_sections(text, TOP_KEY, r"^[A-Za-z_\"'][^\n:]*:"), limit, None, "\n", False)
     generic = _grouped(_sections(text, TOP_KEY, r"^[A-Za-z_\"'][^\n:]*:"), limit, lambda s: F.length(s) < 200, "\n", True)
@@ -102,4 +103,4 @@ def fixed(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
             rows = [(i, f, n, p) for i, f, t in zip(b["id"], b["file"], b["text"]) for n, p in enumerate(_fixed(t, size, overlap))]
             yield pd.DataFrame(rows, columns=["id", "file", "chunk_index", "text"])
 
-    return files.where("text IS NOT NULL").select("id", "file", "text").mapInPandas(run, f"id {kind}, file string, chunk_index int, text string")
+    return spread(files.where("text IS NOT NULL").select("id", "file", "text")).mapInPandas(run, f"id {kind}, file string, chunk_index int, text string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.text import terms
 from kelpie.operators.skew import split_join
-from kelpie.session import materialize
+from kelpie.session import materialize, spread
 
 
 def top(df: DataFrame, per: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -22,7 +22,7 @@ def top(df: DataFrame, per: list[str], order: list[Column], k: int, rank: str =
 
 def index(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     """``doc, terms, dl`` of every document, written once: its terms and their number."""
-    return materialize(docs.select(F.col(doc).alias("doc"), terms(text).alias("terms")).withColumn("dl", F.size("terms")), "terms")
+    return materialize(spread(docs.select(F.col(doc).alias("doc"), text.alias("t"))).select("doc", terms(F.col("t")).alias("terms")).withColumn("dl", F.size("terms")), "terms")
 
 
 def _asked(queries: DataFrame) -> DataFrame:

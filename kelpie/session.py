@@ -88,5 +88,15 @@ def _clean() -> None:
             pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for work that is heavy for each row.
+
+    Large inputs have more splits than that and stay as they are; a small file of one
+    split would otherwise keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
