@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm.tokenizers import FOLDER, chars_per_token
+from kelpie.session import spread
 
 #: Characters for each subword below which a string is unnatural.
 UNNATURAL = 3.0
@@ -275,4 +276,4 @@ def credentials(df: DataFrame, text: str = "text", path: str = "file_path", keep
     columns = [F.col(c) for c in keep]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     schema += (", _redacted string" if redact else "") + f", _spans {_SPANS}"
-    return df.select(*columns, F.col(text).alias("_text"), F.col(path).alias("_path")).mapInPandas(lambda b: _scan(b, folder, redact), schema)
+    return spread(df.select(*columns, F.col(text).alias("_text"), F.col(path).alias("_path"))).mapInPandas(lambda b: _scan(b, folder, redact), schema)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.session import spread
+
 # Letters of other scripts and their Latin prototypes, in Unicode order.
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳϹͿ", "ABEZHIKMNOPTYXvocjCJ"))
 _CYRILLIC = dict(zip("ЅІЈАВЕКМНОРСТХаеорсухѕіјһӀԁԌԛԜԝҮ", "SIJABEKMHOPCTXaeopcyxsijhIdGqWwY"))
@@ -69,7 +71,7 @@ def skeletons(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
             yield b
 
     columns = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text).alias("original")).mapInPandas(run, f"{columns}, original string, skeleton string")
+    return spread(df.select(*keep, F.col(text).alias("original"))).mapInPandas(run, f"{columns}, original string, skeleton string")
 
 
 def same_look(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

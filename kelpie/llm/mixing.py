@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.llm.tokenizers import FOLDER, byte_bpe
-from kelpie.session import materialize
+from kelpie.session import materialize, spread
 
 _BITS = 10  # of the hash for each level of buckets
 
@@ -28,7 +28,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", folder: str
         for b in batches:
             yield b[keep].assign(n_tokens=[len(encoder.encode_ordinary(t)) if t else 0 for t in b["_text"]])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInPandas(count, schema)
+    return spread(df.select(*keep, F.col(text).alias("_text"))).mapInPandas(count, schema)
 
 
 def _boundary(sums: DataFrame, part: str, wanted: DataFrame) -> DataFrame:

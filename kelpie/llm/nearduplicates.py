@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.operators.components import components
-from kelpie.session import materialize
+from kelpie.session import materialize, spread
 
 WORD = "([a-z0-9_]+)"
 HASHES = 64  # MinHash values of a class, a byte each
@@ -66,8 +66,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``id, key, n, words, sketch`` of every row that has a word; whole texts, words hashed to 64 bits."""
     kind = df.schema[key].dataType.simpleString()
-    words = F.sort_array(F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))), lambda w: F.xxhash64(w)))
-    return df.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0).mapInArrow(_signed, f"id {kind}, key binary, n int, words array<bigint>, sketch binary")
+    words = F.sort_array(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1))), lambda w: F.xxhash64(w)))
+    return spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", words.alias("words")).where(F.size("words") > 0).mapInArrow(_signed, f"id {kind}, key binary, n int, words array<bigint>, sketch binary")
 
 
 def _dense(group: pa.Table) -> pa.Table:
