@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: No more keys than this are ever treated as hot, so the table of them can be broadcast.
 MAX_HOT_KEYS = 10_000
 #: Rows of one key beyond which its group is split.
-SPLIT_ROWS = 250_000
+SPLIT_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: str | list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
