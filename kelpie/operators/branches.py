@@ -32,6 +32,28 @@ def diff_summary(changes: DataFrame) -> DataFrame:
     )
 
 
+def _lines_changed(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y in zip(a, b):
+        codes = SequenceMatcher(None, (x or "").splitlines(), (y or "").splitlines(), autojunk=False).get_opcodes()
+        gone = sum(i2 - i1 for tag, i1, i2, _, _ in codes if tag in ("delete", "replace"))
+        come = sum(j2 - j1 for tag, _, _, j1, j2 in codes if tag in ("insert", "replace"))
+        rows.append((come, gone))
+    return pd.DataFrame(rows, columns=["added", "removed"])
+
+
+def line_changes(chunks: DataFrame, base: str, compare: str) -> DataFrame:
+    """``repo, file, chunk_index, added, removed``: lines that differ in the chunks two branches share.
+
+    A null text has no lines. Copies of one chunk that are equal count once.
+    """
+    a = chunks.where(F.col("branch") == base).select("repo", "file", "chunk_index", F.col("text").alias("old")).distinct()
+    b = chunks.where(F.col("branch") == compare).select("repo", "file", "chunk_index", F.col("text").alias("new")).distinct()
+    both = a.join(b, ["repo", "file", "chunk_index"]).where(~F.col("old").eqNullSafe(F.col("new")))
+    changed = F.pandas_udf(_lines_changed, "added int, removed int")(F.col("old"), F.col("new"))
+    return both.select("repo", "file", "chunk_index", changed.alias("c")).select("repo", "file", "chunk_index", "c.added", "c.removed")
+
+
 def listed(branches: DataFrame) -> DataFrame:
     """Distinct branches of each repo with tier and place in the order of tiers and names."""
     tiers = ["production", "integration", "staging", "development", "feature"]

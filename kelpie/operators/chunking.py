@@ -47,24 +47,39 @@ def _grouped(sections: Column, limit: int, small: Column | None, joiner: str, at
     return F.transform(F.aggregate(sections, start, step), lambda g: F.struct(g["kind"].alias("kind"), F.array_join(g["parts"], joiner).alias("text")))
 
 
+def _parts(section: Column, head: str, at: str, limit: int) -> Column:
+    """An oversized section as its head and runs of inner items up to the limit; the section itself without such items."""
+    items = F.filter(F.split(section, at), lambda s: s.rlike(head))
+    runs = F.transform(_grouped(items, limit, lambda s: F.lit(True), "", False), lambda g: F.concat(F.regexp_extract(section, r"^([^\n]*\n)", 1), F.regexp_replace(g["text"], r"\s+$", "")))
+    return F.when((F.length(section) > limit) & (F.size(items) > 1), runs).otherwise(F.array(section))
+
+
 def structural(files: DataFrame, limit: int = 3000) -> DataFrame:
     """``file..., chunker, chunk_index, section, text`` of every file that has structure.
 
     ``files`` has ``id, file, text``. Terraform goes by top-level block, variables and outputs
-    run together up to ``limit``; values and other YAML by top-level key, in other YAML keys
-    under 200 characters run together; pipelines by stage. A file without any section, and
+    run together up to ``limit``; values and other YAML by top-level key, in values the
+    scalars come together last, in other YAML keys under 200 characters run together; pipelines
+    by stage. Sections of values and stages beyond ``limit`` are cut at keys of the second
+    level and at steps. A file without any section, and
     every other kind of file, gives no row here (see ``fixed``).
     """
     text, known = F.col("text"), spread(files.where("text IS NOT NULL").select("id", "file", "text")).withColumn("chunker", chunker(F.col("file"), F.col("text"))).where("chunker <> 'fixed'")
     terraform = _grouped(_sections(text, TERRAFORM_BLOCK, r"^(?:resource|data|module|variable|locals|output|provider|terraform)\s"), limit, lambda s: s.rlike(r"^(variable|output)\s"), "\n\n", False)
-    values = _grouped(_sections(text, TOP_KEY, r"^[A-Za-z_\"'][^\n:]*:"), limit, None, "\n", False)
-    generic = _grouped(_sections(text, TOP_KEY, r"^[A-Za-z_\"'][^\n:]*:"), limit, lambda s: F.length(s) < 200, "\n", True)
-    stages = _grouped(_sections(text, STAGE, r"^\s*- stage:"), limit, None, "\n", False)
+    keyed = _sections(text, TOP_KEY, r"^[A-Za-z_\"'][^\n:]*:")
+    nested, scalars = F.filter(keyed, lambda s: F.contains(s, F.lit("\n")) | s.rlike(":$")), F.filter(keyed, lambda s: ~(F.contains(s, F.lit("\n")) | s.rlike(":$")))
+    cut = F.flatten(F.transform(nested, lambda s: _parts(s, r"^  [^\s#-]", r"(?m)(?=^  [^\s#-])", limit)))
+    together = F.when(F.size(scalars) > 0, F.array(F.struct(F.lit("scalars").alias("kind"), F.array_join(scalars, "\n").alias("text")))).otherwise(F.from_json(F.lit("[]"), "array<struct<kind:string,text:string>>"))
+    values = F.concat(F.transform(cut, lambda s: F.struct(F.lit("one").alias("kind"), s.alias("text"))), together)
+    generic = _grouped(keyed, limit, lambda s: F.length(s) < 200, "\n", True)
+    steps = F.flatten(F.transform(_sections(text, STAGE, r"^\s*- stage:"), lambda s: _parts(s, r"^\s*- step:", r"(?m)(?=^\s*- step:)", limit)))
+    stages = F.transform(steps, lambda s: F.struct(F.lit("one").alias("kind"), s.alias("text")))
     by_kind = F.when(F.col("chunker") == "terraform", terraform).when(F.col("chunker") == "pipeline", stages).when(F.col("chunker") == "values", values).otherwise(generic)
     one = known.select("id", "file", "chunker", F.posexplode(by_kind).alias("chunk_index", "g"))
     body = F.col("g.text")
     name = (
         F.when(F.col("g.kind") == "group", F.when(F.col("chunker") == "terraform", "variable_group").otherwise("grouped_keys"))
+        .when(F.col("g.kind") == "scalars", "root_scalars")
         .when(F.col("chunker") == "terraform", F.regexp_replace(F.regexp_extract(body, r"^(\w+(?:\s+\"[^\"]*\")*)", 1), '["]', ""))
         .when(F.col("chunker") == "pipeline", F.regexp_extract(body, r"name:[ \t]*[\"']?([^\n\"']+)", 1)).otherwise(F.regexp_extract(body, r"^[\"']?([^:\"']+)", 1))
     )

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.functions.names import branch_slug
 from kelpie.functions.text import terms
 from kelpie.operators.skew import split_join
 from kelpie.session import materialize, spread
@@ -74,6 +76,39 @@ def overlap_hits(indexed: DataFrame, queries: DataFrame, k: int = 3) -> DataFram
     return top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
 
 
+def embed(indexed: DataFrame, dims: int = 64) -> DataFrame:
+    """``doc, v``: terms hashed to signed dimensions, damped by the logarithm of their number, of length 1.
+
+    A stand-in for a trained embedding that needs no model. A document without terms has a
+    zero vector.
+    """
+    kind = indexed.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("h")
+            flat = np.asarray(lists.flatten()).view(np.uint64)
+            row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))
+            sign = np.where(flat >> np.uint64(63), 1.0, -1.0)
+            sums = np.bincount(row * dims + (flat % np.uint64(dims)).astype(np.int64), weights=sign, minlength=b.num_rows * dims).reshape(-1, dims)
+            damped = np.sign(sums) * np.log1p(np.abs(sums))
+            norm = np.linalg.norm(damped, axis=1, keepdims=True)
+            unit = (damped / np.where(norm == 0, 1, norm)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dims).cast(pa.list_(pa.float32()))], ["doc", "v"])
+
+    return indexed.select("doc", F.transform("terms", lambda t: F.xxhash64(t)).alias("h")).mapInArrow(run, f"doc {kind}, v array<float>")
+
+
+def collections(chunks: DataFrame, branch: str | None) -> DataFrame:
+    """Distinct (repo, branch) whose joined name holds the branch's slug, or all when none does or none is asked for."""
+    every = chunks.where("repo IS NOT NULL AND branch IS NOT NULL").select("repo", "branch").distinct()
+    if not branch or branch == "all":
+        return every
+    slug = branch.replace("/", "_").replace("-", "_").lower()
+    some = every.where(F.contains(branch_slug(F.concat_ws("_", "repo", "branch")), F.lit(slug)))
+    return every if some.isEmpty() else some
+
+
 def _unit(lists: pa.Array) -> np.ndarray:
     flat = np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
     norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))

@@ -72,13 +72,15 @@ def chunk_kinds(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN regexp_matches(lower(trim(branch)), '^(main|master)$') THEN 'production' WHEN regexp_matches(lower(trim(branch)), '^(develop|development)$') THEN 'integration' WHEN regexp_matches(lower(trim(branch)), '^release([_/]|$)') THEN 'release'
       WHEN regexp_matches(lower(trim(branch)), '^hotfix([_/]|$)') THEN 'hotfix' WHEN regexp_matches(lower(trim(branch)), '^feature([_/]|$)') THEN 'feature' WHEN regexp_matches(lower(trim(branch)), '^(bugfix|fix)[_/]') THEN 'bugfix' ELSE 'unknown' END AS tier,
     regexp_matches(branch, '(?i)^(main$|master$|release[_/]|hotfix[_/]|develop$|development$)') AS protected,
+    CASE WHEN regexp_matches(branch, '(?i)^(main|master)$') THEN 'production' WHEN regexp_matches(branch, '(?i)^(develop|development)$') THEN 'integration' WHEN regexp_matches(branch, '(?i)^release[_/]') THEN 'release' WHEN regexp_matches(branch, '(?i)^hotfix[_/]') THEN 'hotfix'
+      WHEN regexp_matches(branch, '(?i)^feat(ure)?[_/]') THEN 'feature' WHEN regexp_matches(branch, '(?i)^fix[_/]') THEN 'fix' WHEN regexp_matches(branch, '(?i)^chore[_/]') THEN 'chore' ELSE 'unknown' END AS protection,
     CASE WHEN regexp_matches(branch, '(?i)^release[_/]\\d+[_./]\\d+$') THEN regexp_extract(branch, '(\\d+)[_./](\\d+)$', 1)::DOUBLE + regexp_extract(branch, '(\\d+)[_./](\\d+)$', 2)::DOUBLE / 100 END AS version
     FROM (SELECT DISTINCT branch FROM chunks WHERE branch IS NOT NULL)""",
 )
 def branch_tiers(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("branch")
     return _files(spark, d).where("branch IS NOT NULL").select("branch").distinct().select(
-        "branch", N.branch_slug(b).alias("slug"), N.branch_tier(b).alias("tier"), N.is_protected(b).alias("protected"), N.release_version(b).alias("version")
+        "branch", N.branch_slug(b).alias("slug"), N.branch_tier(b).alias("tier"), N.is_protected(b).alias("protected"), N.protection_tier(b).alias("protection"), N.release_version(b).alias("version")
     )
 
 
@@ -253,6 +255,12 @@ def branch_diff_summary(spark: SparkSession, d: str) -> DataFrame:
     return B.diff_summary(_changes(spark, d))
 
 
+@CORPUS.add("branch_line_changes")
+def branch_line_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks").select("repo", F.col("file_path").alias("file"), "branch", "chunk_index", "text")
+    return B.line_changes(rows, "main", "develop")
+
+
 @CORPUS.add(
     "branch_list",
     """WITH b AS (SELECT DISTINCT repo, branch, lower(trim(branch)) AS l FROM chunks WHERE repo IS NOT NULL AND branch IS NOT NULL),

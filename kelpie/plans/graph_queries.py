@@ -81,6 +81,13 @@ def change_impact(spark: SparkSession, d: str) -> DataFrame:
     return G.impact(G.traverse(edges, _seeds(spark, d), 2), table(spark, d, "nodes"), edges, 2)
 
 
+@GRAPH.add("branch_edges", "SELECT id, branch, branch = 'main' OR branch = 'default' AS shared, branch = 'main' OR branch IS NULL AS open FROM edges WHERE branch = 'main' OR branch = 'default' OR branch IS NULL")
+def branch_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a branch under both rules for what holds on all branches: the default branch, or none."""
+    shared, unnamed = G.on_branch("main", F.col("branch") == "default"), G.on_branch("main", F.col("branch").isNull())
+    return table(spark, d, "edges").select("id", "branch", shared.alias("shared"), unnamed.alias("open")).where("shared OR open")
+
+
 @GRAPH.add(
     "entity_profiles",
     f"""WITH {_LINKED}, o AS (SELECT source AS id, count(*) AS outbound FROM linked GROUP BY 1), i AS (SELECT target AS id, count(*) AS inbound FROM linked GROUP BY 1),

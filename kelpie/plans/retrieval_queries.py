@@ -91,6 +91,22 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse([R.keyword_hits(indexed, asked), R.overlap_hits(indexed, asked, 20)]).drop("best_list", "best_rank")
 
 
+@RETRIEVAL.add("hybrid_search")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword hits and nearest hashed embeddings of each question, fused by rank."""
+    indexed, asked = _indexed(spark, d), _asked(spark, d)
+    questions = R.embed(R.index(asked, "query", F.col("q"))).select(F.col("doc").alias("query"), "v")
+    return R.fuse([R.vector_hits(R.embed(indexed), questions, "doc", "v"), R.keyword_hits(indexed, asked)])
+
+
+@RETRIEVAL.add(
+    "branch_collections",
+    """SELECT DISTINCT repo, branch FROM chunks WHERE repo IS NOT NULL AND branch IS NOT NULL AND contains(translate(lower(repo || '_' || branch), '/-', '__'), 'release_25')""",
+)
+def branch_collections(spark: SparkSession, d: str) -> DataFrame:
+    return R.collections(table(spark, d, "chunks"), "release-25")
+
+
 @RETRIEVAL.add("reranked_search")
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     """The best five of the fused lists; without a model, by rank."""

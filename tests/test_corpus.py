@@ -73,11 +73,11 @@ def test_chunking(spark):
     tf = 'variable "a" {\n}\n\nvariable "b" {\n}\n\nresource "x" "y" {\n  z = 1\n}\n\noutput "o" {\n}\n'
     pipe = "pipeline:\n  stages:\n    - stage:\n        name: One\n    - stage:\n        name: Two\n"
     gen = "a: 1\nb: 2\nbig:\n" + "  x: y\n" * 60 + "c: 3\n"
-    df = spark.createDataFrame([(1, "m.tf", tf), (2, "p.yaml", pipe), (3, "g.yaml", gen), (4, "values.yaml", "image: x\nport: 1\n"), (5, "n.md", "text"), (6, "e.yaml", ""), (7, "z.tf", None)], "id int, file string, text string")
+    df = spark.createDataFrame([(1, "m.tf", tf), (2, "p.yaml", pipe), (3, "g.yaml", gen), (4, "values.yaml", "image: x\ndeep:\n  a:\n" + "    k: v\n" * 300 + "  b:\n" + "    k: v\n" * 200 + "port: 1\n"), (5, "n.md", "text"), (6, "e.yaml", ""), (7, "z.tf", None)], "id int, file string, text string")
     got = {}
     for r in C.structural(df).orderBy("id", "chunk_index").collect():
         got.setdefault(r.id, []).append(r.section)
-    assert got == {1: ["variable_group", "resource x y", "variable_group"], 2: ["One", "Two"], 3: ["grouped_keys", "big", "grouped_keys"], 4: ["image", "port"]}
+    assert got == {1: ["variable_group", "resource x y", "variable_group"], 2: ["One", "Two"], 3: ["grouped_keys", "big", "grouped_keys"], 4: ["deep", "deep", "root_scalars"]}
     text = "word " * 400 + "x" * 900
     pieces = [r.text for r in C.fixed(spark.createDataFrame([(1, "f", text), (2, "f", "  "), (3, "f", None)], "id int, file string, text string")).orderBy("chunk_index").collect()]
     assert all(len(p) <= 500 for p in pieces) and pieces[0].endswith("word") and "".join(text.split()) in "".join(text.split())
@@ -87,6 +87,8 @@ def test_branches_and_stores(spark):
     rows = [("r", "main", "a.tf", "1"), ("r", "main", "b.tf", "1"), ("r", "develop", "a.tf", "2"), ("r", "develop", "c.md", None), ("r", None, "x", "y")]
     snaps = B.snapshots(spark.createDataFrame(rows, "repo string, branch string, file string, text string"))
     assert {(r.file, r.status, r["class"]) for r in B.diff(snaps, "main", "develop").collect()} == {("a.tf", "M", "terraform"), ("b.tf", "D", "terraform"), ("c.md", "A", "unknown")}
+    lines = spark.createDataFrame([("r", "f", "main", 0, "a\nb\nc"), ("r", "f", "develop", 0, "a\nx\nc\nd"), ("r", "f", "main", 1, None), ("r", "f", "develop", 1, "n")], "repo string, file string, branch string, chunk_index int, text string")
+    assert sorted(tuple(r) for r in B.line_changes(lines, "main", "develop").collect()) == [("r", "f", 0, 2, 1), ("r", "f", 1, 1, 0)]
     have = spark.createDataFrame([("r", "release_26_1"), ("r", "release_26_3"), ("r", "main"), (None, "x")], "repo string, branch string")
     want = spark.createDataFrame([("r", "release_26_4"), ("r", "mains"), ("r", "main"), ("q", "main")], "repo string, branch string")
     assert {(r.repo, r.branch): (r.indexed, r.closest) for r in B.closest(want, have).collect()} == {("r", "release_26_4"): (False, "release_26_3"), ("r", "mains"): (False, "main"), ("r", "main"): (True, "main"), ("q", "main"): (False, None)}

@@ -91,6 +91,18 @@ def test_given_vectors_recall(spark, sf):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_hashed_embedding_puts_equal_texts_together(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma alpha beta"), (3, "delta eps"), (4, None)], "id int, text string")
+    v = {r.doc: np.array(r.v) for r in R.embed(R.index(df, "id", F.col("text"))).collect()}
+    assert np.allclose(v[1], v[2]) and abs(np.linalg.norm(v[1]) - 1) < 1e-6 and v[1] @ v[3] < 0.9 and not v[4].any()
+
+
+def test_collections_fall_back_to_all(spark):
+    df = spark.createDataFrame([("r", "release/1"), ("q", "main"), (None, "main")], "repo string, branch string")
+    assert {tuple(r) for r in R.collections(df, "release-1").collect()} == {("r", "release/1")}
+    assert R.collections(df, "nowhere").count() == 2 and R.collections(df, None).count() == 2
+
+
 def test_rerank_with_and_without_model(spark):
     hits = spark.createDataFrame([(1, "a", 1, "long text", "q"), (1, "b", 2, "x", "q")], "query int, key string, rank int, text string, ask string")
     assert [r.method for r in R.rerank(hits, "text", "ask", None, 1).collect()] == ["hybrid_rrf_no_rerank"]
