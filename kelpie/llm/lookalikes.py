@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.session import spread
+from kelpie.session import materialize, spread
 
 # Letters of other scripts and their Latin prototypes, in Unicode order.
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳϹͿ", "ABEZHIKMNOPTYXvocjCJ"))
@@ -80,9 +80,10 @@ def same_look(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ``look`` identifies the skeleton, ``form`` the exact text, both by SHA-256. Null and
     empty texts take no part; texts of invisible characters alone look alike.
     """
-    marked = (
+    marked = materialize(
         skeletons(df.where(F.col(text) != ""), text, (doc_id,))
-        .select(F.col(doc_id).alias("id"), F.unhex(F.sha2("skeleton", 256)).alias("look"), F.unhex(F.sha2("original", 256)).alias("form"))
+        .select(F.col(doc_id).alias("id"), F.unhex(F.sha2("skeleton", 256)).alias("look"), F.unhex(F.sha2("original", 256)).alias("form")),
+        "looks",
     )
     forms = marked.groupBy("look", "form").agg(F.count(F.lit(1)).alias("copies"))
     shared = forms.groupBy("look").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("look")
