@@ -12,9 +12,14 @@ from kelpie.functions.names import branch_tier, file_class, release_version
 
 
 def snapshots(chunks: DataFrame) -> DataFrame:
-    """``repo, branch, file, hash``: each file of a branch with a hash of its distinct texts."""
-    texts = F.array_join(F.array_sort(F.collect_set(F.md5("text"))), ",")
-    return chunks.where("repo IS NOT NULL AND branch IS NOT NULL AND file IS NOT NULL").groupBy("repo", "branch", "file").agg(F.md5(texts).alias("hash"))
+    """``repo, branch, file, hash``: each file of a branch with a hash of its distinct texts, in whatever order.
+
+    Null texts count as none. Hashes combine before the shuffle, so no file's texts are gathered.
+    """
+    known = chunks.where("repo IS NOT NULL AND branch IS NOT NULL AND file IS NOT NULL")
+    texts = known.select("repo", "branch", "file", F.sha2("text", 256).alias("t")).distinct()
+    parts = [F.coalesce(F.bit_xor(F.when(F.col("t").isNotNull(), F.xxhash64(F.lit(seed), "t"))), F.lit(0)) for seed in (1, 2)]
+    return texts.groupBy("repo", "branch", "file").agg(F.concat_ws("-", F.count("t"), *[F.hex(p) for p in parts]).alias("hash"))
 
 
 def diff(files: DataFrame, base: str, compare: str) -> DataFrame:
@@ -75,20 +80,21 @@ def closest(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """For each (repo, branch) asked for, whether it is there and otherwise the closest branch of the repo.
 
     Release branches go by the distance of versions, all others by likeness of names; ties go
-    to the smaller name. ``closest`` is null for a repo without branches. Distinct branch
-    names of one repo meet each other only.
+    to the smaller name. ``closest`` is null for a repo without branches. Only distinct names
+    that are not there meet those of their repo.
     """
     known = have.where("repo IS NOT NULL AND branch IS NOT NULL").select("repo", F.col("branch").alias("candidate")).distinct()
     asked = wanted.where("repo IS NOT NULL AND branch IS NOT NULL").select("repo", "branch").distinct()
-    pairs = asked.join(known, "repo", "left")
+    there = known.withColumnRenamed("candidate", "branch")
+    exact = asked.join(there, ["repo", "branch"], "left_semi").select("repo", "branch", F.lit(True).alias("indexed"), F.col("branch").alias("closest"))
+    pairs = asked.join(there, ["repo", "branch"], "left_anti").join(known, "repo", "left")
     gap = F.abs(release_version(F.col("branch")) - release_version(F.col("candidate")))
     measured = pairs.withColumns({"gap": gap, "ratio": similarity(F.col("branch"), F.col("candidate"))})
     best = measured.groupBy("repo", "branch").agg(
-        F.coalesce(F.max(F.col("branch") == F.col("candidate")), F.lit(False)).alias("indexed"),
         F.min(F.when(F.col("gap").isNotNull(), F.struct("gap", "candidate"))).alias("by_version"),
         F.min(F.when(F.col("ratio") > 0, F.struct((-F.col("ratio")).alias("r"), "candidate"))).alias("by_name"),
     )
-    return best.select("repo", "branch", "indexed", F.coalesce("by_version.candidate", "by_name.candidate").alias("closest"))
+    return exact.unionByName(best.select("repo", "branch", F.lit(False).alias("indexed"), F.coalesce("by_version.candidate", "by_name.candidate").alias("closest")))
 
 
 def freshness(heads: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -76,6 +76,21 @@ def overlap_hits(indexed: DataFrame, queries: DataFrame, k: int = 3) -> DataFram
     return top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
 
 
+def recall(investigations: DataFrame, queries: DataFrame, service: str | None = None, incident: str | None = None, k: int = 3) -> DataFrame:
+    """The ``k`` past investigations closest to each query, with all their fields.
+
+    Filters come before the index, so that frequencies are those of what is left. Blank
+    queries have no hits.
+    """
+    kept = investigations
+    for column, value in (("service_name", service), ("incident_type", incident)):
+        kept = kept if value is None else kept.where(F.col(column) == value)
+    fields = ["root_cause_summary", "resolution", "service_name", "incident_type"]
+    body = F.concat_ws(" ", *fields, F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
+    hits = keyword_hits(index(kept, "id", body), queries.where(F.trim("q") != ""), k)
+    return hits.join(kept.withColumnRenamed("id", "doc"), "doc")
+
+
 def embed(indexed: DataFrame, dims: int = 64) -> DataFrame:
     """``doc, v``: terms hashed to signed dimensions, damped by the logarithm of their number, of length 1.
 

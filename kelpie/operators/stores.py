@@ -42,7 +42,7 @@ def verify(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: Kinds of incidents; any other is Unknown.
-INCIDENTS = ["CrashLoopBackOff", "ImagePullBackOff", "OOMKilled", "SecretMount", "ConfigError", "NetworkError", "PipelineFailure", "TerraformError", "PermissionDenied", "Unknown"]
+INCIDENTS = ["CrashLoopBackOff", "OOMKilled", "SecretMount", "ProbeFailure", "PipelineFailure", "InfraFailure", "AppStartup", "NetworkPolicy", "ImagePull", "Unknown"]
 
 
 def investigations(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:

@@ -383,7 +383,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     counted = ST.windowed(stream, "ts", "1 day", "36500 days", ["event_type"])
     query = counted.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return spark.read.parquet(f"{folder}/out")
 
 
 @CORPUS.add(

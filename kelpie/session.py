@@ -95,6 +95,8 @@ def spread(df: DataFrame) -> DataFrame:
     split would otherwise keep one core busy.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # a shuffle has spread it already, and asking for its partitions would run it
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

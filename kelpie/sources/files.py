@@ -11,7 +11,7 @@ from kelpie.functions.text import extension, line_count
 # Extensions read for chunks and for trees, and folders never read.
 CHUNK_EXTENSIONS = [".tf", ".yaml", ".yml", ".md", ".json", ".hcl", ".tfvars"]
 TREE_EXTENSIONS = [".yaml", ".yml", ".tf", ".hcl", ".json"]
-PRUNED = r"(^|/)(\.git|\.terraform|node_modules|__pycache__|\.venv|venv|dist|build|\.idea)/"
+PRUNED = r"(^|/)(node_modules|\.git|__pycache__|vendor|\.terraform|\.pytest_cache|\.mypy_cache|\.venv|venv)/"
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,9 +19,13 @@ def rows_of(spark: SparkSession, path: str, schema: StructType, files_each: int
 
 
 def windowed(events: DataFrame, at: str, length: str, late: str, by: list[str]) -> DataFrame:
-    """Rows per window and key; rows later than the watermark are left out. Rows without a time have no window."""
-    kept = events.where(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    return kept.groupBy(F.window(at, length), *by).agg(F.count(F.lit(1)).alias("rows")).select(F.col("window.start").alias("start"), *by, "rows")
+    """Rows per window and key; rows later than the watermark are left out. Rows without a time have no window.
+
+    Times without a zone are read, and starts given, as UTC, whatever the session's zone.
+    """
+    utc, here = F.lit("UTC"), F.current_timezone()
+    kept = events.where(F.col(at).isNotNull()).withColumn(at, F.convert_timezone(utc, here, F.col(at)).cast("timestamp")).withWatermark(at, late)
+    return kept.groupBy(F.window(at, length), *by).agg(F.count(F.lit(1)).alias("rows")).select(F.convert_timezone(here, utc, F.col("window.start").cast("timestamp_ntz")).alias("start"), *by, "rows")
 
 
 def into_table(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:

@@ -91,6 +91,15 @@ def test_given_vectors_recall(spark, sf):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_recall_filters_before_ranking(spark):
+    rows = [("i1", "api", "OOMKilled", "heap too small", "raise limit", ["jvm"]), ("i2", "api", "Unknown", "bad secret", "rotate secret", None), ("i3", "web", "OOMKilled", "heap leak", None, [])]
+    df = spark.createDataFrame(rows, "id string, service_name string, incident_type string, root_cause_summary string, resolution string, tags array<string>")
+    q = spark.createDataFrame([(1, "heap jvm"), (2, "  ")], "query int, q string")
+    assert [(r.query, r.doc) for r in R.recall(df, q).orderBy("query", "rank").collect()] == [(1, "i1"), (1, "i3")]
+    assert [r.doc for r in R.recall(df, q, service="web", incident="OOMKilled").collect()] == ["i3"]
+    assert R.recall(df, q, service="none").count() == 0
+
+
 def test_hashed_embedding_puts_equal_texts_together(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma alpha beta"), (3, "delta eps"), (4, None)], "id int, text string")
     v = {r.doc: np.array(r.v) for r in R.embed(R.index(df, "id", F.col("text"))).collect()}
