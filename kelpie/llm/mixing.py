@@ -74,7 +74,7 @@ def mix(df: DataFrame, targets: DataFrame, total: int | None = None, seed: int =
     """
     listed = targets.where("source IS NOT NULL").select("source").distinct()
     sized = materialize(
-        token_counts(df.select("doc_id", "source", "text").join(listed, "source", "left_semi"), ["doc_id", "source"], folder=folder)
+        token_counts(spread(df.select("doc_id", "source", "text")).join(listed, "source", "left_semi"), ["doc_id", "source"], folder=folder)
         .where("n_tokens > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
         .withColumn("b1", F.shiftrightunsigned("h", 64 - _BITS)).withColumn("b2", F.shiftrightunsigned(F.shiftleft("h", _BITS), 64 - _BITS)),
         "sizes",
