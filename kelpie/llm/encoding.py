@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from kelpie.llm.tokenizers import FOLDER, WORD_PATTERN, byte_bpe
 
 
+MOST_PARTITIONS = 100_000
+
+
 def words_of(text: str) -> Column:
     """The words of a text in order, as the tokenizer splits it; a null or empty text has none."""
     return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(f"(?U)({WORD_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
@@ -65,10 +68,12 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_char
     kind = df.schema[doc_id].dataType.simpleString()
     total = df.agg(F.sum(F.length(text))).first()[0] or 0
     blocks = total // block_chars + 1
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, min(int(blocks), MOST_PARTITIONS))  # beyond that, a partition takes its blocks one by one
     docs = (
         df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-        .repartition(max(int(blocks), int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
+        .repartition(parts, "block")
         .withColumn("words", words_of("text"))
     )
     # the id stays in and the outer explode adds no filter, so that both readings of the documents share one shuffle
