@@ -27,8 +27,8 @@ WORD = "([a-z0-9_]+)"
 HASHES = 64  # MinHash values of a class, a byte each
 STEP = 8  # compared before each decision
 TOLERANCE = 1e-7
-BUCKETS = 1 << 22  # of the table that counts how many texts have a word; a word counts as often as its bucket
-SLICE = 1 << 14
+BUCKETS = 1 << 24  # of the table that counts how many texts have a word; a word counts as often as its bucket
+SLICE = 1 << 16
 SPLIT = 100_000  # texts with one prefix word beyond which its group is split
 
 
