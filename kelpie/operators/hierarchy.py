@@ -74,6 +74,7 @@ def hierarchy(parents: DataFrame, paths: bool = False) -> DataFrame:
     an empty result.
     """
     base = materialize(parents, "links")
+    most = base.count()
     roots = (
         base.select("kind", F.col("parent").alias("node")).distinct()
         .join(base.select("kind", "node"), ["kind", "node"], "left_anti")
@@ -83,7 +84,7 @@ def hierarchy(parents: DataFrame, paths: bool = False) -> DataFrame:
     finished = [materialize(done, "roots")]
     while True:
         ends = finished[0].select("kind", F.col("node").alias("up"), F.lit(True).alias("is_root"))
-        flagged = split_join(state, ends, ["kind", "up"], ["node"], "left")
+        flagged = split_join(state, ends, ["kind", "up"], ["node"], "left", rows=most)
         complete = flagged.where("is_root").select(
             "kind", "node", F.col("up").alias("root"), F.col("hops").alias("depth"),
             F.reverse(F.concat(F.array("node"), "path")).alias("path"),
@@ -92,21 +93,20 @@ def hierarchy(parents: DataFrame, paths: bool = False) -> DataFrame:
         if complete.isEmpty():
             break
         finished.append(complete)
-        rest = materialize(flagged.where("is_root IS NULL").drop("is_root"), "unplaced")
+        rest = flagged.where("is_root IS NULL").drop("is_root")
         far = rest.select("kind", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("path").alias("path2"))
         # a pointer may rest on a node placed in this round or an earlier one
         placed = reduce(DataFrame.unionByName, finished[1:]).select(
             "kind", F.col("node").alias("up"), F.col("root").alias("up2"), F.col("depth").alias("hops2"),
             F.expr("slice(reverse(path), 2, size(path))").alias("path2"),
         )
-        step = split_join(rest, far.unionByName(placed), ["kind", "up"], ["node"], "left").select(
+        step = split_join(rest, far.unionByName(placed), ["kind", "up"], ["node"], "left", rows=most).select(
             "kind", "node", F.coalesce("up2", "up").alias("up"),
             (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"),
             F.concat("path", F.coalesce("path2", F.array().cast("array<string>"))).alias("path"),
         )
         following = materialize(step, "forest")
         release(state)
-        release(rest)
         state = following
     tree = finished[0]
     for part in finished[1:]:
@@ -115,13 +115,13 @@ def hierarchy(parents: DataFrame, paths: bool = False) -> DataFrame:
         tree = tree.drop("path")
     if state.isEmpty():
         return tree
-    looped = _cycles(base.join(state.select("kind", "node"), ["kind", "node"], "left_semi"))
+    looped = _cycles(base.join(state.select("kind", "node"), ["kind", "node"], "left_semi"), most)
     if paths:
         looped = looped.withColumn("path", F.lit(None).cast("array<string>"))
     return tree.unionByName(looped)
 
 
-def _cycles(rest: DataFrame) -> DataFrame:
+def _cycles(rest: DataFrame, most: int) -> DataFrame:
     """Nodes all of whose links end in cycles: the image of ever longer jumps shrinks to the cycles."""
     jump = materialize(rest.select("kind", "node", F.col("parent").alias("to"), F.least("node", "parent").alias("low")), "jump")
     size, total = -1, None
@@ -138,7 +138,7 @@ def _cycles(rest: DataFrame) -> DataFrame:
             total = lows
         size = image
         other = jump.select("kind", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        following = materialize(split_join(jump, other, ["kind", "to"], ["node"]).select("kind", "node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jump")
+        following = materialize(split_join(jump, other, ["kind", "to"], ["node"], rows=most).select("kind", "node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jump")
         release(jump)
         jump = following
     lowest = jump.join(on, ["kind", "node"], "left_semi").select("kind", F.col("node").alias("to"), F.col("low").alias("root"))

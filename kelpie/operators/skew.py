@@ -47,14 +47,15 @@ def replicated(df: DataFrame, hot: DataFrame, keys: str | list[str]) -> DataFram
     )
 
 
-def split_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def split_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner", split_rows: int = SPLIT_ROWS, rows: int | None = None) -> DataFrame:
     """``many`` joined with ``few``, where a key may hold a large part of the rows of ``many``.
 
-    ``many`` is a materialised table: its number of rows tells at once whether a key can be
-    hot at all. The rows of a hot key spread by the hash of ``by``, those of ``few``
+    The number of rows of ``many`` tells at once whether a key can be hot at all: ``rows``,
+    an upper bound that the caller knows, or the count of what is then best a
+    materialised table. The rows of a hot key spread by the hash of ``by``, those of ``few``
     go to all its parts. ``how`` is inner, left, left_semi or left_anti.
     """
-    if many.count() <= split_rows:
+    if (many.count() if rows is None else rows) <= split_rows:
         return many.join(few, keys, how)
     hot = hot_keys(many, keys, split_rows)
     return salted(many, hot, keys, by).join(replicated(few, hot, keys), [*keys, "salt"], how).drop("salt")
