@@ -54,6 +54,10 @@ _PROSE = re.compile(
 )
 _LOGIN = re.compile(r"""(?i)\b(?:login|credentials?|account|user)\b[^:\n]{0,40}:\s*[\w.@\-]+\s*/\s*(?P<val>[^\s`"',;|()]{6,})""")
 _PEM = re.compile(r"-----(?P<side>BEGIN|END) (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Files that hold a private key and nothing else; a .pem does so only where its name says it.
+_KEY_FILE = re.compile(r"(?i)(?:^|[/\\])(?:id_(?:rsa|dsa|ecdsa|ed25519|xmss)(?:_sk)?(?:[._-](?!pub\b)[^/\\]*)?|ssh_host_\w+_key|identity|(?![^/\\]*(?:pub|cert))(?:[^/\\]*\.(?:key|pk8|p8)|[^/\\]*(?:priv|key)[^/\\]*\.pem))$")
+_CERT_FILE = re.compile(r"(?i)\.(?:crt|cer|pub)$|(?:pub|cert|chain)[^/\\]*\.(?:pem|key)$")
+_KEY_LINES = re.compile(r"\s*(?:(?:Proc-Type|DEK-Info):[^\n]*\n\s*)*(?P<body>[A-Za-z0-9+/]+(?:[ \t]*\r?\n\s*[A-Za-z0-9+/]+)*={0,2})\s*")
 _NAMED = re.compile(r"""["']?\bname["']?\s*[:=]\s*["']?(?P<name>[\w.\-]+)["']?""")
 _VALUE = re.compile(r"""["']?\b(?:value|default)["']?\s*[:=]\s*(?P<val>"(?:[^"\\\n]|\\.)*"|'[^'\n]*'|[^\s,}"'#][^\s,}#]*)""")
 _VARIABLE = re.compile(r"""^\s*variable\s+["'](?P<name>[\w\-]+)["']""")
@@ -179,6 +183,8 @@ class Finder:
         places.update(m.start() for m in _PGPASS_LINE.finditer(text))
         found: list[tuple[int, int, int]] = []
         keys, skip = self._private_keys(text)
+        if path and not keys and (_KEY_FILE.search(path) or _CERT_FILE.search(path)) and self._key_piece(text):
+            return [(1, 0, len(text))] if _KEY_FILE.search(path) else []
         found += keys
         no, at, named, variable, done = 1, 0, None, None, -1
         for start in sorted(places):
@@ -224,6 +230,13 @@ class Finder:
             found.append((begun, len(text)))
         return [(text.count("\n", 0, a) + 1, a, b) for a, b in found], found
 
+    def _key_piece(self, text: str) -> bool:
+        """Whether a text is base64 lines only, as a piece of a key or certificate without its markers; the file's name tells which."""
+        if not (m := _KEY_LINES.fullmatch(text)):
+            return False
+        body = re.sub(r"\s", "", m["body"])
+        return len(body) >= 16 and bool(re.search("[A-Z]", body) and re.search("[a-z]", body) and re.search("[0-9+/]", body)) and chars_per_token(body, self.folder) < self.limit
+
     @staticmethod
     def _block(text: str, at: int, no: int, pad: int, found: list[tuple[int, int, int]]) -> int:
         """A value of several lines under a key: all of it, counted at its first line."""
@@ -271,7 +284,8 @@ def credentials(df: DataFrame, text: str = "text", path: str = "file_path", keep
     One row for each input row; repeated rows stay. A null or empty text has no spans; a
     null text stays null when redacted. Every blanked character but line ends becomes
     ``*``, so all offsets and lines stay. Whole texts are read, whatever their length.
-    A null path only leaves out what the file's kind would have told.
+    A null path only leaves out what the file's kind would have told; a piece of a private
+    key without BEGIN and END is told by that alone.
     """
     columns = [F.col(c) for c in keep]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)

@@ -61,6 +61,18 @@ def test_a_key_without_its_beginning_counts_at_line_one(spark):
     assert got["0"][0] == [1] and got["1"][0] == [2]
 
 
+def test_a_piece_of_a_key_without_markers_is_told_by_its_file(spark):
+    rng = random.Random(5)
+    piece = "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(12))
+    holds = [(piece, "keys/a/id_rsa"), (piece + "\n", "id_ed25519"), (piece.replace("\n", "\r\n") + "Qw==", "a/tls.key"), (piece, "a/private.pem"), (piece[:40], "C:\\k\\id_ecdsa"), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n" + piece, "a/server-key.pem")]
+    none = [(piece, p) for p in ("certs/a/chain.crt", "keys/id_rsa.pub", "a/cert.pem", "a/public-key.pem", "keys/a.txt", "id_rsa/readme.md", None)]
+    none += [("mmAenQeYK/PWDI+xUtgpMBxkKOpgwc1xf9xuXq7MMWVHW33qyUYxVetafbif6n14\n" + piece, "a/chain.crt"), ("see the vault", "id_rsa"), ("selmorgri\nkeldrohab", "a/tls.key"), ("REPLACE_ME", "id_rsa"), ("", "id_rsa"), (piece + "\nport: 1", "id_rsa")]
+    got = found(spark, holds + none)
+    for i, (text, _) in enumerate(holds):
+        assert got[str(i)] == ([1], "".join(c if c in "\r\n" else "*" for c in text))
+    assert [got[str(i + len(holds))] for i in range(len(none))] == [([], t) for t, _ in none]
+
+
 def test_very_long_lines_take_linear_time(spark):
     text = "x" * 300_000 + " password: Abc9-Def8-Ghi7 " + "a.b-" * 50_000
     assert found(spark, [(text, "a.json")])["0"][0] == [1]
