@@ -130,19 +130,32 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return flat / np.where(norm == 0, 1, norm)
 
 
-def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _nearest(k: int, slab: int = 8_388_608) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``k`` first rows of a block for each query in the final order: relevance downward, then id.
+
+    Relevance in ten-thousandths and the place of the id make one whole number, so no two
+    rows tie. Noise of the product is rounded off first, as equal vectors must not differ by
+    it; at most ``slab`` numbers are held at a time.
+    """
+
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
-            return pa.table({"query": pa.array([], queries.schema.field("query").type), "doc": pa.array([], rows.schema.field("doc").type), "cosine": pa.array([], pa.float64())})
+            return pa.table({"query": pa.array([], queries.schema.field("query").type), "doc": pa.array([], rows.schema.field("doc").type), "relevance": pa.array([], pa.float64())})
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc", "ascending")], null_placement="at_start"))
         a, b = _unit(queries.column("v").combine_chunks()), _unit(rows.column("v").combine_chunks())
-        cosine = a @ b.T
-        m = min(k + 32, b.shape[0])
-        best = np.argpartition(-cosine, m - 1, axis=1)[:, :m]
+        n = len(b)
+        m, step, later = min(k, n), max(1, slab // n), np.arange(n)[::-1]
+        kept = []
+        for at in range(0, len(a), step):
+            cosine = np.nan_to_num(a[at : at + step] @ b.T, nan=0.0)
+            key = np.floor(np.round(np.maximum(cosine, 0) * 1e4, 6) + 0.5).astype(np.int64) * n + later
+            kept.append(np.partition(key, n - m, axis=1)[:, n - m :])
+        best = np.concatenate(kept).ravel()
         return pa.table(
             {
                 "query": queries.column("query").combine_chunks().take(pa.array(np.repeat(np.arange(len(a)), m))),
-                "doc": rows.column("doc").combine_chunks().take(pa.array(best.ravel())),
-                "cosine": pa.array(np.take_along_axis(cosine, best, axis=1).ravel()),
+                "doc": rows.column("doc").combine_chunks().take(pa.array(n - 1 - best % n)),
+                "relevance": pa.array(best // n / 1e4),
             }
         )
 
@@ -153,19 +166,17 @@ def vector_hits(rows: DataFrame, queries: DataFrame, doc: str, vector: str, k: i
     """The ``k`` nearest rows of each query by cosine, exactly: queries and rows meet block by block.
 
     ``queries`` has ``query`` and ``v``. ``relevance`` is the cosine, not below 0, rounded to 4
-    places; ties go to the smaller id. Null vectors take no part; a zero vector has cosine 0.
-    Beyond its ``k`` nearest each block keeps 32 more, so that rounding cannot hide a tie
-    of fewer than those.
+    places; ties, however many, go to the smaller id, as each block orders its rows that way
+    too. Null vectors take no part; a zero vector, or one with NaN, has cosine 0.
     """
     have = rows.where(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("v"))
     ask = queries.where("v IS NOT NULL").select("query", "v")
     across, down = have.count() // block_rows + 1, ask.count() // block_queries + 1
     left = ask.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(down))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     right = have.withColumn("rb", F.pmod(F.xxhash64("doc"), F.lit(across)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))))
-    kinds = f"query {queries.schema['query'].dataType.simpleString()}, doc {rows.schema[doc].dataType.simpleString()}, cosine double"
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, doc {rows.schema[doc].dataType.simpleString()}, relevance double"
     near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_nearest(k), kinds)
-    scored = near.withColumn("relevance", F.round(F.greatest(F.lit(0.0), F.col("cosine")), 4)).drop("cosine")
-    return top(scored, ["query"], [F.desc("relevance"), F.asc("doc")], k)
+    return top(near, ["query"], [F.desc("relevance"), F.asc("doc")], k)
 
 
 def inverted_index(rows: DataFrame, doc: str, vector: str, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
@@ -192,24 +203,27 @@ def inverted_index(rows: DataFrame, doc: str, vector: str, cells: int = 64, samp
 
 
 def indexed_hits(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 20, probes: int = 16, block_rows: int = 65_536) -> DataFrame:
-    """The nearest rows among the ``probes`` cells closest to each query; large cells are cut into blocks."""
+    """The nearest rows among the ``probes`` cells closest to each query; large cells are cut into blocks.
+
+    A zero query is equally close to all cells and looks into each of them.
+    """
     sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # one row a cell
     kind, element = queries.schema["query"].dataType.simpleString(), queries.schema["v"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = min(probes, len(centres))
         for b in batches:
             if b.num_rows:
-                order = np.argsort(-(_unit(b.column("v")) @ centres.T), axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(np.repeat(np.arange(b.num_rows), m))) for c in b.columns] + [pa.array(order.ravel().astype(np.int32))], ["query", "v", "cell"])
+                unit = _unit(b.column("v"))
+                order = np.argsort(-(unit @ centres.T), axis=1, kind="stable")
+                looked = np.arange(len(centres)) < np.where(unit.any(axis=1), probes, len(centres))[:, None]
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(np.nonzero(looked)[0])) for c in b.columns] + [pa.array(order[looked].astype(np.int32))], ["query", "v", "cell"])
 
     asked = queries.where("v IS NOT NULL").select("query", "v").mapInArrow(probe, f"query {kind}, v {element}, cell int")
     left = asked.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    kinds = f"query {kind}, doc {indexed.schema['doc'].dataType.simpleString()}, cosine double"
+    kinds = f"query {kind}, doc {indexed.schema['doc'].dataType.simpleString()}, relevance double"
     near = left.drop("blocks").groupBy("cell", "block").cogroup(right.drop("blocks").groupBy("cell", "block")).applyInArrow(_nearest(k), kinds)
-    scored = near.withColumn("relevance", F.round(F.greatest(F.lit(0.0), F.col("cosine")), 4)).drop("cosine")
-    return top(scored, ["query"], [F.desc("relevance"), F.asc("doc")], k)
+    return top(near, ["query"], [F.desc("relevance"), F.asc("doc")], k)
 
 
 def fuse(lists: list[DataFrame], k: int = 60, key: str = "doc", keep: int = 20) -> DataFrame:

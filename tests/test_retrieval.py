@@ -72,6 +72,25 @@ def test_vector_search_in_blocks_is_exact(spark):
         assert {k[1] for k in got if k[0] == q} == {ids[j] for j in best}
 
 
+def test_ties_of_any_size_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(8)
+    one = [float(x) for x in rng.normal(size=8)]
+    near = [[x + 1e-7 * float(rng.normal()) for x in one] for _ in range(100)]
+    rows = [(i, one if i % 3 == 0 else near[i % 100] if i % 3 == 1 else [float(x) for x in rng.normal(size=8)]) for i in rng.permutation(600).tolist()]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(1, one), (2, [0.0] * 8), (3, rows[0][1])], "query int, v array<float>")
+    m = {i: np.array(v, dtype=np.float32).astype(float) for i, v in rows}
+    want = set()
+    for q, v in ((r.query, np.array(r.v)) for r in asked.collect()):
+        c = {i: round(max(0.0, float(x @ v / (np.linalg.norm(x) * np.linalg.norm(v) or 1))), 4) for i, x in m.items()}
+        want |= {(q, i, n + 1) for n, i in enumerate(sorted(c, key=lambda i: (-c[i], i))[:5])}
+    for blocks in (37, 65_536):
+        assert {(r.query, r.doc, r["rank"]) for r in R.vector_hits(df, asked, "vec_id", "embedding", 5, block_rows=blocks).collect()} == want
+    indexed, centres = R.inverted_index(df, "vec_id", "embedding", cells=8)
+    got = {(r.query, r.doc, r["rank"]) for r in R.indexed_hits(indexed, centres, asked, 5, probes=4).collect()}
+    assert {x for x in got if x[0] < 3} == {x for x in want if x[0] < 3}
+
+
 def test_index_recall(spark):
     df, _ = vectors(spark, 2000)
     asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
