@@ -31,6 +31,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str
     All seeds travel together, level by level; each level is one join of the frontier with
     the edges and one anti-join with what is visited. ``direction`` is out, in or both. A
     frontier without news ends the search. Null seeds are dropped, repeated ones count once.
+    ``seeds`` has ``seed``, and ``node`` where a search starts at nodes other than its own name.
     """
     ways = []
     if direction in ("out", "both"):
@@ -40,7 +41,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str
     if not ways:
         raise ValueError("direction is out, in or both")
     steps = materialize((ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])).distinct(), "steps")
-    visited = materialize(seeds.where("seed IS NOT NULL").select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct(), "visited")
+    start = F.col("node" if "node" in seeds.columns else "seed").alias("node")
+    visited = materialize(seeds.where("seed IS NOT NULL").select("seed", start, F.lit(0).alias("hops")).distinct(), "visited")
     for level in range(depth):
         frontier = visited.where(F.col("hops") == level)
         fresh = split_join(steps, frontier, ["node"], ["next"]).select("seed", F.col("next").alias("node")).distinct().join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
@@ -82,12 +84,31 @@ def matching(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where((F.col("id") == name) | fuzzy_match(name, F.col("id"))).select(F.col("id").alias("seed")).distinct()
 
 
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3))))
+
+
 def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """Each name with its exact id, else all ids that contain it; ``matches`` counts them (1 is a hit)."""
+    """Each name with its exact id, else all ids that contain it; ``matches`` counts them (1 is a hit).
+
+    A name without an exact id meets the ids that share its rarest three letters in a row,
+    and ILIKE, whose wildcards a name may hold, decides. Only names that have no three
+    letters in a row between wildcards are compared with every id.
+    """
     ids = nodes.select("id").distinct()
     exact = names.join(ids, names["name"] == ids["id"]).select("name", "id")
-    open_names = names.join(exact.select("name"), "name", "left_anti")
-    loose = open_names.join(ids, F.expr("id ILIKE concat('%', name, '%')")).select("name", "id")
+    open_names = materialize(names.join(exact.select("name"), "name", "left_anti").where("name IS NOT NULL"), "names")
+    contains = F.expr(r"id ILIKE concat('%', replace(name, '\\', '\\\\'), '%')")  # a backslash stands for itself
+    letters = F.filter(F.flatten(F.transform(F.split(F.lower("name"), r"[%_\\]"), _grams)), lambda g: F.length(g) == 3)
+    cut = open_names.distinct().select("name", letters.alias("grams"))
+    asked = cut.select("name", F.explode("grams").alias("gram"))
+    held = materialize(ids.select("id", F.explode(_grams(F.lower("id"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
+    counts = asked.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").fillna(0, ["n"])
+    rarest = counts.groupBy("name").agg(F.min(F.struct("n", "gram")).alias("g")).select("name", F.col("g.gram").alias("gram"))
+    loose = split_join(held, open_names.join(rarest, "name"), ["gram"], ["id"]).where(contains).select("name", "id")
+    short = open_names.join(cut.where(F.size("grams") == 0).select("name"), "name", "left_semi")
+    if not short.isEmpty():
+        loose = loose.unionByName(short.join(ids, contains).select("name", "id"))
     found = exact.unionByName(loose)
     counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("matches"))
     return found.join(counts, "name")

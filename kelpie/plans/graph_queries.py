@@ -112,6 +112,62 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve(nodes, names)
 
 
+# The same four as searches of many: every end of an edge whose id is divisible by 20, and its file, against all rows.
+_WALK = "walk AS (SELECT seed, {0} AS node, 0 AS hops FROM {1} UNION"
+_ENDS = "SELECT source AS seed, source AS node FROM linked WHERE id % 20 = 0 UNION SELECT target, target FROM linked WHERE id % 20 = 0"
+_FILES = """ UNION SELECT 'file:' || a.file, n.node FROM (SELECT DISTINCT file FROM linked WHERE id % 20 = 0 AND file <> '') a
+      JOIN (SELECT file, source AS node FROM linked UNION SELECT file, target FROM linked UNION SELECT file, id FROM nodes) n ON n.file = a.file"""
+_SEEDS = "seeds AS (SELECT min(id) AS seed FROM nodes WHERE node_type IS NOT NULL GROUP BY node_type)"
+
+
+def _searched(name: str, starts: str) -> str:
+    """The SQL of a query with other seeds."""
+    return GRAPH.sql[name].replace(_SEEDS, f"starts AS ({starts}), seeds AS (SELECT DISTINCT seed FROM starts)", 1).replace(_WALK.format("seed", "seeds"), _WALK.format("node", "starts"), 1)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.where("id % 20 = 0").select(F.explode(F.array("source", "target")).alias("seed")).distinct()
+
+
+@GRAPH.add("neighbourhood_searches", _searched("graph_neighbourhood", _ENDS))
+def neighbourhood_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes within two links either way of every searched end."""
+    edges = _edges(spark, d)
+    return G.described(G.traverse(edges, _ends(edges), 2), table(spark, d, "nodes"))
+
+
+@GRAPH.add("walked_edge_searches", _searched("graph_walked_edges", _ENDS))
+def walked_edge_searches(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
+    return G.traversed_edges(edges, G.traverse(edges, _ends(edges), 2), 2).select("seed", "source", "target", "edge_type")
+
+
+@GRAPH.add("impact_searches", _searched("change_impact", _ENDS + _FILES))
+def impact_searches(spark: SparkSession, d: str) -> DataFrame:
+    """The impact of every searched end, and of every searched file through all nodes that it holds."""
+    edges, nodes = _edges(spark, d), table(spark, d, "nodes")
+    asked = edges.where("id % 20 = 0 AND file <> ''").select("file").distinct()
+    held = edges.select("file", F.explode(F.array("source", "target")).alias("node")).unionByName(nodes.select("file", F.col("id").alias("node"))).distinct()
+    files = held.join(asked, "file").select(F.concat(F.lit("file:"), "file").alias("seed"), "node")
+    starts = _ends(edges).select("seed", F.col("seed").alias("node")).unionByName(files)
+    return G.impact(G.traverse(edges, starts, 2), nodes, edges, 2)
+
+
+@GRAPH.add(
+    "resolution_searches",
+    f"""WITH {_LINKED}, ends AS (SELECT source AS name FROM linked WHERE id % 20 = 0 UNION SELECT target FROM linked WHERE id % 20 = 0),
+    names AS (SELECT name FROM ends UNION SELECT regexp_extract(name, '[^:]+$', 0) FROM ends WHERE NOT ends_with(name, ':')),
+    ids AS (SELECT DISTINCT id FROM nodes), exact AS (SELECT name, id FROM names JOIN ids ON id = name),
+    found AS (SELECT * FROM exact UNION ALL SELECT name, id FROM names JOIN ids ON id ILIKE '%' || name || '%' WHERE name NOT IN (SELECT name FROM exact))
+    SELECT name, id, count(*) OVER (PARTITION BY name) AS matches FROM found""",
+)
+def resolution_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Every searched end by its id, and by its id without the kind before the colon."""
+    ends = _ends(_edges(spark, d)).select(F.col("seed").alias("name"))
+    bare = ends.where("NOT endswith(name, ':')").select(F.regexp_extract("name", "[^:]+$", 0).alias("name"))
+    return G.resolve(table(spark, d, "nodes"), ends.unionByName(bare).distinct())
+
+
 @GRAPH.add(
     "fuzzy_entities",
     """SELECT DISTINCT id FROM nodes WHERE contains(translate(lower(id), '-_ ', ''), 'zonecore') OR contains('zonecore', translate(lower(id), '-_ ', ''))""",

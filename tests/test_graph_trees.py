@@ -1,5 +1,6 @@
 import json
 
+import __spark_entry__ as E
 from kelpie.operators import components as CC
 from kelpie.operators import graph as G
 from kelpie.operators import trees as TR
@@ -81,3 +82,27 @@ def test_fetch_exact_prefix_missing(spark):
     wanted = spark.createDataFrame([("s", "root.a"), ("s", "root.a."), ("s", "zzz"), ("t", "root")], "skeleton_id string, wanted string")
     got = {(r.skeleton_id, r.wanted): (r.found, r.node_path) for r in TR.fetch(nodes, wanted).collect()}
     assert got == {("s", "root.a"): ("exact", "root.a"), ("s", "root.a."): ("prefix", "root.a.b"), ("s", "zzz"): ("missing", None), ("t", "root"): ("missing", None)}
+
+
+def test_searches_start_from_every_twentieth_edge(spark, sf):
+    edges = G.linked(spark.read.parquet(f"{sf}/edges.parquet")).where("id % 20 = 0").collect()
+    ends = {e.source for e in edges} | {e.target for e in edges}
+    asked = ends | {f"file:{e.file}" for e in edges if e.file}
+    assert {r.seed for r in E.queries()["impact_searches"](spark, sf).collect()} == asked
+    for name in ("neighbourhood_searches", "walked_edge_searches"):
+        assert {r.seed for r in E.queries()[name](spark, sf).collect()} == ends
+
+
+def test_resolution_compares_no_name_with_every_id(spark):
+    nodes = spark.createDataFrame([("svc:a_core-Main",), ("svc:axcore-main",), ("env:x",), ("svc:100%-b",), ("q",), ("config:a\\bcd.yaml",)], "id string")
+    names = spark.createDataFrame([("env:x",), ("A_CORE-m",), ("core",), ("100%-b",), ("none such",), ("%core_main",), ("a\\bcd",), (None,)], "name string")
+    found = G.resolve(nodes, names)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.name, set()).add(r.id)
+    core = {"svc:a_core-Main", "svc:axcore-main"}
+    assert got == {"env:x": {"env:x"}, "A_CORE-m": core, "core": core, "100%-b": {"svc:100%-b"}, "%core_main": core, "a\\bcd": {"config:a\\bcd.yaml"}}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    short = spark.createDataFrame([("x",), ("e_v",)], "name string")
+    assert {(r.name, r.id) for r in G.resolve(nodes, short).collect()} == {("x", "env:x"), ("x", "svc:axcore-main"), ("e_v", "env:x")}
