@@ -1,4 +1,4 @@
-"""The whole ingest: files to classes, edges, nodes and chunks, written by partition; only what changed is read again.
+"""Ingest of files to classes, edges and chunks, written by partition; only what changed is read again.
 
 ``files`` has ``repo, branch, file, text``. Tables below ``out``: ``state`` (hash of each
 file), ``files``, ``edges``, ``chunks``; partitioned by repo and branch, so that a run
