@@ -65,7 +65,7 @@ _BLOCK = re.compile(r"""^(?P<pad>\s*)(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["'
 #: A line that none of the rules can concern has none of these (all in lower case).
 _HINTS = (
     "pass pwd pw pin secret token key auth bearer basic sig= signature= :// login credential curl mysql value default eyj ghp_ gho_ ghs_ ghu_ github_pat glpat xox npm_ hvs. "
-    "sk_live rk_live akia asia aiza mot+de contrase senha hasło пароль κωδικός パスワード kennwort"
+    "sk_live rk_live mariadb account user -u akia asia aiza mot+de contrase senha hasło пароль κωδικός パスワード kennwort"
 ).split()
 _PGPASS_LINE = re.compile(r"^[\w.*\-]+:(?:\d+|\*):[^:\s]+:[^:\s]+:\S+[ \t\r]*$", re.M)
 

@@ -61,6 +61,11 @@ def test_a_key_without_its_beginning_counts_at_line_one(spark):
     assert got["0"][0] == [1] and got["1"][0] == [2]
 
 
+def test_every_rule_gets_its_lines():
+    lines = ["stripe: rk_live_a8Kd02mZq7Xw41Lp", "mariadb -h db -pXy7-kQ2zR9vT4", "http -u admin:Xy7kQ2zR9vT4 host", "http\t-u admin:Xy7kQ2zR9vT4 host", "http --user admin:Xy7kQ2zR9vT4 host", "account: bob / Xy7kQ2zR9vT4"]
+    assert [x for x in lines if not C.Finder().find(x, "n.md")] == []
+
+
 def test_a_piece_of_a_key_without_markers_is_told_by_its_file(spark):
     rng = random.Random(5)
     piece = "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(12))
