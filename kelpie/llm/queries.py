@@ -67,7 +67,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add("p6_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     """The texts back from their ids; null comes back empty, as their lists are the same."""
-    return E.decode(E.encode(table(spark, d, "documents")), E.vocabulary(spark))
+    return E.decode(E.encode(table(spark, d, "documents")))
 
 
 @LLM.add("p7_selection")

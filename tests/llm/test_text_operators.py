@@ -176,12 +176,23 @@ def test_ids_are_those_of_the_tokenizer_and_decode_back(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, words string, block int")
     encoder = byte_bpe()
     want = sorted(((r[0], encoder.encode_ordinary(r[1]) if r[1] else []) for r in rows), key=str)
-    for size in (4_000_000, 50):
-        got = E.encode(df, block_chars=size)
+    for size in (1_000_000, 5):
+        got = E.encode(df, block_words=size)
         assert sorted(((r.doc_id, list(r.ids)) for r in got.collect()), key=str) == want
-    back = {r.doc_id: r.text for r in E.decode(E.encode(df.where("doc_id < 7")), E.vocabulary(spark)).collect()}
-    assert back == {i: t or "" for i, t in enumerate(TEXTS) if i < 7}
-    assert E.encode(df.limit(0)).count() == 0
+    back = sorted(((r.doc_id, r.text) for r in E.decode(E.encode(df)).collect()), key=str)
+    assert back == sorted(((r[0], r[1] or "") for r in rows), key=str)
+    odd = E.decode(spark.createDataFrame([(1, [15496, None, -1, 10**9]), (2, None)], "doc_id bigint, ids array<int>")).collect()
+    assert {r.doc_id: r.text for r in odd} == {1: "Hello", 2: None}
+    assert E.encode(df.limit(0)).count() == 0 and E.decode(E.encode(df.limit(0))).count() == 0 and E.vocabulary(spark).count() == 50256
+
+
+def test_words_in_many_blocks_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(E, "SPLIT_BLOCKS", 2)
+    monkeypatch.setattr(E, "WORDS_EACH", 1)
+    monkeypatch.setattr(E, "BLOCKS_EACH", 1)
+    df = spark.createDataFrame([(None, "the same words again")] * 30 + [(1, "the same")], "doc_id bigint, text string")
+    got = [tuple(r.ids) for r in E.encode(df, block_words=4).collect()]
+    assert sorted(got) == sorted([tuple(byte_bpe().encode_ordinary("the same words again"))] * 30 + [tuple(byte_bpe().encode_ordinary("the same"))])
 
 
 # mixing
