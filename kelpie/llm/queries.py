@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpie.llm import credentials as C
@@ -80,6 +80,24 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+@LLM.add(
+    "p7_properties",
+    """WITH usable AS (SELECT source, count(*) FILTER (WHERE text <> '') > 0 AS has_tokens FROM documents WHERE source IS NOT NULL GROUP BY source)
+    SELECT t.source, sum(target_share) AS target_share, max(repeat_cap) AS repeat_cap, coalesce(bool_or(has_tokens), false) AS takes_part, true AS cap_kept, true AS budget_met, true AS share_met
+    FROM mix_targets t LEFT JOIN usable u ON u.source = t.source WHERE t.source IS NOT NULL AND target_share > 0 GROUP BY t.source""",
+)
+def p7_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every mix: caps, budgets missed by no more than the shortest document left, and shares of those that take part."""
+    shares = M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    takes = F.col("documents") > 0
+    scaled = F.when(takes, F.col("target_share")) / F.sum(F.when(takes, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))
+    off = F.abs(F.col("budget_tokens") - F.col("used_tokens"))
+    return shares.select(
+        "source", "target_share", "repeat_cap", takes.alias("takes_part"), (F.col("most_uses") <= F.col("repeat_cap")).alias("cap_kept"),
+        (off <= F.coalesce("shortest_left", F.lit(0))).alias("budget_met"), (F.abs(F.col("actual_share") - F.coalesce(scaled, F.lit(0.0))) < 0.005).alias("share_met"),
+    )
+
+
 @LLM.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return L.pairs(L.same_look(table(spark, d, "documents")))
