@@ -26,7 +26,7 @@ from kelpie.session import materialize, spread
 #: A shuffle has no more partitions than this; beyond it, partitions grow.
 MOST_PARTITIONS = 100_000
 #: Rows of distinct words, and blocks, that one partition of a shuffle should hold.
-WORDS_EACH, BLOCKS_EACH = 200_000, 4
+WORDS_EACH, BLOCKS_EACH = 200_000, 1
 #: Blocks with one word beyond which the word's rows are spread over several tasks.
 SPLIT_BLOCKS = 100_000
 
