@@ -1,8 +1,9 @@
 """Credentials embedded in source code and configuration: find and redact.
 
-Method: a string is unnatural where the subwords of a public tokenizer cover few characters
-each. Context rules decide what an unnatural string, or a plain one in a place made for a
-password, means; what is left is blanked character by character, so that all offsets stay.
+Method: every string of a text is measured first; it is unnatural where the subwords of a
+public tokenizer cover few characters each. Context rules then go over every line and decide
+what an unnatural string, or a plain one in a place made for a password, means; what is left
+is blanked character by character, so that all offsets stay.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,28 +62,26 @@ _NAMED = re.compile(r"""["']?\bname["']?\s*[:=]\s*["']?(?P<name>[\w.\-]+)["']?""
 _VALUE = re.compile(r"""["']?\b(?:value|default)["']?\s*[:=]\s*(?P<val>"(?:[^"\\\n]|\\.)*"|'[^'\n]*'|[^\s,}"'#][^\s,}#]*)""")
 _VARIABLE = re.compile(r"""^\s*variable\s+["'](?P<name>[\w\-]+)["']""")
 _BLOCK = re.compile(r"""^(?P<pad>\s*)(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["']?\s*[:=]\s*(?:[|>][+\-]?\d*|<<[-~]?["']?\w+["']?)\s*$""")
-#: A line that none of the rules can concern has none of these (all in lower case).
-_HINTS = (
-    "pass pwd pw pin secret token key auth bearer basic sig= signature= :// login credential curl mysql value default eyj ghp_ gho_ ghs_ ghu_ github_pat glpat xox npm_ hvs. "
-    "sk_live rk_live mariadb account user -u akia asia aiza mot+de contrase senha hasło пароль κωδικός パスワード kennwort"
-).split()
-_PGPASS_LINE = re.compile(r"^[\w.*\-]+:(?:\d+|\*):[^:\s]+:[^:\s]+:\S+[ \t\r]*$", re.M)
-
-
-@lru_cache(maxsize=1)
-def _hints() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for word in _HINTS:
-        word = word.replace("+", " ")
-        automaton.add_word(word, len(word))
-    automaton.make_automaton()
-    return automaton
+#: A string as the first step measures it, and the key of an assignment or list right before one.
+_STRING = re.compile(r"[A-Za-z0-9_+/.~\-]{12,}={0,2}")
+_KEYED = re.compile(r"""(?P<key>[A-Za-z_][\w.\-]*)["']?\s*(?::=|=>|=|:)\s*(?:[\[{(]\s*(?:["'][^"']*["']\s*,\s*)*)?(?P<quote>["']?)$""")
+_ITEM = re.compile(r"^\s*(?:-\s+)?(?P<quote>[\"']?)$")
+_OPENED = re.compile(r"""^\s*(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["']?\s*[:=]\s*[\[{(]?\s*$""")
+# Words in the name of an unnatural string that make it a credential, and those that make it something else.
+_TELLING = _SECRET_WORDS | frozenset("passwords secrets tokens credentials key keys private hmac cookie session jwt sas salt seed signing encryption master bearer webhook".split())
+_OTHER = frozenset(
+    "id ids uid uuid guid arn sha sha1 sha256 sha512 md5 hash hashes digest checksum sum integrity etag fingerprint thumbprint signature sig commit revision rev ref version tag image images public pub cert certs certificate"
+    " certificates ca chain data content body icon logo font src href url uri path file filename template schema query cursor trace span request correlation container resource instance object pod node build release chart"
+    " nonce iv name names host hostname endpoint type lock resolved".split()
+)
 
 
+@lru_cache(maxsize=65_536)
 def _words(key: str) -> list[str]:
     return [w for w in re.split(r"[^0-9a-zà-ž]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key).lower()) if w]
 
 
+@lru_cache(maxsize=65_536)
 def _holds_secret(key: str) -> bool:
     """Whether a field of this name holds a credential itself, not a name, policy or lifetime of one."""
     words = _words(key)
@@ -105,20 +103,65 @@ def _plain(value: str) -> bool:
     return len(value) >= 4 and not _PLACEHOLDER.match(value) and not _REFERENCE.search(value)
 
 
+#: Rules of one line, and words of which each match in ASCII has one, in lower case; a search for them is cheaper than the rule.
+_RULES = (
+    (_URL, ("://",)), (_SCHEME, ("bearer", "basic")), (_USER, ("-u",)), (_OPTION, ("--",)), (_SHORT_P, ("-p",)), (_SPACED_P, ("-p",)), (_STDIN, ("--password-stdin",)), (_PAIR, ("auth", "credential")),
+    (_CALL, ("pass", "pwd", "secret", "token", "apikey", "pin")), (_PGPASS, (":*:", *(f"{d}:" for d in "0123456789"))), (_FIELD, ("pwd", "pass", "key=", "sig=", "signature=", "_authtoken", "secret")),
+)
+_LOOSE_RULES = ((_PROSE, ("pass", "pwd", "pw", "pin", "token", "api key", "secret", "kennwort", "senha")), (_LOGIN, ("login", "credential", "account", "user")), (_NETRC, ("passw",)))
+_ISSUERS = ("sk_live_", "rk_live_", "gh", "glpat-", "xox", "npm_", "hvs.", "akia", "asia", "aiza", "eyj")
+
+
 class Finder:
     def __init__(self, folder: str = FOLDER, unnatural: float = UNNATURAL) -> None:
         self.folder, self.limit = folder, unnatural
+        self.ratios: dict[str, float] = {}
+        self.lines: dict[tuple[str, bool], list[tuple[int, int]]] = {}
+
+    def measure(self, texts: list[str]) -> None:
+        """Characters per subword of every distinct string of the texts, at once; what earlier texts had is forgotten."""
+        strings = {s for t in texts for s in _STRING.findall(t)}
+        self.ratios, self.lines = {s: chars_per_token(s, self.folder) for s in strings}, {}
+
+    def ratio(self, string: str) -> float:
+        if (known := self.ratios.get(string)) is None:
+            known = self.ratios[string] = chars_per_token(string, self.folder)
+        return known
+
+    def odd(self, line: str) -> list[re.Match]:
+        """The unnatural strings of a line that look made at random: letters of both cases and digits, few characters for each subword."""
+        found = [m for m in _STRING.finditer(line) if self.ratio(m[0]) < 2.4]
+        return [m for m in found if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0]) and not re.fullmatch(r"[0-9a-fA-F\-]+", m[0])]
+
+    def named(self, m: re.Match, line: str, key: str) -> bool:
+        """Whether an unnatural string that is all of a value is a credential under this name."""
+        words = set(_words(key))
+        whole = m[0][0] not in "/.-" and "//" not in m[0] and re.match(r"[\"'\s,;\])}]|$", line[m.end() :]) and not re.match(r"(?:sha\d+|ssh|ecdsa)-", m[0])
+        return bool(whole) and not words & _OTHER and _plain(m[0]) and (bool(words & _TELLING) or len(m[0]) >= 20 and self.ratio(m[0]) < 2.2)
 
     def unnatural(self, value: str) -> bool:
         """Few characters for each subword, one word of many subwords, or words glued to digits as in made-up passwords."""
         core = value.strip(".,:!?*+")
-        ratio = chars_per_token(core, self.folder)
+        ratio = self.ratio(core)
         return ratio < self.limit or core.isalpha() and ratio * 4 <= len(core) and ratio < 4.5 or bool(re.search(r"[A-Za-z]-?\d{2,}[!?*+]?$", value) and re.search(r"[A-Z]", value))
 
     def in_line(self, line: str, code: bool) -> list[tuple[int, int]]:
         """Spans of credentials that the line shows by itself."""
-        spans = [m.span() for m in _ISSUED.finditer(line)]
-        for rule in (_URL, _SCHEME, _USER, _OPTION, _SHORT_P, _SPACED_P, _STDIN, _PAIR, _CALL, _PGPASS, _FIELD):
+        if (known := self.lines.get((line, code))) is None:
+            known = self.lines[line, code] = self._in_line(line, code)
+        return known
+
+    def _in_line(self, line: str, code: bool) -> list[tuple[int, int]]:
+        low = line.lower()
+        every = not low.isascii()  # letters of other scripts fold in more ways
+        spans = [m.span() for m in _ISSUED.finditer(line)] if every or any(w in low for w in _ISSUERS) else []
+        for rule, words in _RULES:
+            for w in words:
+                if w in low:
+                    break
+            else:
+                if not every:
+                    continue
             for m in rule.finditer(line):
                 raw = m["val"]
                 if rule is _SCHEME and not self.unnatural(raw):
@@ -128,7 +171,7 @@ class Finder:
                 if _plain(_literal(raw)):
                     spans.append(self._inner(m, raw))
         at = 0
-        while m := _ASSIGN.search(line, at):
+        while (":" in line or "=" in line) and (m := _ASSIGN.search(line, at)):
             raw, value = m["val"], _literal(m["val"])
             at = m.end()
             if not _holds_secret(m["key"]):
@@ -156,8 +199,8 @@ class Finder:
             if value.lower().startswith(("-----begin", "ssh-")):
                 continue
             spans.append(self._inner(m, raw))
-        for rule in (_PROSE, _LOGIN, _NETRC):
-            for m in rule.finditer(line):
+        for rule, words in _LOOSE_RULES:
+            for m in rule.finditer(line) if every or any(w in low for w in words) else ():
                 value = m["val"].rstrip(".:")
                 ticked = rule is _PROSE and m["tick"]
                 if _plain(value) and (ticked or not re.search(r"^https?:|[/=<>{}]{2}|^--|[(\[{]", value) and not ("=" in value and _holds_secret(value.split("=")[0]))) and self.unnatural(value) and not re.search(r"\s", value):
@@ -166,6 +209,10 @@ class Finder:
                     if rule is not _NETRC and value.islower() and value.isalpha() and not re.search(r"(?i)[:：=`]\s*[`\"']?$|\b(?:is|pw|pwd)\s+[`\"']?$|/\s*$", line[: m.start("val")]):
                         continue  # an ordinary word after the word
                     spans.append((m.start("val"), m.start("val") + len(value)))
+        for m in self.odd(line):
+            k = _KEYED.search(line, 0, m.start())
+            if k and not any(a < m.end() and m.start() < b for a, b in spans) and self.named(m, line, k["key"]):
+                spans.append(m.span())
         return spans
 
     @staticmethod
@@ -176,27 +223,20 @@ class Finder:
     def find(self, text: str, path: str | None = None) -> list[tuple[int, int, int]]:
         """(line from 1, start, end) of each credential; offsets count code points."""
         code = bool(re.search(r"\.(?:tf|py|java|kt|go|js|ts|cs|rb)$", path or ""))
-        low = text.lower()
-        if len(low) != len(text):  # a few capitals grow in lower case
-            low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        places = {low.rfind("\n", 0, end) + 1 for end, _ in _hints().iter(low)}
-        places.update(m.start() for m in _PGPASS_LINE.finditer(text))
         found: list[tuple[int, int, int]] = []
         keys, skip = self._private_keys(text)
         if path and not keys and (_KEY_FILE.search(path) or _CERT_FILE.search(path)) and self._key_piece(text):
             return [(1, 0, len(text))] if _KEY_FILE.search(path) else []
         found += keys
-        no, at, named, variable, done = 1, 0, None, None, -1
-        for start in sorted(places):
-            no, at = no + text.count("\n", at, start), start
+        stop, named, variable, opened, done = -1, None, None, "", -1
+        for no, line in enumerate(text.split("\n"), 1):
+            start, stop = stop + 1, stop + 1 + len(line)
             if start < done or any(a <= start < b for a, b in skip):
                 continue
-            stop = text.find("\n", start)
-            line = text[start : len(text) if stop < 0 else stop]
-            if m := _VARIABLE.match(line):
+            if "variable" in line and (m := _VARIABLE.match(line)):
                 variable = (m["name"], start) if _holds_secret(m["name"]) else None
-            spans = self.in_line(line, code)
-            if v := _VALUE.search(line):
+            spans = list(self.in_line(line, code))
+            if ("value" in line or "default" in line) and (v := _VALUE.search(line)):
                 value = _literal(v["val"])
                 n = _NAMED.search(line)
                 inside = variable and text.find("\n}", variable[1], start) < 0 and variable[0]
@@ -204,11 +244,16 @@ class Finder:
                 comment = re.search(r"(?:#|//).*\b(?:token|password|secret|api key|passphrase)\b", line[v.end() :])
                 if _plain(value) and (owner and _holds_secret(owner) or comment and self.unnatural(value)):
                     spans.append(self._inner(v, v["val"]))
-            if n := _NAMED.search(line):
+            if "name" in line and (n := _NAMED.search(line)):
                 named = (n["name"], no)
+            if opened and not spans:  # an item of a list under a telling name
+                spans += [m.span() for m in self.odd(line) if _ITEM.match(line[: m.start()]) and self.named(m, line, opened)]
+            o = _OPENED.match(line) if line.rstrip()[-1:] in tuple(":=[{(") else None
+            if o or opened and not re.match(r"\s*(?:-\s|[\"'\])}]|$)", line):
+                opened = o["key"] if o and _TELLING & set(_words(o["key"])) else ""
             found += [(no, start + s, start + e) for s, e in spans]
-            b = _BLOCK.match(line)
-            if b and _holds_secret(b["key"]) and stop >= 0:
+            b = _BLOCK.match(line) if "|" in line or ">" in line or "<<" in line else None
+            if b and _holds_secret(b["key"]) and stop < len(text):
                 done = self._block(text, stop + 1, no + 1, len(b["pad"]), found)
         return sorted(set(found))
 
@@ -235,7 +280,7 @@ class Finder:
         if not (m := _KEY_LINES.fullmatch(text)):
             return False
         body = re.sub(r"\s", "", m["body"])
-        return len(body) >= 16 and bool(re.search("[A-Z]", body) and re.search("[a-z]", body) and re.search("[0-9+/]", body)) and chars_per_token(body, self.folder) < self.limit
+        return len(body) >= 16 and bool(re.search("[A-Z]", body) and re.search("[a-z]", body) and re.search("[0-9+/]", body)) and self.ratio(body) < self.limit
 
     @staticmethod
     def _block(text: str, at: int, no: int, pad: int, found: list[tuple[int, int, int]]) -> int:
@@ -261,6 +306,7 @@ _SPANS = "array<struct<line_no:int,start:int,stop:int>>"
 def _scan(batches: Iterator[pd.DataFrame], folder: str, redact: bool) -> Iterator[pd.DataFrame]:
     finder = Finder(folder)
     for batch in batches:
+        finder.measure([t for t in batch["_text"] if t])
         spans = [finder.find(t, p) if t else [] for t, p in zip(batch["_text"], batch["_path"])]
         out = batch.drop(columns=["_text", "_path"])
         if redact:

@@ -22,6 +22,12 @@ def byte_bpe(folder: str = FOLDER, name: str = "byte_bpe_50k"):
     return tiktoken.Encoding(name, pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_PIECE = 256  # characters; a longer string is measured piece by piece, so that the time stays linear
+
+
 def chars_per_token(text: str, folder: str = FOLDER) -> float:
     """Mean characters for each subword: about 4 to 6 in words, 2 or less in random strings."""
-    return len(text) / max(1, len(byte_bpe(folder).encode_ordinary(text)))
+    encode = byte_bpe(folder).encode_ordinary
+    if len(text) <= _PIECE:
+        return len(text) / max(1, len(encode(text)))
+    return len(text) / sum(len(encode(text[i : i + _PIECE])) for i in range(0, len(text), _PIECE))

@@ -66,6 +66,28 @@ def test_every_rule_gets_its_lines():
     assert [x for x in lines if not C.Finder().find(x, "n.md")] == []
 
 
+def test_unnatural_strings_without_a_known_field_are_told_by_their_names():
+    one = "q8ZrT1mVb7LwYc39fK2xP"
+    holds = [f"hmac = '{one}'", f"session_cookie: {one}", f'keys: ["{one}"]', f"private_key_b64: {one}==", f'const SERVICE = "{one}";', f'signing: ["a", "{one}"]', f"keys:\n  - x\n  - {one}"]
+    none = [f"sha256: {one}", f"image: repo/{one}", f'"integrity": "sha512-{one}=="', f"public_key = {one}", f"requestId: {one}", f"see {one} there", f"url: https://x.test/{one}", f"names:\n  - {one}", "type: BuilderOfSomething2Large", f"fingerprint: SHA256:{one}", f"ref: ${{{one}}}"]
+    find = C.Finder().find
+    assert [x for x in holds if not find(x, "a.txt")] == [] and [x for x in none if find(x, "a.txt")] == []
+    assert find(holds[-1], None) == [(3, 16, 16 + len(one))]
+
+
+def test_every_line_is_looked_at_alone_and_rules_skip_nothing(monkeypatch):
+    lines = [x for t, _ in HOLDS + HOLDS_NONE if t and "PRIVATE" not in t for x in t.split("\n")]
+    lines += [x.upper() for x in lines] + [x.replace("s", "\u017f") for x in lines] + [f"{x} \u00e9" for x in lines]
+    finder, plain = C.Finder(), C.Finder()
+    got = {x: finder.in_line(x, False) for x in lines}
+    for x in lines:
+        assert {(a, b) for _, a, b in finder.find(x)} >= set(got[x])
+    for name in ("_RULES", "_LOOSE_RULES"):
+        monkeypatch.setattr(C, name, tuple((rule, ("",)) for rule, _ in getattr(C, name)))
+    monkeypatch.setattr(C, "_ISSUERS", ("",))
+    assert {x: plain.in_line(x, False) for x in lines} == got
+
+
 def test_a_piece_of_a_key_without_markers_is_told_by_its_file(spark):
     rng = random.Random(5)
     piece = "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(12))
