@@ -35,7 +35,8 @@ _PLACEHOLDER = re.compile(
     r"|(.)\1*|dummy.*|example.*|\.\.\.+|strict|bearer|basic|required|optional|not[-_ ]set)$"
 )
 _REFERENCE = re.compile(r"^(?:\$|<|\{\{|%\(|%[A-Z_]+%|\*[a-z_\-]+$|&[a-z_\-]+$|!(?:Ref|Sub|GetAtt|ImportValue|vault|secret)\b|var\.|local\.|data\.|module\.|vault:|ref\+|arn:|secretsmanager|os\.|process\.|env\.|config\.|request\.|System\.|self\.)|\$\{|\$\(|\{\{|<\+|\$[A-Z_]{2,}|^[A-Za-z_][\w.]*\(.*\)$|^(?:prompt|getpass|input|file|lookup)\(")
-_ASSIGN = re.compile(r"""(?<![\w.\-])(?P<key>[A-Za-z_][\w.\-]*+)["']?\s*+(?P<op>:=|=>|=|:)(?P<sp>\s*)(?P<val>"(?:[^"\\\n]|\\.)*"|'(?:[^'\n])*'|[^\s,;"'`{}\[\]()|&]+)""")
+_ASSIGN = re.compile(r"""(?<![\w.\-])(?P<key>[A-Za-z_][\w.\-]*+)["']?\s*+(?P<op>:=|=>|=|:)(?P<sp>\s*+)""")
+_ASSIGNED = re.compile(r"""(?P<val>"(?:[^"\\\n]|\\.)*"|'(?:[^'\n])*'|[^\s,;"'`{}\[\]()|&]+)""")
 _FIELD = re.compile(r"""(?i)\b(?P<key>pwd|password|sharedaccesskey|accountkey|sig|signature|_authtoken|pass|secret)=(?P<val>[^\s;&"'`<>,)]+)""")
 _URL = re.compile(r"""(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]{1,30}://[^\s/:@"'`]*:(?P<val>[^\s/@"'`]+)@""")
 _SCHEME = re.compile(r"""(?i)\b(?:bearer|basic)\s+(?P<val>[A-Za-z0-9+/=._\-~]{8,})""")
@@ -64,7 +65,8 @@ _VARIABLE = re.compile(r"""^\s*variable\s+["'](?P<name>[\w\-]+)["']""")
 _BLOCK = re.compile(r"""^(?P<pad>\s*)(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["']?\s*[:=]\s*(?:[|>][+\-]?\d*|<<[-~]?["']?\w+["']?)\s*$""")
 #: A string as the first step measures it, and the key of an assignment or list right before one.
 _STRING = re.compile(r"[A-Za-z0-9_+/.~\-]{12,}={0,2}")
-_KEYED = re.compile(r"""(?P<key>[A-Za-z_][\w.\-]*)["']?\s*(?::=|=>|=|:)\s*(?:[\[{(]\s*(?:["'][^"']*["']\s*,\s*)*)?(?P<quote>["']?)$""")
+_KEYED = re.compile(r"""(?<![\w.\-])(?P<key>[A-Za-z_][\w.\-]*+)["']?\s*+(?::=|=>|=|:)\s*+(?P<list>[\[{(]\s*+)?""")
+_ENDED = re.compile(r"[\"'\s,;\])}]|$")
 _ITEM = re.compile(r"^\s*(?:-\s+)?(?P<quote>[\"']?)$")
 _OPENED = re.compile(r"""^\s*(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["']?\s*[:=]\s*[\[{(]?\s*$""")
 # Words in the name of an unnatural string that make it a credential, and those that make it something else.
@@ -136,7 +138,7 @@ class Finder:
     def named(self, m: re.Match, line: str, key: str) -> bool:
         """Whether an unnatural string that is all of a value is a credential under this name."""
         words = set(_words(key))
-        whole = m[0][0] not in "/.-" and "//" not in m[0] and re.match(r"[\"'\s,;\])}]|$", line[m.end() :]) and not re.match(r"(?:sha\d+|ssh|ecdsa)-", m[0])
+        whole = m[0][0] not in "/.-" and "//" not in m[0] and _ENDED.match(line, m.end()) and not re.match(r"(?:sha\d+|ssh|ecdsa)-", m[0])
         return bool(whole) and not words & _OTHER and _plain(m[0]) and (bool(words & _TELLING) or len(m[0]) >= 20 and self.ratio(m[0]) < 2.2)
 
     def unnatural(self, value: str) -> bool:
@@ -172,11 +174,11 @@ class Finder:
                     spans.append(self._inner(m, raw))
         at = 0
         while (":" in line or "=" in line) and (m := _ASSIGN.search(line, at)):
-            raw, value = m["val"], _literal(m["val"])
-            at = m.end()
-            if not _holds_secret(m["key"]):
-                at = m.start("val") + (raw != value)  # an assignment may lie within the value
+            at = m.end()  # an assignment may lie within the value
+            if not _holds_secret(m["key"]) or not (v := _ASSIGNED.match(line, at)):
                 continue
+            raw, value = v["val"], _literal(v["val"])
+            at = v.end()
             if not _plain(value):
                 continue
             quoted = raw != value
@@ -187,7 +189,7 @@ class Finder:
                     continue
                 if m["op"] == ":" and not m["sp"] and not value[0].isalnum():
                     continue
-                rest = line[m.end() :].strip()
+                rest = line[v.end() :].strip()
                 if rest and not rest.startswith(("#", "//", ",", "}", "&", "|", "(", "\\", "`", '"', "'", ";", "psql", "]", ")")) and m["op"] == ":" and not self.unnatural(value):
                     continue  # a sentence
                 if value.startswith(("http://", "https://")):
@@ -198,7 +200,7 @@ class Finder:
                 continue  # the scheme's own rule has looked at it
             if value.lower().startswith(("-----begin", "ssh-")):
                 continue
-            spans.append(self._inner(m, raw))
+            spans.append(self._inner(v, raw))
         for rule, words in _LOOSE_RULES:
             for m in rule.finditer(line) if every or any(w in low for w in words) else ():
                 value = m["val"].rstrip(".:")
@@ -209,12 +211,26 @@ class Finder:
                     if rule is not _NETRC and value.islower() and value.isalpha() and not re.search(r"(?i)[:：=`]\s*[`\"']?$|\b(?:is|pw|pwd)\s+[`\"']?$|/\s*$", line[: m.start("val")]):
                         continue  # an ordinary word after the word
                     spans.append((m.start("val"), m.start("val") + len(value)))
-        for m in self.odd(line):
-            k = _KEYED.search(line, 0, m.start())
-            if k and not any(a < m.end() and m.start() < b for a, b in spans) and self.named(m, line, k["key"]):
-                spans.append(m.span())
+        if odd := self.odd(line):
+            spans += [m.span() for m, key in self._keyed(line, odd) if not any(a < m.end() and m.start() < b for a, b in spans) and self.named(m, line, key)]
         return spans
 
+    @staticmethod
+    def _keyed(line: str, strings: list[re.Match]) -> Iterator[tuple[re.Match, str]]:
+        """The strings that are the value of a key of the line, or an item of a list that is, with the key."""
+        openers = _KEYED.finditer(line)
+        last, following, seen = None, next(openers, None), 0
+        for m in strings:
+            while following and following.end() <= m.start():
+                last, seen, following = following, following.end(), next(openers, None)
+            if not last:
+                continue
+            between = line[seen : m.start()]
+            at_value = seen == last.end() and between in ("", '"', "'")
+            if at_value or last["list"] and not any(c in between for c in "])}") and between.rstrip("\"'").rstrip()[-1:] == ",":
+                yield m, last["key"]
+                seen = m.end()
+
     @staticmethod
     def _inner(m: re.Match, raw: str) -> tuple[int, int]:
         cut = raw != _literal(raw)
@@ -247,7 +263,7 @@ class Finder:
             if "name" in line and (n := _NAMED.search(line)):
                 named = (n["name"], no)
             if opened and not spans:  # an item of a list under a telling name
-                spans += [m.span() for m in self.odd(line) if _ITEM.match(line[: m.start()]) and self.named(m, line, opened)]
+                spans += [m.span() for m in self.odd(line)[:1] if _ITEM.match(line[: m.start()]) and self.named(m, line, opened)]
             o = _OPENED.match(line) if line.rstrip()[-1:] in tuple(":=[{(") else None
             if o or opened and not re.match(r"\s*(?:-\s|[\"'\])}]|$)", line):
                 opened = o["key"] if o and _TELLING & set(_words(o["key"])) else ""
