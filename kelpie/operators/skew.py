@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: No more keys than this are ever treated as hot, so the table of them can be broadcast.
-MAX_HOT_KEYS = 10_000
-#: Rows of one key beyond which its group is split.
+from kelpie.session import materialize
+
+#: Rows of one key beyond which its group is split. A group below it stays in one task: at 100 bytes a row, 100 MB.
 SPLIT_ROWS = 1_000_000
+#: Hot keys up to which their table is broadcast (a few MB); beyond it the planner chooses the join.
+MOST_BROADCAST = 100_000
 
 
 def hot_keys(df: DataFrame, keys: str | list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Keys with more than ``split_rows`` rows and the number of parts to split each into.
+    """Keys with more than ``split_rows`` rows and the number of parts to split each into, written once.
 
-    Counts combine before the shuffle. At most ``MAX_HOT_KEYS`` rows come out (the
-    largest), which bounds what is broadcast; a key beyond them has fewer rows than each
-    of those and stays whole. A null key is never hot. Columns: the keys and ``parts``.
+    Counts combine before the shuffle. Every such key comes out, so there are at most
+    rows / ``split_rows`` of them. A null key is never hot. Columns: the keys and ``parts``.
     """
     keys = [keys] if isinstance(keys, str) else keys
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        counts.where(F.col("_n") > split_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("parts"))
-    )
+    return materialize(counts.where(F.col("_n") > split_rows).select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("parts")), "hot")
+
+
+def _known(hot: DataFrame) -> DataFrame:
+    return F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
 
 
 def salted(df: DataFrame, hot: DataFrame, keys: str | list[str], by: str | list[str]) -> DataFrame:
-    """The side with many rows: ``salt`` spreads rows of a hot key by the hash of ``by``."""
+    """The side with many rows: ``salt`` spreads rows of a hot key by the hash of ``by``. ``hot`` is a materialised table."""
     by = [by] if isinstance(by, str) else by
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        df.join(_known(hot), keys, "left")
         .withColumn("salt", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), "parts").cast("int")))
         .drop("parts")
     )
@@ -41,7 +41,7 @@ def salted(df: DataFrame, hot: DataFrame, keys: str | list[str], by: str | list[
 def replicated(df: DataFrame, hot: DataFrame, keys: str | list[str]) -> DataFrame:
     """The other side: each row of a hot key once for each of its salts."""
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        df.join(_known(hot), keys, "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
         .drop("parts")
     )

@@ -58,7 +58,8 @@ _LINKS_SQL = """
 WITH RECURSIVE links AS (
   SELECT edge_type, source AS node, min(target) AS parent FROM edges
   WHERE edge_type IN ('DEPENDS_ON', 'OVERRIDES_FOR_ENV') AND source <> '' AND target <> '' GROUP BY ALL),
-ids AS (SELECT edge_type, node FROM links UNION SELECT edge_type, parent FROM links),
+named AS (SELECT * FROM edges WHERE edge_type IN ('DEPENDS_ON', 'OVERRIDES_FOR_ENV') AND source <> '' AND target <> ''),
+ids AS (SELECT edge_type, source AS node FROM named UNION SELECT edge_type, target FROM named),
 walk AS (
   SELECT edge_type, node, node AS cur, 0 AS hops, [node] AS path FROM ids
   UNION ALL

@@ -15,7 +15,7 @@ def brute(pairs):
     for a, b in pairs:
         if a and b:
             up[a] = min(up.get(a, b), b)
-    for n in {*up, *up.values()}:
+    for n in {x for p in pairs if all(p) for x in p}:
         trail, at = [], n
         while at in up and at not in trail:
             trail.append(at)
@@ -47,6 +47,13 @@ def test_random_functional_graph(spark):
     same(spark, [(f"x{i}", f"x{rng.randrange(300)}") for i in range(0, 300, 2)] + [(f"x{i}", f"x{rng.randrange(i)}") for i in range(1, 300, 2)])
 
 
+def test_other_parents_stay_nodes_and_their_links_are_reported(spark):
+    pairs = [("c", "b"), ("c", "d"), ("c", "e"), ("b", "a"), ("e", "f")]
+    same(spark, pairs)
+    df = spark.createDataFrame([(a, b, "T", "", "", 1) for a, b in pairs], EDGE)
+    assert {(r.node, r.parent) for r in H.dropped(df, H.links(df)).collect()} == {("c", "d"), ("c", "e")}
+
+
 def test_descendants_and_empty(spark):
     df = spark.createDataFrame([("c", "b", "T", "", "", 1), ("b", "a", "T", "", "", 1)], EDGE)
     found = {(r.ancestor, r.descendant, r.distance) for r in H.descendants(H.hierarchy(H.links(df), True)).collect()}
