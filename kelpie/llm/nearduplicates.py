@@ -10,26 +10,28 @@ are verified exactly on their whole word sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.operators.components import components
+from kelpie.operators.skew import split_join
 from kelpie.session import materialize, spread
 
 WORD = "([a-z0-9_]+)"
 HASHES = 64  # MinHash values of a class, a byte each
 STEP = 8  # compared before each decision
 TOLERANCE = 1e-7
-BUCKETS = 1 << 24  # of the table that counts how many texts have a word; a word counts as often as its bucket
-SLICE = 1 << 16
 SPLIT = 100_000  # texts with one prefix word beyond which its group is split
+MOST_PARTITIONS = 100_000  # of a shuffle; beyond it, partitions grow
+WORDS_EACH, BLOCKS_EACH = 200_000, 1  # words of blocks, and blocks, that one partition of a shuffle should hold
 
 
 def _minhash(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -47,7 +49,8 @@ def _minhash(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and sorted word hashes to class key, size, words and sketch; at least one word each."""
+    """id and sorted word hashes to block, class key, size, words and sketch; at least one word each. A batch is a block."""
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
         words = batch.column("words")
         if not len(words):
@@ -58,67 +61,87 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = _minhash(flat, starts)
         keys = [hashlib.blake2b(flat[a : a + n].tobytes(), digest_size=16).digest() for a, n in zip(starts, sizes)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), words, pa.array([r.tobytes() for r in sketch], pa.binary())],
-            ["id", "key", "n", "words", "sketch"],
+            [batch.column("id"), pa.array(np.full(len(words), block)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), words, pa.array([r.tobytes() for r in sketch], pa.binary())],
+            ["id", "block", "key", "n", "words", "sketch"],
         )
+        block += 1
 
 
 def signed(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``id, key, n, words, sketch`` of every row that has a word; whole texts, words hashed to 64 bits."""
+    """``id, block, key, n, words, sketch`` of every row that has a word; whole texts, words hashed to 64 bits."""
     kind = df.schema[key].dataType.simpleString()
     words = F.sort_array(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1))), lambda w: F.xxhash64(w)))
-    return spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", words.alias("words")).where(F.size("words") > 0).mapInArrow(_signed, f"id {kind}, key binary, n int, words array<bigint>, sketch binary")
+    texts = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", words.alias("words")).where(F.size("words") > 0)
+    return texts.mapInArrow(_signed, f"id {kind}, block bigint, key binary, n int, words array<bigint>, sketch binary")
 
 
-def _dense(group: pa.Table) -> pa.Table:
-    """Counts of one slice of buckets, a byte each: eight times the binary logarithm, 0 for none or one."""
-    out = np.zeros(SLICE, np.uint8)
-    at, n = np.asarray(group.column("bucket")) % SLICE, np.asarray(group.column("count"))
-    out[at] = np.minimum(255, np.floor(np.log2(n) * 8))
-    return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+def _fresh(keys: pa.Array) -> pa.Array:
+    """The first row of each key."""
+    first = pc.index_in(keys, value_set=pc.unique(keys))
+    return pa.array(np.unique(np.asarray(first), return_index=True)[1])
 
 
-def word_counts(table: DataFrame) -> np.ndarray:
-    """The byte of each bucket, over all texts: ``BUCKETS`` bytes whatever the input."""
-    bucket = F.pmod(F.col("w"), F.lit(BUCKETS)).cast("int")
-    counts = table.select(F.explode("words").alias("w")).groupBy(bucket.alias("bucket")).count()
-    slices = counts.withColumn("slice", F.floor(F.col("bucket") / SLICE).cast("int")).groupBy("slice").applyInArrow(_dense, "slice int, counts binary").collect()
-    out = np.zeros(BUCKETS, np.uint8)
-    for r in slices:
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
-    return out
+def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of the classes of a block, and how many of them have it; a block comes as consecutive rows."""
+    for batch in batches:
+        blocks = np.asarray(batch.column("block"))
+        bounds = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for start, stop in zip(bounds, bounds[1:]):
+            if stop > start:
+                part = batch.slice(start, stop - start)
+                words, uses = np.unique(np.asarray(part.take(_fresh(part.column("key"))).column("words").flatten()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), blocks[start])), pa.array(words), pa.array(uses, pa.int64())], ["block", "w", "uses"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) -> Iterator[pa.RecordBatch]:
-    """The rarest words of each class with their place, once for each class and partition.
+def _prefixes(t: Fraction) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rarest words of each class of a block with their place, and the parts their groups are split into.
 
-    A word that no other text has is left out, as it can lead to no pair.
+    A word that no other class has is left out, as it can lead to no pair. Words equally rare
+    are in the order of their hashes, so that all blocks agree.
     """
-    seen: set[bytes] = set()
-    for batch in batches:
-        keys = batch.column("key").to_pylist()
-        fresh = []
-        for i, k in enumerate(keys):
-            if k not in seen:
-                seen.add(k)
-                fresh.append(i)
-        batch = batch.take(pa.array(fresh, pa.int32()))
-        if not batch.num_rows:
-            continue
-        flat, n = np.asarray(batch.column("words").flatten()), np.asarray(batch.column("n")).astype(np.int64)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right.column("w")))
+        known, counts = np.asarray(right.column("w")), np.asarray(right.column("count"))
+        keys = left.column("key").combine_chunks()
+        picked = _fresh(keys)
+        left, keys = left.take(picked), keys.take(picked)
+        flat, n = np.asarray(left.column("words").combine_chunks().flatten()), np.asarray(left.column("n")).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        count = counts[flat % BUCKETS]
+        count = counts[np.searchsorted(known, flat)] if len(flat) else np.zeros(0, np.int64)
         order = np.lexsort((flat, count, row))
         place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         length = n - -(-t.numerator * n // t.denominator) + 1
-        inside = (place < length[row]) & (count[order] > 0)
+        inside = (place < length[row]) & (count[order] > 1)
         chosen, rows = order[inside], row[inside]
-        parts = (np.exp2(count[chosen] / 8) // SPLIT + 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(flat[chosen], pa.int64()), batch.column("key").take(pa.array(rows)), pa.array(n[rows], pa.int32()), pa.array(place[inside], pa.int32()), pa.array(parts)],
+        return pa.table(
+            [pa.array(flat[chosen], pa.int64()), keys.take(pa.array(rows)), pa.array(n[rows], pa.int32()), pa.array(place[inside], pa.int32()), pa.array((count[chosen] // SPLIT + 1).astype(np.int32))],
             ["token", "key", "n", "place", "parts"],
         )
 
+    return run
+
+
+def rare_words(table: DataFrame, t: Fraction) -> tuple[DataFrame, bool]:
+    """(``token, key, n, place, parts`` of the words of each class that may lead to a pair, whether any group is split).
+
+    How many classes have a word is counted exactly in a partitioned table: blocks of texts
+    send each of their distinct words once and get its count back, so nothing is broadcast,
+    whatever the vocabulary. A class in several blocks counts in each, which changes only
+    the order.
+    """
+    least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a class of n words has no partner below threshold n/(n+1)
+    useful = table.where(F.col("n") + 1 >= F.lit(float(1 / (1 - t))) - 1e-9).select("block", "key", "n", "words")
+    words = useful.select("block", "key", "words").mapInArrow(_lexicon, "block bigint, w bigint, uses bigint")
+    size = useful.agg(F.sum("n").alias("words"), F.count_distinct("block").alias("blocks")).first()
+    parts, blocks = (max(least, min(int(n or 0), MOST_PARTITIONS)) for n in ((size["words"] or 0) // WORDS_EACH // 4, size["blocks"] // BLOCKS_EACH))
+    placed = words.repartition(parts, "w")
+    counted = materialize(placed.select("block", "w").join(placed.groupBy("w").agg(F.sum("uses").alias("count")), "w"), "words")
+    hot = (counted.agg(F.max("count")).first()[0] or 0) > SPLIT
+    tokens = useful.repartition(blocks, "block").groupBy("block").cogroup(counted.repartition(blocks, "block").groupBy("block"))
+    return tokens.applyInArrow(_prefixes(t), "token bigint, key binary, n int, place int, parts int"), hot
+
 
 def least_matches(t: float, tolerance: float = TOLERANCE, hashes: int = HASHES, step: int = STEP) -> list[int]:
     """For each step, the fewest matches with which a pair may go on.
@@ -154,14 +177,7 @@ def similar_classes(table: DataFrame, threshold: float = 0.8) -> DataFrame:
     the first such word, what follows in both sets must still suffice for the threshold.
     """
     t = Fraction(str(threshold))
-    counted = word_counts(table)
-    hot = 2.0 ** (int(counted.max(initial=0)) / 8) > SPLIT
-    counts = table.sparkSession.sparkContext.broadcast(counted)
-    # a class of n words has no partner below threshold n/(n+1)
-    tokens = (
-        table.where(F.col("n") + 1 >= F.lit(float(1 / (1 - t))) - 1e-9).select("key", "n", "words")
-        .mapInArrow(lambda b: _prefixes(b, counts.value, t), "token bigint, key binary, n int, place int, parts int")
-    )
+    tokens, hot = rare_words(table, t)
     if hot:  # words of many texts may lead some prefixes: split their groups
         spread = tokens.dropDuplicates(["token", "key"])
         left = spread.withColumn("salt", F.pmod(F.xxhash64("key"), "parts").cast("int"))
@@ -202,17 +218,21 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, key: str = "id", text
     have no class. Rows that repeat an id count once.
     """
     table = materialize(signed(df, key, text), "signed")
-    members = table.select("id", "key").distinct()
+    members = materialize(table.select("id", "key").distinct(), "members")
     return members, materialize(similar_classes(table, threshold), "links")
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs ``id_a < id_b``: the links between classes and the copies within a class, with every id."""
+    """All pairs ``id_a < id_b``: the links between classes and the copies within a class, with every id.
+
+    Classes of very many copies are split in each join.
+    """
     a, b = members.select(F.col("id").alias("x"), F.col("key").alias("key_a")), members.select(F.col("id").alias("y"), F.col("key").alias("key_b"))
-    across = links.join(a, "key_a").join(b, "key_b").select("x", "y")
+    across = split_join(b, split_join(a, links, ["key_a"], ["x"]), ["key_b"], ["y"]).select("x", "y")
     repeated = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    again = members.join(repeated, "key", "left_semi")
-    copies = again.select("key", F.col("id").alias("x")).join(again.select("key", F.col("id").alias("y")), "key").where("x < y").select("x", "y")
+    again = split_join(members, repeated, ["key"], ["id"], "left_semi")
+    rows = members.count()
+    copies = split_join(again.select("key", F.col("id").alias("x")), again.select("key", F.col("id").alias("y")), ["key"], ["x"], rows=rows).where("x < y").select("x", "y")
     return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
@@ -229,6 +249,6 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     degree = edges.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     found = components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
     rich = classes.join(degree, "class_id", "left").join(found, "class_id", "left")
-    return members.join(rich, "key").select(
+    return split_join(members, rich, ["key"], ["id"]).select(
         "id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")
     )

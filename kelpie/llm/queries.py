@@ -44,7 +44,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return N.pairs(*N.near_duplicates(table(spark, d, "chunks")))
 
 
-@LLM.add("p3_groups")
+@LLM.add(
+    "p3_groups",
+    _WORDS_SQL.replace("WITH texts", "WITH RECURSIVE texts", 1)
+    + """, both_ AS (SELECT x, y FROM similar_ UNION ALL SELECT y, x FROM similar_),
+    sets AS (SELECT id, string_agg(w, ' ' ORDER BY w) AS s FROM words GROUP BY id),
+    classes AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM sets),
+    reach AS (SELECT id, id AS r FROM sets UNION SELECT reach.id, y FROM reach JOIN both_ ON x = r),
+    found AS (SELECT id, min(r) AS group_id FROM reach GROUP BY id),
+    degree AS (SELECT x AS id, count(DISTINCT b.class_id) AS links FROM both_ JOIN classes a ON a.id = x JOIN classes b ON b.id = y WHERE a.class_id <> b.class_id GROUP BY x)
+    SELECT c.id, class_id, group_id, copies, coalesce(links, 0) AS links FROM classes c JOIN found f ON f.id = c.id LEFT JOIN degree d ON d.id = c.id""",
+)
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.groups(*N.near_duplicates(table(spark, d, "chunks")))
 
@@ -107,3 +117,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form of every text."""
     return L.skeletons(table(spark, d, "documents")).select("doc_id", F.col("skeleton").alias("form"))
+
+
+@LLM.add("p8_groups")
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose look another text shares, one row each."""
+    return L.groups(L.same_look(table(spark, d, "documents")))

@@ -268,6 +268,9 @@ def test_mixing_nothing(spark):
 def test_one_form_for_one_look(spark):
     same = [("café ﬁx", "café fix"), ("pay", "рау"), ("A B", "Ａ Ｂ"), ("ab", "a​b﻿"), ("ガ", "ｶﾞ"), ("a-b", "a‑b"), ("scope", "ѕсоре"), ("wait...", "wait…"), ("5 μs", "5 µs"), ("K", "K")]
     other = [("a", "A"), ("e", "é"), ("3", "³"), ("a.", "a"), ("a b", "a  b"), ("rn", "m"), ("1", "l"), ("a\tb", "a b"), ("½", "1/2"), ("ß", "ss")]
+    same += [("paypal", "\u0440\u0430\u0443\u0440\u0430\u04cf"), ("pay", "𝐩𝐚𝐲"), ("pay", "𝓅𝖺𝚢"), ("log", "ⅼog"), ("XIV", "ⅩⅠⅤ"), ("APE", "ᎪᏢᎬ"), ("co", "ⲥⲟ"), ("AE", "ꓮꓰ"), ("v", "ѵ"), ("o", "ᴏ"), ("7", "𝟕"), ("人", "⼈"), ("ij", "ĳ"), ("a.b", "a․b"), ("!!", "‼")]
+    other += [("i", "ı"), ("-", "–"), ("-", "—"), ("I", "l"), ("(1)", "⑴"), ("TEL", "℡"), ("1", "①"), ("a", "ᵃ"), ("s", "ſ"), ("A", "ᴀ"), ("r", "г"), ("n", "и"), ("'", "’"), ("№", "N°"), ("u", "ü")]
+    assert [p for p in same if L.skeleton(p[0]) != L.skeleton(p[1])] == [] and [p for p in other if L.skeleton(p[0]) == L.skeleton(p[1])] == []
     assert all(L.skeleton(a) == L.skeleton(b) for a, b in same) and all(L.skeleton(a) != L.skeleton(b) for a, b in other)
 
 
@@ -278,4 +281,7 @@ def test_pairs_of_looks_against_all_pairs(spark):
     want = {(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and texts[j] and texts[i] != texts[j] and L.skeleton(texts[i]) == L.skeleton(texts[j])}
     assert len(got) == len(set(got)) and set(got) == want
     assert {r.doc_id: r.skeleton for r in L.skeletons(df).collect()}[7] is None
+    grouped = {r.doc_id: r for r in L.groups(L.same_look(df)).collect()}
+    assert set(grouped) == {i for p in want for i in p} and all((grouped[i].look_id == grouped[j].look_id) and grouped[i].text_id != grouped[j].text_id for i, j in want)
+    assert (grouped[0].texts, grouped[0].documents, grouped[3].text_id) == (4, 5, 0)
     assert L.pairs(L.same_look(df.limit(0))).count() == 0
