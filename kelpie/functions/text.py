@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def words(text: Column) -> Column:
+    """Words in lower case with inner ``-`` and ``_``, in order; a null text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-zA-Z0-9][a-zA-Z0-9_-]*)"), F.lit(1))
+
+
 def terms(text: Column) -> Column:
     """Terms of infrastructure text: words with inner ``-`` and ``_``, then the parts longer than one of each of those.
 
     Repetitions stay, as their number counts. A null text has no terms.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-zA-Z0-9][a-zA-Z0-9_-]*)"), F.lit(1))
-    parts = F.transform(F.filter(words, lambda w: w.rlike("[-_]")), lambda w: F.filter(F.split(w, "[-_]"), lambda p: F.length(p) > 1))
-    return F.concat(words, F.flatten(parts))
+    whole = words(text)
+    parts = F.transform(F.filter(whole, lambda w: w.rlike("[-_]")), lambda w: F.filter(F.split(w, "[-_]"), lambda p: F.length(p) > 1))
+    return F.concat(whole, F.flatten(parts))
 
 
 def simple_relevance(query: Column, text: Column, path: Column) -> Column:

@@ -90,19 +90,22 @@ def settings_edges(files: DataFrame) -> DataFrame:
 
 
 def pipelines(files: DataFrame) -> DataFrame:
-    """One row for each text with a pipeline or stage: names and the distinct references in order of appearance."""
+    """One row for each text with a pipeline or stage: names and the distinct references in order of appearance.
+
+    A line ends at a line feed; a carriage return before it belongs to no name.
+    """
 
     def refs(word: str) -> Column:
         return F.filter(F.array_distinct(every("text", rf"{word}:\s*(\S+)")), lambda r: ~r.rlike(r"^[<$]"))
 
     def first(pattern: str) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_extract("text", pattern, 1), r'^"+|"+$', ""))
+        return F.regexp_replace(F.regexp_extract("text", pattern, 1), r'^[\s"]+|[\s"]+$', "")
 
-    stages = F.transform(every("text", r"-\s*stage:\s*\n((?:\s{2,}.+\n)*)"), lambda s: F.struct(
-        F.trim(F.regexp_replace(F.regexp_extract(s, r"name:\s*(.+)", 1), '"', "")).alias("name"), F.regexp_extract(s, r"type:\s*(\S+)", 1).alias("type")))
+    stages = F.transform(every("text", r"-\s*stage:\s*\n((?:\s{2,}[^\n]+\n)*)"), lambda s: F.struct(
+        F.regexp_replace(F.regexp_replace(F.regexp_extract(s, r"name:\s*([^\n]+)", 1), '"', ""), r"^\s+|\s+$", "").alias("name"), F.regexp_extract(s, r"type:\s*(\S+)", 1).alias("type")))
     variable = r"-\s*name:\s*(\S+)\s*\n\s*type:\s*(\S+)"
     return files.where(F.col("text").rlike("pipeline:|stage:")).select(
-        "file", "repo", "branch", first(r"name:[ \t]*(.+)").alias("name"), first(r"identifier:\s*(\S+)").alias("identifier"),
+        "file", "repo", "branch", first(r"name:[ \t]*([^\n]+)").alias("name"), first(r"identifier:\s*(\S+)").alias("identifier"),
         stages.alias("stages"),
         F.transform(F.filter(stages, lambda s: F.lower(s["type"]).isin("approval", "harnessapproval", "jiraapproval")), lambda s: s["name"]).alias("approval_stages"),
         refs("templateRef").alias("templates_used"), refs("serviceRef").alias("services_referenced"), refs("environmentRef").alias("environments_referenced"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.names import branch_slug
-from kelpie.functions.text import terms
+from kelpie.functions.text import terms, words
 from kelpie.operators.skew import split_join
 from kelpie.session import materialize, spread
 
@@ -246,14 +246,37 @@ def fuse(lists: list[DataFrame], k: int = 60, key: str = "doc", keep: int = 20)
     )
 
 
-def rerank(hits: DataFrame, text: str, question: str, score: Callable[[pd.Series, pd.Series], pd.Series] | None, k: int = 5, first: int = 2000) -> DataFrame:
-    """The ``k`` best of each query by a model's score of (question, beginning of the text), or by rank without a model.
+def window_coverage(hits: DataFrame, questions: DataFrame, docs: DataFrame, text: Column, window: int = 40) -> DataFrame:
+    """``query, key, score`` of every hit: how much of the question the densest stretch of the text covers.
 
-    The model sees the first 2000 characters, as its input is bounded; ``score`` works on
-    whole batches. Method and score tell which of the two it was.
+    Every stretch of ``window`` words of the whole text counts. Its score is the weight of
+    the question's distinct terms in it over that of all of them, a term of five letters or
+    more weighing 2, any other 1. ``docs`` has ``doc`` and what ``text`` reads. Texts without
+    a word of the question, and questions without terms, score 0.
+    """
+    weight = F.when(F.length("term") > 4, 2).otherwise(1)
+    asked = _asked(questions).select("query", "term", weight.alias("weight"))
+    whole = asked.groupBy("query").agg(F.sum("weight").alias("whole"))
+    pairs = hits.select("query", F.col("key").alias("doc")).distinct()
+    found = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", F.posexplode(words(text)).alias("at", "term"))
+    met = found.join(pairs.join(asked, "query"), ["doc", "term"])
+    ahead = Window.partitionBy("query", "doc").orderBy("at").rangeBetween(0, window - 1)
+    covered = F.aggregate(F.collect_set(F.struct("term", "weight")).over(ahead), F.lit(0), lambda total, x: total + x["weight"])
+    best = met.select("query", "doc", covered.alias("covered")).groupBy("query", "doc").agg(F.max("covered").alias("covered"))
+    scored = pairs.join(best, ["query", "doc"], "left").join(whole, "query", "left")
+    return scored.select("query", F.col("doc").alias("key"), F.round(F.coalesce(F.col("covered") / F.col("whole"), F.lit(0.0)), 6).alias("score"))
+
+
+def rerank(hits: DataFrame, text: str, question: str, score: Callable[[pd.Series, pd.Series], pd.Series] | None, k: int = 5, first: int | None = None) -> DataFrame:
+    """The ``k`` best of each query by a model's score of (question, text), or by rank without a model.
+
+    The model sees the whole text, unless ``first`` says how many of its characters it takes;
+    ``score`` works on whole batches. Method and score tell which of the two it was. Ties go
+    to the smaller key. ``window_coverage`` is a score that needs no model.
     """
     if score is None:
         return hits.where(F.col("rank") <= k).withColumns({"rerank_score": F.lit(None).cast("double"), "method": F.lit("hybrid_rrf_no_rerank")})
     model = F.pandas_udf(lambda q, t: score(q, t).astype(float), "double")
-    scored = hits.drop("rank").withColumn("rerank_score", F.round(model(F.col(question), F.left(F.col(text), F.lit(first))), 6))
+    seen = F.col(text) if first is None else F.left(F.col(text), F.lit(first))
+    scored = hits.drop("rank").withColumn("rerank_score", F.round(model(F.col(question), seen), 6))
     return top(scored, ["query"], [F.desc("rerank_score"), F.asc("key")], k).withColumn("method", F.lit("hybrid_rrf_reranked"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from kelpie.session import delete
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -28,9 +32,30 @@ def without(old: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(deleted.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace only the partitions that ``df`` has; running it again gives the same table."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table at a path, read with its schema; one that was never written, or has no rows, is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """The part of a table that holds a key: a hash, so that parts stay few and alike whatever the keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_partitions(df: DataFrame, path: str, by: str, touched: DataFrame | None = None) -> None:
+    """Replace the partitions that ``df`` has; those that ``touched`` names and ``df`` has not are removed.
+
+    Running it again gives the same table. ``df`` must not read what it replaces.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if touched is not None:
+        for row in touched.select(by).distinct().join(df.select(by).distinct(), by, "left_anti").toLocalIterator():
+            delete(df.sparkSession, f"{path}/{by}={row[0]}")
 
 
 def verify(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,19 +15,20 @@ from kelpie.operators.skew import hot_keys, replicated, salted
 NODES = "node_path string, depth int, kind string, preview string, content_json string"
 
 
-def _walk(node: object, path: str, depth: int, deepest: int) -> Iterator[tuple]:
-    if depth > deepest:
-        return
-    kind = {type(None): "null", dict: "object", list: "array"}.get(type(node), type(node).__name__)
-    yield path, depth, kind, None if kind in ("null", "object", "array") else str(node)[:80], json.dumps(node, default=str)
-    if isinstance(node, dict):
-        for key, value in node.items():
-            yield from _walk(value, f"{path}.{key}", depth + 1, deepest)
-    elif isinstance(node, list):
-        walked = {0, 1, 2, len(node) - 1} if len(node) > 10 else set(range(len(node)))
-        for i, value in enumerate(node):
-            deeper = deepest if i in walked else depth + 1
-            yield from _walk(value, f"{path}[{i}]", depth + 1, min(deepest, deeper))
+def _walk(document: object, deepest: int | None, long_list: int | None, preview: int | None) -> Iterator[tuple]:
+    """Every node in the document's order, without recursion: path, depth, kind, preview, content."""
+    waiting = [(document, "root", 0, True)]
+    while waiting:
+        node, path, depth, further = waiting.pop()
+        kind = {type(None): "null", dict: "object", list: "array"}.get(type(node), type(node).__name__)
+        yield path, depth, kind, None if kind in ("null", "object", "array") else str(node)[:preview], json.dumps(node, default=str)
+        if not further or deepest is not None and depth >= deepest:
+            continue
+        if isinstance(node, dict):
+            waiting += [(v, f"{path}.{k}", depth + 1, True) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            thin = long_list is not None and len(node) > long_list
+            waiting += [(node[i], f"{path}[{i}]", depth + 1, not thin or i < 3 or i == len(node) - 1) for i in reversed(range(len(node)))]
 
 
 def _parsed(text: str | None, yaml: bool) -> list:
@@ -36,27 +38,32 @@ def _parsed(text: str | None, yaml: bool) -> list:
         if yaml:
             import yaml as Y
 
-            return [d for d in Y.load_all(text, Loader=getattr(Y, "CSafeLoader", Y.SafeLoader)) if d is not None][:1]
+            return [d for d in Y.load_all(text, Loader=getattr(Y, "CSafeLoader", Y.SafeLoader)) if d is not None]
         return [json.loads(text)]
     except Exception:  # an unreadable document has no nodes
         return []
 
 
-def flatten(df: DataFrame, key: str, text: str, yaml: bool = False, deepest: int = 8) -> DataFrame:
-    """``key, node_path, depth, kind, preview, content_json`` of every node of every document.
+def flatten(df: DataFrame, key: str, text: str, yaml: bool = False, deepest: int | None = None, long_list: int | None = None, preview: int | None = None) -> DataFrame:
+    """``key, document, node_path, depth, kind, preview, content_json`` of every node of every document.
 
-    Paths are ``root``, ``.key`` and ``[i]``. Of lists longer than ten, only the first three
-    and the last items are walked further, the others have a node of their own. Empty, null
-    and unreadable documents have no nodes. Nodes deeper than ``deepest`` are left out.
+    Paths are ``root``, ``.key`` and ``[i]``; ``document`` numbers the documents of a YAML
+    stream from 0. Everything comes out whole; on request, nodes deeper than ``deepest`` are
+    left out, of lists with more than ``long_list`` items only the first three and the last are
+    walked further (the others have a node of their own), and previews end after ``preview``
+    characters. Empty, null and unreadable texts have no nodes.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *n) for k, t in zip(b["_key"], b["_text"]) for d in _parsed(t, yaml) for n in _walk(d, "root", 0, deepest)]
-            yield pd.DataFrame(rows, columns=[key, "node_path", "depth", "kind", "preview", "content_json"])
+            for k, t in zip(b["_key"], b["_text"]):
+                for i, d in enumerate(_parsed(t, yaml)):
+                    nodes = _walk(d, deepest, long_list, preview)
+                    while part := list(islice(nodes, 10_000)):
+                        yield pd.DataFrame([(k, i, *n) for n in part], columns=[key, "document", "node_path", "depth", "kind", "preview", "content_json"])
 
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, {NODES}")
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, document int, {NODES}")
 
 
 def outdated(found: DataFrame, indexed: DataFrame, key: str = "id", mtime: str = "mtime_epoch") -> DataFrame:

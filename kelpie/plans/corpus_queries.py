@@ -14,6 +14,7 @@ from kelpie.operators import evaluation as V
 from kelpie.operators import extraction as X
 from kelpie.operators import stores as S
 from kelpie.operators import trees as TR
+from kelpie.plans import crawl
 from kelpie.plans.registry import QuerySet
 from kelpie.session import scratch, table
 from kelpie.streaming import ingest as ST
@@ -130,12 +131,44 @@ def terraform_edges(spark: SparkSession, d: str) -> DataFrame:
     return X.terraform_edges(_files(spark, d).drop("id").unionByName(_documents(spark, d).drop("id")), vault="cloud_vault", cluster="cloud_store")
 
 
-@CORPUS.add("settings_edges")
+_ENDPOINT = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN regexp_extract(v, '{p}', 0)" for p, _ in N.ENDPOINTS) + " END"
+
+
+@CORPUS.add(
+    "settings_edges",
+    rf"""WITH f AS (SELECT file_path AS file, repo, branch, text, {_STEM} AS stem_, {_PARENT} AS above FROM chunks),
+    t AS (SELECT *, CASE WHEN starts_with(stem_, 'application') THEN 'application' WHEN above <> '' AND starts_with(stem_, above) THEN above END AS service FROM f),
+    k AS (SELECT *, 'config:' || file AS id, CASE WHEN substr(stem_, length(service) + 1, 1) = '-' AND substr(stem_, length(service) + 2) IN ({', '.join(f"'{x}'" for x in N.PROFILES)}) THEN substr(stem_, length(service) + 2) END AS profile,
+      regexp_replace(file, '[^/]*$', '') AS folder FROM t WHERE service IS NOT NULL),
+    base AS (SELECT repo, branch, folder, service, min(id) AS target FROM k WHERE profile IS NULL GROUP BY ALL),
+    pairs AS (SELECT id, file, repo, branch, unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:- )?([A-Za-z_][\w.\-]*):[ \t]+["'']?([^\s"''#][^\n"''#]*)', 1)) AS k, trim(unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:- )?([A-Za-z_][\w.\-]*):[ \t]+["'']?([^\s"''#][^\n"''#]*)', 2)), ' ') AS v FROM k),
+    ends AS (SELECT *, {_ENDPOINT} AS e FROM pairs)
+    SELECT id AS source, service AS target, 'DEFINES_CONFIG' AS edge_type, file, repo, branch FROM k WHERE service <> 'application' UNION ALL
+    SELECT k.id, b.target, 'OVERRIDES_FOR_ENV', file, k.repo, k.branch FROM k JOIN base b ON b.repo = k.repo AND b.branch = k.branch AND b.folder = k.folder AND b.service = k.service WHERE profile IS NOT NULL UNION ALL
+    SELECT id, 'endpoint:' || e, 'CONNECTS_TO', file, repo, branch FROM ends WHERE e IS NOT NULL UNION ALL
+    SELECT id, 'config_prop:' || k, 'DEFINES_CONFIG', file, repo, branch FROM pairs WHERE regexp_matches(lower(k), '{N.CONFIG_KEYS}')""",
+)
 def settings_edges(spark: SparkSession, d: str) -> DataFrame:
     return X.settings_edges(_files(spark, d))
 
 
-@CORPUS.add("pipeline_details")
+_STAGES = r"regexp_extract_all(text, '-\s*stage:\s*\n((?:\s{2,}[^\n]+\n)*)', 1)"
+_FIRST = r"""regexp_replace(regexp_extract(text, '{}', 1), '^[\s"]+|[\s"]+$', '', 'g')"""
+
+
+def _refs_sql(word: str) -> str:
+    """The distinct references of one kind in order of appearance, as text."""
+    found = rf"regexp_extract_all(text, '{word}:\s*(\S+)', 1)"
+    return f"array_to_string(list_filter(list_filter({found}, lambda r, i: list_position({found}, r) = i), lambda r: NOT regexp_matches(r, '^[<$]')), ',')"
+
+
+@CORPUS.add(
+    "pipeline_details",
+    rf"""WITH s AS (SELECT *, list_transform({_STAGES}, lambda x: struct_pack(name := regexp_replace(replace(regexp_extract(x, 'name:\s*([^\n]+)', 1), '"', ''), '^\s+|\s+$', '', 'g'), type := regexp_extract(x, 'type:\s*(\S+)', 1))) AS st FROM chunks WHERE regexp_matches(text, 'pipeline:|stage:'))
+    SELECT file_path AS file, repo, branch, {_FIRST.format('name:[ \\t]*([^\\n]+)')} AS name, {_FIRST.format('identifier:\\s*(\\S+)')} AS identifier, len(st)::INT AS stages,
+    array_to_string(list_transform(list_filter(st, lambda x: lower(x.type) IN ('approval', 'harnessapproval', 'jiraapproval')), lambda x: x.name), ',') AS approvals, {_refs_sql('templateRef')} AS templates, {_refs_sql('serviceRef')} AS services,
+    {_refs_sql('environmentRef')} AS environments, {_refs_sql('connectorRef')} AS connectors, len(regexp_extract_all(text, '-\s*name:\s*(\S+)\s*\n\s*type:\s*(\S+)', 1))::INT AS variables, regexp_extract(text, '(?s)trigger:.*?type:\s*(\S+)', 1) AS trigger FROM s""",
+)
 def pipeline_details(spark: SparkSession, d: str) -> DataFrame:
     return X.pipelines(_files(spark, d)).select(
         "file", "repo", "branch", "name", "identifier", F.size("stages").alias("stages"), F.array_join("approval_stages", ",").alias("approvals"), F.array_join("templates_used", ",").alias("templates"),
@@ -176,7 +209,25 @@ def environments(spark: SparkSession, d: str) -> DataFrame:
     return D.environments(_files(spark, d), table(spark, d, "edges"))
 
 
-@CORPUS.add("repo_types")
+def _any(condition: str, weight: float) -> str:
+    return f"max(({condition})::INT) * {weight}"
+
+
+_CP = "replace(file_path, chr(92), '/')"
+_CI = [("regexp_matches(p, '(^|/)\\.harness/')", 0.4), (f"regexp_matches(p, '^(pipelines|ci|cd)/') AND {_YAML}", 0.3), ("n IN ('pipeline.yaml', 'pipeline.yml')", 0.2), ("regexp_matches(p, '(^|/)services/')", 0.1), ("regexp_matches(p, '(^|/)environments/')", 0.1), ("regexp_matches(p, '(^|/)overrides/')", 0.1)]
+_INFRA = [("regexp_matches(p, '(^|/)layer_')", 0.3), ("n = 'terraform.tfvars'", 0.1), ("n = 'backend.tf'", 0.1), ("n = 'providers.tf'", 0.1), ("n = 'versions.tf'", 0.1)]
+_HELM = [("n IN ('chart.yaml', 'chart.yml')", 0.3), ("regexp_matches(p, '^charts/')", 0.5), ("regexp_matches(p, '(^|/)templates/[^/]+\\.ya?ml$')", 0.1)]
+_APPS = [("n = 'dockerfile'", 0.15), ("n = 'package.json'", 0.15), ("n IN ('requirements.txt', 'setup.py')", 0.15), ("n IN ('pom.xml', 'build.gradle')", 0.15), ("n = 'makefile'", 0.15), ("n = 'go.mod'", 0.15)]
+
+
+@CORPUS.add(
+    "repo_types",
+    f"""WITH f AS (SELECT DISTINCT repo, file_path, {_CP} AS p, lower({_NAME}) AS n FROM chunks WHERE repo IS NOT NULL AND file_path IS NOT NULL),
+    s AS (SELECT repo, round({' + '.join(_any(*x) for x in _CI)}, 4) AS ci, round(least(0.5, count(DISTINCT CASE WHEN {_EXT} = '.tf' THEN p END) * 0.05) + {' + '.join(_any(*x) for x in _INFRA)}, 4) AS infra,
+      round({' + '.join(_any(*x) for x in _HELM)} + max((n IN ('chart.yaml', 'chart.yml'))::INT) * max((n IN ('values.yaml', 'values.yml'))::INT) * 0.1, 4) AS helm, round({' + '.join(_any(*x) for x in _APPS)}, 4) AS app FROM f GROUP BY repo)
+    SELECT repo, CASE WHEN greatest(ci, infra, helm, app) < 0.2 THEN 'unknown' WHEN ci = greatest(ci, infra, helm, app) THEN 'cicd' WHEN infra = greatest(ci, infra, helm, app) THEN 'infrastructure' WHEN helm = greatest(ci, infra, helm, app) THEN 'helm' ELSE 'application' END AS type,
+    least(1.0, greatest(ci, infra, helm, app))::DOUBLE AS confidence FROM s""",
+)
 def repo_types(spark: SparkSession, d: str) -> DataFrame:
     return D.repo_types(_files(spark, d).select("file", "repo").distinct())
 
@@ -192,7 +243,18 @@ def infra_layers(spark: SparkSession, d: str) -> DataFrame:
     return D.infra_layers(files).select("layer", "tf_files", "position")
 
 
-@CORPUS.add("naming_conventions")
+_PART = "CASE " + " ".join(f"WHEN lower(x) IN ({', '.join(repr(v) for v in vs)}) THEN '{{{k}}}'" for k, vs in N.NAME_PARTS.items()) + " ELSE lower(x) END"
+
+
+@CORPUS.add(
+    "naming_conventions",
+    f"""WITH n AS (SELECT DISTINCT regexp_extract(id, '^([a-z0-9_]+):', 1) AS type, regexp_extract(id, '^[a-z0-9_]+:(.+)$', 1) AS name FROM nodes),
+    named AS (SELECT * FROM n WHERE type <> '' AND name <> ''),
+    per AS (SELECT type, CASE WHEN sum(length(name) - length(replace(name, '_', ''))) > sum(length(name) - length(replace(name, '-', ''))) THEN '_' ELSE '-' END AS separator FROM named GROUP BY type),
+    told AS (SELECT type, separator, name, list_transform(list_filter(string_split(name, separator), lambda x: x <> ''), lambda x: {_PART}) AS parts FROM named JOIN per USING (type)),
+    counted AS (SELECT *, len(list_filter(parts, lambda x: starts_with(x, '{{'))) AS replaced FROM told)
+    SELECT type, list_reduce(parts, lambda a, b: a || separator || b) AS pattern, min(name) AS example, count(*) AS names, min(round(least(1.0, replaced * 0.15 + 0.5), 2))::DOUBLE AS confidence FROM counted WHERE replaced > 0 AND len(parts) > 1 GROUP BY ALL""",
+)
 def naming_conventions(spark: SparkSession, d: str) -> DataFrame:
     """Patterns in the names of secrets and environments of the graph."""
     named = table(spark, d, "nodes").select(F.regexp_extract("id", "^([a-z0-9_]+):", 1).alias("type"), F.regexp_extract("id", "^[a-z0-9_]+:(.+)$", 1).alias("name")).where("type <> '' AND name <> ''").distinct()
@@ -363,7 +425,7 @@ def score_report(spark: SparkSession, d: str) -> DataFrame:
 def yaml_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Scalars of the YAML documents by path."""
     rows = _documents(spark, d).where(T.extension(F.col("file")).isin(".yaml", ".yml") & F.col("text").isNotNull()).select("id", "text")
-    return TR.flatten(rows, "id", "text", yaml=True).where("preview IS NOT NULL").select("id", "node_path", "depth", "kind", "preview")
+    return TR.flatten(rows, "id", "text", yaml=True).where("preview IS NOT NULL").select("id", "document", "node_path", "depth", "kind", "preview")
 
 
 @CORPUS.add(
@@ -374,16 +436,24 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@CORPUS.add("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS rows FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@CORPUS.add(
+    "stream_windows",
+    """WITH e AS (SELECT date_trunc('day', ts) AS start, event_type FROM events WHERE ts IS NOT NULL), m AS (SELECT max(ts) - INTERVAL 1 DAY AS closed FROM events)
+    SELECT start, event_type, count(*) AS rows FROM e, m WHERE start + INTERVAL 1 DAY <= closed GROUP BY ALL""",
+)
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Events per day and type through a stream that reads what is there and then ends."""
+    """Events per closed day and type, by a stream that then gets all events of the past a second time: too late to count."""
     rows = table(spark, d, "events")
-    stream = ST.rows_of(spark, f"{d}/{{events}}.parquet", rows.schema)
     folder = scratch(spark, "windows")
-    counted = ST.windowed(stream, "ts", "1 day", "36500 days", ["event_type"])
-    query = counted.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    closed = rows.agg(F.max("ts").alias("last"))
+    both = rows.join(F.broadcast(closed), F.col("ts") <= F.col("last"))  # a batch of the last moment, so that the watermark stands, and the past
+    for part in (F.col("ts") == F.col("last"), F.col("ts") < F.col("last") - F.expr("INTERVAL 3 DAYS")):
+        both.where(part).drop("last").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    counted = ST.windowed(ST.rows_of(spark, f"{folder}/in", rows.schema, 1), "ts", "1 day", "1 day", ["event_type"])
+    write = lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    counted.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{folder}/out").select("start", "event_type", "rows")
 
 
 @CORPUS.add(
@@ -391,8 +461,30 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     "SELECT id, max(loaded_at) AS loaded_at FROM edges GROUP BY id",
 )
 def stream_table(spark: SparkSession, d: str) -> DataFrame:
-    """Edges kept up to date by key from a stream of deliveries."""
+    """Edges kept up to date by key from four batches of deliveries, the newest of which come first."""
     rows = table(spark, d, "edges")
     folder = scratch(spark, "edges")
-    ST.follow(ST.rows_of(spark, f"{d}/{{edges}}.parquet", rows.schema), f"{folder}/table", f"{folder}/state", ["id"], "loaded_at").awaitTermination()
-    return ST.newest_version(spark, f"{folder}/table").select("id", "loaded_at")
+    for n in reversed(range(4)):
+        rows.where(F.pmod(F.coalesce(F.month("loaded_at"), F.lit(0)), F.lit(4)) == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ST.follow(ST.rows_of(spark, f"{folder}/in", rows.schema, 1), f"{folder}/table", f"{folder}/state", ["id"], "loaded_at").awaitTermination()
+    return ST.followed(spark, f"{folder}/table", rows.schema).select("id", "loaded_at")
+
+
+@CORPUS.add(
+    "crawl_sync",
+    """WITH f AS (SELECT DISTINCT repo, branch, file_path AS file FROM chunks WHERE repo IS NOT NULL AND branch IS NOT NULL AND file_path IS NOT NULL),
+    gone AS (SELECT min(repo) AS repo FROM f), k AS (SELECT f.*, CASE WHEN repo IN (SELECT repo FROM gone) THEN 'D' WHEN length(file) % 3 = 0 THEN 'M' ELSE 'S' END AS status FROM f)
+    SELECT repo, branch, count_if(status = 'M')::BIGINT AS modified, count_if(status = 'D')::BIGINT AS deleted, count_if(status = 'S')::BIGINT AS same, count_if(status <> 'D')::BIGINT AS stored FROM k GROUP BY ALL""",
+)
+def crawl_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The second ingest of all files, after a third of them changed and one repository went: its report beside what is stored."""
+    files, out = _files(spark, d).drop("id"), scratch(spark, "crawl")
+    crawl.sync(files, out)
+    first = files.where("branch IS NOT NULL AND file IS NOT NULL").agg(F.min("repo").alias("gone"))
+    left = files.join(F.broadcast(first), files["repo"] == F.col("gone"), "left_anti")
+    text = F.when(F.length("file") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))).otherwise(F.col("text"))
+    report = crawl.sync(left.withColumn("text", text), out)
+    counted = report.groupBy("repo", "branch").pivot("status", ["M", "D", "S"]).agg(F.sum("files"))
+    kept = spark.read.parquet(f"{out}/files").groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("stored"))
+    named = counted.select("repo", "branch", *[F.coalesce(s, F.lit(0)).alias(n) for s, n in (("M", "modified"), ("D", "deleted"), ("S", "same"))])
+    return named.join(kept, ["repo", "branch"], "left").fillna(0, ["stored"])

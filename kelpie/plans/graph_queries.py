@@ -11,7 +11,7 @@ from kelpie.operators import components as CC
 from kelpie.operators import graph as G
 from kelpie.operators import trees as TR
 from kelpie.plans.registry import QuerySet
-from kelpie.session import table
+from kelpie.session import spread, table
 
 GRAPH = QuerySet()
 
@@ -205,10 +205,15 @@ def secret_flow(spark: SparkSession, d: str) -> DataFrame:
     return G.secret_flow(_edges(spark, d))
 
 
-@GRAPH.add("graph_components")
+@GRAPH.add(
+    "graph_components",
+    f"""WITH RECURSIVE {_LINKED}, ways AS (SELECT source AS a, target AS b FROM linked UNION SELECT target, source FROM linked),
+    reach AS (SELECT DISTINCT a AS node, a AS r FROM ways UNION SELECT node, b FROM reach JOIN ways ON a = r)
+    SELECT node, min(r) AS component FROM reach GROUP BY node""",
+)
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    """The component of every node of the Terraform dependencies."""
-    return CC.components(_edges(spark, d).where("edge_type = 'DEPENDS_ON'"), "source", "target")
+    """The component of every node of the graph."""
+    return CC.components(_edges(spark, d), "source", "target")
 
 
 @GRAPH.add(
@@ -259,11 +264,18 @@ def outdated_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return TR.outdated(rows, rows.where("indexed_at < TIMESTAMP_NTZ '2025-01-01 00:00:00'")).select("id", "mtime_epoch")
 
 
-@GRAPH.add("tree_flatten")
+@GRAPH.add(
+    "tree_flatten",
+    """WITH d AS (SELECT DISTINCT id, skeleton_json FROM hti_skeletons WHERE json_valid(skeleton_json)),
+    n AS (SELECT d.id, t.fullkey, t.type, t.atom FROM d, json_tree(d.skeleton_json) t)
+    SELECT id, 0 AS document, 'root' || replace(substr(fullkey, 2), '"', '') AS node_path, (length(fullkey) - length(replace(replace(fullkey, '.', ''), '[', '')))::INT AS depth,
+    CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END AS kind,
+    CASE WHEN type = 'BOOLEAN' THEN upper(left(atom::VARCHAR, 1)) || substr(atom::VARCHAR, 2) WHEN type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(atom, '$') END AS preview FROM n""",
+)
 def tree_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """Every node of every skeleton document."""
+    """Every node of every skeleton document, to any depth."""
     rows = table(spark, d, "hti_skeletons").select("id", "skeleton_json").distinct()
-    return TR.flatten(rows, "id", "skeleton_json")
+    return TR.flatten(spread(rows), "id", "skeleton_json").drop("content_json")
 
 
 @GRAPH.add("node_depths", "SELECT skeleton_id, count(*) AS nodes, max(depth) AS deepest FROM (SELECT DISTINCT id, skeleton_id, depth FROM hti_nodes) WHERE skeleton_id <> '' GROUP BY skeleton_id")

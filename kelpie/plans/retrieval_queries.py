@@ -76,19 +76,23 @@ def overlap_search(spark: SparkSession, d: str) -> DataFrame:
     return R.overlap_hits(_indexed(spark, d), _asked(spark, d))
 
 
-@RETRIEVAL.add(
-    "rank_fusion",
+_FUSED = (
     _BM25
     + ", " + _OVERLAP.split("\nwanted AS", 1)[1].replace(" (SELECT DISTINCT query, unnest", "wanted2 AS (SELECT DISTINCT query, unnest", 1)
     .replace("sizes AS", "sizes2 AS").replace("FROM wanted GROUP", "FROM wanted2 GROUP").replace("FROM wanted w", "FROM wanted2 w").replace("JOIN sizes s", "JOIN sizes2 s").replace("ranked AS", "ranked2 AS")
     + """, lists AS (SELECT query, doc, rank, 0 AS l FROM ranked WHERE rank <= 20 UNION ALL SELECT query, doc, rank, 1 FROM ranked2 WHERE rank <= 20),
     fused AS (SELECT query, doc AS key, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, count(DISTINCT l) AS lists FROM lists GROUP BY ALL),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, key) AS rank FROM fused)
-    SELECT query, key, rrf_score, lists, rank FROM placed WHERE rank <= 20""",
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, key) AS rank FROM fused)"""
 )
+
+
+@RETRIEVAL.add("rank_fusion", _FUSED + "SELECT query, key, rrf_score, lists, rank FROM placed WHERE rank <= 20")
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    indexed, asked = _indexed(spark, d), _asked(spark, d)
-    return R.fuse([R.keyword_hits(indexed, asked), R.overlap_hits(indexed, asked, 20)]).drop("best_list", "best_rank")
+    return _fused(_indexed(spark, d), _asked(spark, d)).drop("best_list", "best_rank")
+
+
+def _fused(indexed: DataFrame, asked: DataFrame) -> DataFrame:
+    return R.fuse([R.keyword_hits(indexed, asked), R.overlap_hits(indexed, asked, 20)])
 
 
 @RETRIEVAL.add("hybrid_search")
@@ -107,12 +111,24 @@ def branch_collections(spark: SparkSession, d: str) -> DataFrame:
     return R.collections(table(spark, d, "chunks"), "release-25")
 
 
-@RETRIEVAL.add("reranked_search")
+@RETRIEVAL.add(
+    "reranked_search",
+    _FUSED
+    + """, hits AS (SELECT query, key FROM placed WHERE rank <= 20),
+    read_ AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '') || ' ' || coalesce(file_path, '')), '[a-zA-Z0-9][a-zA-Z0-9_-]*') AS ws FROM documents),
+    spots AS (SELECT h.query, h.key, r.at_, r.term FROM hits h JOIN (SELECT doc, unnest(ws) AS term, generate_subscripts(ws, 1) AS at_ FROM read_) r ON r.doc = h.key JOIN wanted2 w ON w.query = h.query AND w.term = r.term),
+    ahead AS (SELECT query, key, list_distinct(list(term) OVER (PARTITION BY query, key ORDER BY at_ RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)) AS ts FROM spots),
+    best AS (SELECT query, key, max(list_sum(list_transform(ts, lambda t: CASE WHEN length(t) > 4 THEN 2 ELSE 1 END))) AS covered FROM ahead GROUP BY ALL),
+    whole AS (SELECT query, sum(CASE WHEN length(term) > 4 THEN 2 ELSE 1 END) AS whole_ FROM wanted2 GROUP BY query),
+    judged AS (SELECT h.query, h.key, round(coalesce(covered / whole_, 0), 6) AS score FROM hits h LEFT JOIN best b ON b.query = h.query AND b.key = h.key LEFT JOIN whole w ON w.query = h.query),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM judged)
+    SELECT query, key, score, rank FROM kept WHERE rank <= 5""",
+)
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
-    """The best five of the fused lists; without a model, by rank."""
-    fused = rank_fusion(spark, d)
-    texts = _documents(spark, d).select(F.col("doc_id").alias("key"), "text")
-    return R.rerank(fused.join(texts, "key"), "text", "text", None)
+    """The best five of the fused hits by how densely their whole texts cover the question."""
+    indexed, asked = _indexed(spark, d), _asked(spark, d)
+    docs = _documents(spark, d).select(F.col("doc_id").alias("doc"), "text", "file_path")
+    return R.top(R.window_coverage(_fused(indexed, asked), asked, docs, _body()), ["query"], [F.desc("score"), F.asc("key")], 5)
 
 
 _COSINE = """

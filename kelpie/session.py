@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
@@ -70,11 +70,12 @@ def release(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         for entry in [e for e in _written if e[1].split(":", 1)[-1].lstrip("/") == file.split(":", 1)[-1].lstrip("/")]:
-            _delete(*entry)
+            delete(*entry)
             _written.remove(entry)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -83,7 +84,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may be gone already
             pass
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
-from kelpie.operators.stores import latest, upsert
+from kelpie.operators.stores import bucket_of, latest, stored, write_partitions
+from kelpie.session import materialize
 
 
 def rows_of(spark: SparkSession, path: str, schema: StructType, files_each: int | None = None) -> DataFrame:
@@ -28,35 +29,29 @@ def windowed(events: DataFrame, at: str, length: str, late: str, by: list[str])
     return kept.groupBy(F.window(at, length), *by).agg(F.count(F.lit(1)).alias("rows")).select(F.convert_timezone(here, utc, F.col("window.start").cast("timestamp_ntz")).alias("start"), *by, "rows")
 
 
-def into_table(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the latest row of each key in the batch replaces the table's; each batch writes a new version.
+def into_table(path: str, keys: list[str], order: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each key keeps its latest row of all batches, a late one does not replace a newer one.
 
-    Versions are numbered by the batch, so a batch that runs again writes the same one.
+    The table is cut into ``buckets`` by a hash of the key; a batch reads and writes only
+    those its keys fall into, so choose their number for parts of some hundred MB. A batch
+    that runs again gives the same table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, fresh = batch.sparkSession, latest(batch, keys, [F.col(order)])
-        old = None
-        for n in range(number - 1, -1, -1):
-            try:
-                old = spark.read.parquet(f"{path}/version={n}")
-                break
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        table = fresh if old is None else upsert(old, fresh, keys)
-        table.write.mode("overwrite").parquet(f"{path}/version={number}")
+        fresh = materialize(latest(batch, keys, [F.col(order)]).withColumn("bucket", bucket_of(keys, buckets)), "batch")
+        touched = fresh.select("bucket").distinct()
+        old = stored(batch.sparkSession, path, fresh.schema).join(touched, "bucket", "left_semi").select(*fresh.columns)
+        write_partitions(materialize(latest(old.unionByName(fresh), keys, [F.col(order)]), "table"), path, "bucket")
 
     return write
 
 
-def follow(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, every: str | None = None) -> StreamingQuery:
+def follow(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, every: str | None = None, buckets: int = 16) -> StreamingQuery:
     """Keep a keyed table up to date: once with what is there, or again and again after ``every``."""
-    writer = stream.writeStream.foreachBatch(into_table(table, keys, order)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(into_table(table, keys, order, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of a table that ``follow`` keeps."""
-    versions = spark.read.parquet(path).select("version").distinct().agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={versions}")
+def followed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that ``follow`` keeps, in the schema of its stream."""
+    return stored(spark, path, StructType(schema.fields).add("bucket", IntegerType())).drop("bucket")

@@ -141,10 +141,13 @@ def test_sources(spark, tmp_path):
 
 def test_stream_keeps_a_table(spark, tmp_path):
     src, schema = tmp_path / "src", "id int, at int, v string"
-    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], schema).coalesce(1).write.parquet(str(src))
-    for _ in range(2):
-        ST.follow(ST.rows_of(spark, str(src), spark.read.parquet(str(src)).schema), str(tmp_path / "t"), str(tmp_path / "ck"), ["id"], "at").awaitTermination()
-        rows = {r.id: r.v for r in ST.newest_version(spark, str(tmp_path / "t")).collect()}
-        assert rows[1] in ("b", "z")
-        spark.createDataFrame([(1, 3, "z"), (3, 1, "n")], schema).coalesce(1).write.mode("append").parquet(str(src))
-    assert rows == {1: "z", 2: "c", 3: "n"}
+    kind = spark.createDataFrame([], schema).schema
+    assert ST.followed(spark, str(tmp_path / "t"), kind).count() == 0
+    batches = [[(1, 1, "a"), (1, 5, "e"), (2, 1, "c"), (None, 2, "n")], [(1, 3, "late"), (3, 1, "n"), (None, 1, "late")], [(1, 5, "e"), (2, 2, "d")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        ST.follow(ST.rows_of(spark, str(src), kind), str(tmp_path / "t"), str(tmp_path / "ck"), ["id"], "at", buckets=3).awaitTermination()
+    got = {r.id: r.v for r in ST.followed(spark, str(tmp_path / "t"), kind).collect()}
+    assert got == {1: "e", 2: "d", 3: "n", None: "n"}
+    ST.into_table(str(tmp_path / "t"), ["id"], "at", 3)(spark.createDataFrame(batches[1], schema), 1)  # a batch that runs again
+    assert {r.id: r.v for r in ST.followed(spark, str(tmp_path / "t"), kind).collect()} == got

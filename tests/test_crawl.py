@@ -5,7 +5,7 @@ TF = 'resource "azurerm_key_vault_secret" "s" {\n  name = "x"\n}\n'
 
 
 def tables(spark, out):
-    edges = {(r.file, r.target) for r in spark.read.parquet(f"{out}/edges").collect()}
+    edges = {(r.file, r.target) for r in spark.read.schema("file string, target string").parquet(f"{out}/edges").collect()}
     chunks = {(r.file, r.text) for r in spark.read.parquet(f"{out}/chunks").collect()}
     return edges, chunks
 
@@ -24,3 +24,20 @@ def test_sync_reads_only_what_changed(spark, tmp_path):
     assert got == {("main", "A"): 1, ("main", "M"): 1, ("main", "D"): 1, ("main", "S"): 1, ("dev", "S"): 1}
     edges, chunks = tables(spark, out)
     assert edges == {("b.tf", "kv_secret:y")} and {t for f, t in chunks if f == "n.md"} == {"changed", "other"}
+
+
+def test_the_last_file_of_a_repository_leaves_all_tables(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first = [("gone", "main", "a.tf", TF, 1), ("stays", "main", "n.md", "note", 2)]
+    crawl.sync(spark.createDataFrame(first, FILES), out, buckets=64)
+    got = {(r.repo, r.status) for r in crawl.sync(spark.createDataFrame(first[1:], FILES), out, buckets=64).collect()}
+    assert got == {("gone", "D"), ("stays", "S")}
+    assert {(r.repo, r.status) for r in crawl.sync(spark.createDataFrame(first[1:], FILES), out, buckets=64).collect()} == {("stays", "S")}
+    assert tables(spark, out) == (set(), {("n.md", "note")})
+
+
+def test_a_table_without_rows_can_be_read_again(spark, tmp_path):
+    out = str(tmp_path / "out")
+    crawl.sync(spark.createDataFrame([("r", "main", "n.md", "note", 1)], FILES), out)
+    crawl.sync(spark.createDataFrame([("r", "main", "n.md", "note", 1), ("r", "main", "a.tf", TF, 2)], FILES), out)
+    assert tables(spark, out)[0] == {("a.tf", "kv_secret:x")}

@@ -66,15 +66,23 @@ def test_components_against_union_find(spark):
     assert CC.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_flatten_samples_long_lists(spark):
-    doc = {"a": {"b": None, "c": [1, True, "x"]}, "long": [{"i": i} for i in range(12)]}
+def test_flatten_keeps_everything_unless_told(spark):
+    deep = "x" * 200
+    for i in range(12):
+        deep = {"d": deep} if i % 2 else [deep]
+    doc = {"a": {"b": None, "c": [1, True, "x"]}, "long": [{"i": i} for i in range(15)], "deep": deep}
     df = spark.createDataFrame([("d", json.dumps(doc)), ("bad", "{"), ("none", None), ("empty", "")], "id string, text string")
-    paths = {r.node_path: (r.depth, r.kind) for r in TR.flatten(df, "id", "text").collect()}
-    assert paths["root.a.c[1]"] == (3, "bool") and paths["root.a.b"] == (2, "null")
-    assert "root.long[2].i" in paths and "root.long[11].i" in paths and "root.long[5]" in paths and "root.long[5].i" not in paths
+    rows = {r.node_path: r for r in TR.flatten(df, "id", "text").collect()}
+    assert (rows["root.a.c[1]"].depth, rows["root.a.c[1]"].kind, rows["root.a.b"].kind) == (3, "bool", "null")
+    assert {f"root.long[{i}].i" for i in range(15)} <= set(rows)
+    last = max(rows.values(), key=lambda r: r.depth)
+    assert (last.depth, last.preview) == (13, "x" * 200) and json.loads(rows["root"].content_json) == doc
+    thin = {r.node_path: r for r in TR.flatten(df, "id", "text", deepest=8, long_list=10, preview=80).collect()}
+    assert "root.long[2].i" in thin and "root.long[14].i" in thin and "root.long[5]" in thin and "root.long[5].i" not in thin and max(r.depth for r in thin.values()) == 8
     shallow = {r.node_path for r in TR.flatten(df, "id", "text", deepest=1).collect()}
-    assert shallow == {"root", "root.a", "root.long"}
-    assert TR.flatten(spark.createDataFrame([("y", "a: 1\nb:\n - x\n")], "id string, text string"), "id", "text", yaml=True).count() == 4
+    assert shallow == {"root", "root.a", "root.long", "root.deep"}
+    stream = TR.flatten(spark.createDataFrame([("y", "a: 1\nb:\n - x\n---\nc: 2\n")], "id string, text string"), "id", "text", yaml=True).collect()
+    assert {(r.document, r.node_path) for r in stream} == {(0, "root"), (0, "root.a"), (0, "root.b"), (0, "root.b[0]"), (1, "root"), (1, "root.c")}
 
 
 def test_fetch_exact_prefix_missing(spark):
