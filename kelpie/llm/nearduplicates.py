@@ -32,6 +32,7 @@ TOLERANCE = 1e-7
 SPLIT = 100_000  # texts with one prefix word beyond which its group is split
 MOST_PARTITIONS = 100_000  # of a shuffle; beyond it, partitions grow
 WORDS_EACH, BLOCKS_EACH = 200_000, 1  # words of blocks, and blocks, that one partition of a shuffle should hold
+BLOCK_WORDS = 250_000  # of the texts of a block
 
 
 def _minhash(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -49,7 +50,7 @@ def _minhash(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and sorted word hashes to block, class key, size, words and sketch; at least one word each. A batch is a block."""
+    """id and sorted word hashes to block, class key, size, words and sketch; at least one word each."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         words = batch.column("words")
@@ -61,10 +62,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = _minhash(flat, starts)
         keys = [hashlib.blake2b(flat[a : a + n].tobytes(), digest_size=16).digest() for a, n in zip(starts, sizes)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.full(len(words), block)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), words, pa.array([r.tobytes() for r in sketch], pa.binary())],
+            [batch.column("id"), pa.array(block + starts // BLOCK_WORDS), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), words, pa.array([r.tobytes() for r in sketch], pa.binary())],
             ["id", "block", "key", "n", "words", "sketch"],
         )
-        block += 1
+        block += int(starts[-1]) // BLOCK_WORDS + 1
 
 
 def signed(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

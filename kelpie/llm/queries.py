@@ -30,6 +30,22 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "file_path", F.size("_spans").alias("credentials"), F.col("_redacted").alias("text"))
 
 
+@LLM.add(
+    "p2_properties",
+    """SELECT id, file_path, length(text) AS size, length(text) - length(replace(text, chr(10), '')) AS line_ends, true AS blanked FROM chunks WHERE text IS NOT NULL""",
+)
+def p2_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every redacted text: its size and lines, and all other characters but those of its credentials."""
+    rows = table(spark, d, "chunks").where("text IS NOT NULL")
+    found = C.credentials(rows, keep=("id", "file_path", "text"), redact=True)
+    a, b = F.split("text", ""), F.split("_redacted", "")
+    other = F.filter(F.zip_with(a, b, lambda x, y: (x == y) | (y == "*")), lambda same: ~same)
+    return found.select(
+        "id", "file_path", F.length("_redacted").cast("bigint").alias("size"), (F.length("_redacted") - F.length(F.replace("_redacted", F.lit("\n"), F.lit("")))).cast("bigint").alias("line_ends"),
+        ((F.size(other) == 0) & ((F.size("_spans") > 0) == (F.col("text") != F.col("_redacted")))).alias("blanked"),
+    )
+
+
 _WORDS_SQL = r"""
 WITH texts AS (SELECT DISTINCT id, text FROM chunks),
 words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM texts),
@@ -69,6 +85,24 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return S.split(table(spark, d, "chunks"))
 
 
+@LLM.add(
+    "p5_properties",
+    """WITH t AS (SELECT DISTINCT id, text FROM chunks WHERE length(text) > 3000)
+    SELECT id, length(text) AS size, md5(text) AS digest, true AS under_limit, true AS overlaps, true AS numbered FROM t""",
+)
+def p5_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every text's pieces: put together they are the text, all are under the limit and overlap by at most 50, and their numbers run on."""
+    parts = S.split(table(spark, d, "chunks"))
+    one = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "start", "stop", "text"))).alias("p"))
+    pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))
+    shared = F.transform(pairs, lambda x: x["a"]["stop"] - x["b"]["start"])
+    whole = F.aggregate("p", F.lit(""), lambda t, x: F.concat(F.left(t, x["start"]), x["text"]))
+    return one.select(
+        "id", F.length(whole).cast("bigint").alias("size"), F.md5(whole).alias("digest"), (F.forall("p", lambda x: (F.length(x["text"]) <= 3000) & (F.length(x["text"]) == x["stop"] - x["start"]))).alias("under_limit"),
+        F.forall(shared, lambda x: (x >= 0) & (x <= 50)).alias("overlaps"), (F.transform("p", lambda x: x["chunk_index"]) == F.sequence(F.lit(0), F.size("p") - 1)).alias("numbered"),
+    )
+
+
 @LLM.add("p6_ids")
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return E.encode(table(spark, d, "documents"))

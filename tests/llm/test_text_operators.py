@@ -187,7 +187,19 @@ def test_small_limits_end(spark):
         parts = pieces(spark, [("a", "ab cd\nefg hijklmnop qr" * 9, "f")], limit=limit, overlap=overlap)["a"]
         assert all(p.stop - p.start <= limit for p in parts) and all(a.stop >= b.start for a, b in zip(parts, parts[1:]))
     with pytest.raises(ValueError):
-        S.cuts(10, [], 5, 5)
+        S.cuts(S.characters("x" * 10), [], 5, 5)
+
+
+def test_pieces_by_tokens(spark):
+    encoder, measure = byte_bpe(), S.tokens()
+    text = "\n\n".join(f"Paragraph {i} naïve 🚀 " + "some words of it " * (i % 9) for i in range(60)) + "x9Q" * 40
+    sums = measure(text)
+    assert len(sums) == len(text) + 1 and sums[-1] == len(encoder.encode_ordinary(text)) and measure("").tolist() == [0]
+    parts = pieces(spark, [("a", text, "f"), ("b", "short", "f"), ("c", "", "f"), ("d", None, "f")], limit=100, overlap=10, measure=measure)
+    assert set(parts) == {"a"} and parts["a"][0].start == 0 and parts["a"][-1].stop == len(text)
+    for a, b in zip(parts["a"], parts["a"][1:]):
+        assert sums[a.stop] - sums[a.start] <= 100 and 0 <= sums[a.stop] - sums[b.start] <= 10 and a.start < b.start <= a.stop < b.stop
+    assert all(len(encoder.encode_ordinary(p.text)) <= 104 for p in parts["a"])  # a cut may split a space from its word
 
 
 # encoding
