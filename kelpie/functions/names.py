@@ -188,3 +188,46 @@ def risk(prod: Column, services: Column, entities: Column, files: Column) -> Col
         F.when(prod & (services > 2), "critical").when(prod | (services > 3), "high")
         .when((entities > 10) | (files > 5), "medium").otherwise("low")
     )
+
+
+# Words that tell what a prompt wants, and words that say nothing about it.
+FIX_WORDS = ["fix", "bug", "patch", "hotfix", "repair"]
+UPDATE_WORDS = ["update", "modify", "change", "refactor", "improve"]
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "for", "in", "on", "at", "to", "from", "with", "we", "i", "it", "is", "are", "be", "this", "that", "please", "can", "you", "need", "want", "should", "would", "create", "make",
+    "new", "file", "pipeline", "branch", "repo", "harness", "just", "also", "all", "but", "not", "do", "does", "our", "my", "so", "have", "has",
+]
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def new_branch(prompt: Column, source: Column) -> Column:
+    """Branch name of a prompt: what it wants to do, then its first four telling words; without one, the branch it starts from."""
+    low = F.lower(prompt)
+    said = F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1))
+    prefix = F.when(F.arrays_overlap(said, _strings(FIX_WORDS)), "fix").when(F.arrays_overlap(said, _strings(UPDATE_WORDS)), "chore").otherwise("feat")
+    raw = F.transform(F.filter(F.split(low, r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"^[.,?!:;()\[\]{}\"'/]+|[.,?!:;()\[\]{}\"'/]+$", ""))
+    telling = F.filter(raw, lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 2) & w.rlike("^[a-z0-9_]+$"))
+    slug = F.array_join(F.slice(telling, 1, 4), "-")
+    whole = F.when(slug == "", F.translate(source, "/_", "--")).otherwise(slug)
+    return F.concat(prefix, F.lit("/"), F.when(F.length(whole) > 50, F.regexp_replace(F.left(whole, F.lit(50)), "-+$", "")).otherwise(whole))
+
+
+# For each pair of hints, what a path holds, how it ends, and what a text holds.
+HINTS = [
+    (["cicd", "harness"], ["pipeline", "stage", "step", ".harness"], [], ["pipeline:", "stage:", "step:", "type: pipeline"]),
+    (["infrastructure", "terraform"], ["terraform"], [".tf", ".tfvars"], ['resource "', 'provider "', 'module "', "terraform {"]),
+    (["mixed", "helm"], ["values", "chart", "templates/", "helm"], [], ["apiversion:", "kind:", "helm.sh"]),
+]
+
+
+def repo_hints(path: Column, text: Column) -> Column:
+    """Types of repository that a file's path and text hint at, each once, in alphabetical order."""
+    p, t = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    told = []
+    for names, inside, ends, held in HINTS:
+        clues = [F.contains(p, F.lit(w)) for w in inside] + [F.endswith(p, F.lit(w)) for w in ends] + [F.contains(t, F.lit(w)) for w in held]
+        told.append(F.when(reduce(lambda a, b: a | b, clues), _strings(names)).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.concat(*told)))

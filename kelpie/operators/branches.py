@@ -97,6 +97,14 @@ def closest(wanted: DataFrame, have: DataFrame) -> DataFrame:
     return exact.unionByName(best.select("repo", "branch", F.lit(False).alias("indexed"), F.coalesce("by_version.candidate", "by_name.candidate").alias("closest")))
 
 
+def status_list(configured: DataFrame, state: DataFrame) -> DataFrame:
+    """Each configured (repo, branch) with the first 8 digits of its commit and the time of its last sync, ``n/a`` and ``never`` without one."""
+    known = state.groupBy("repo", "branch").agg(F.max(F.struct("synced_at", "commit")).alias("s"))
+    both = configured.select("repo", "branch").distinct().join(known, ["repo", "branch"], "left")
+    when = F.coalesce(F.date_format("s.synced_at", "yyyy-MM-dd HH:mm:ss"), F.lit("never"))
+    return both.select("repo", "branch", F.coalesce(F.left("s.commit", F.lit(8)), F.lit("n/a")).alias("commit"), when.alias("synced_at"))
+
+
 def freshness(heads: DataFrame, indexed: DataFrame) -> DataFrame:
     """Each (repo, branch, head) fresh, stale or unknown against what is indexed (repo, branch, at)."""
     status = F.when(F.col("at").isNull(), "unknown").when(F.col("at") >= F.col("head"), "fresh").otherwise("stale")

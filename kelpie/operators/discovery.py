@@ -79,6 +79,13 @@ def naming(names: DataFrame) -> DataFrame:
     )
 
 
+def secrets(terraform: DataFrame, mounts: DataFrame) -> DataFrame:
+    """Secrets by how they are met: ``kind`` (kv_secrets, k8s_secrets, mounts), ``name`` and the number of files."""
+    made = F.when(F.col("edge_type") == "CREATES_KV_SECRET", "kv_secrets").when(F.col("edge_type") == "CREATES_K8S_SECRET", "k8s_secrets").when(F.col("edge_type") == "MOUNTS_SECRET", "mounts")
+    named = terraform.unionByName(mounts).select(made.alias("kind"), F.regexp_replace("target", "^[a-z0-9_]+:", "").alias("name"), "file").where("kind IS NOT NULL")
+    return named.groupBy("kind", "name").agg(F.count_distinct("file").alias("files"))
+
+
 def profile(parts: dict[str, DataFrame]) -> DataFrame:
     """Number of rows of each part, as ``part, entries``."""
     counted = [df.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(name).alias("part"), "entries") for name, df in parts.items()]

@@ -114,6 +114,70 @@ def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return found.join(counts, "name")
 
 
+def _short_grams(text: Column) -> Column:
+    """Every one, two and three letters in a row."""
+    def cut(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
+
+
+def contained(short: DataFrame, long: DataFrame, a: str = "short", b: str = "long") -> DataFrame:
+    """Pairs (``a``, ``b``) where the one text lies in the other, whatever the case.
+
+    Each short text meets only the long ones that hold the rarest of its letter sequences;
+    empty and null texts lie in none.
+    """
+    few = short.select(a).where(F.col(a) != "").distinct()
+    many = long.select(b).where(F.col(b) != "").distinct()
+    low = F.lower(a)
+    asked = few.select(a, F.explode(F.when(F.length(low) > 3, _grams(low)).otherwise(F.array(low))).alias("gram"))
+    held = materialize(many.select(b, F.explode(_short_grams(F.lower(b))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
+    counts = asked.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").fillna(0, ["n"])
+    rarest = counts.groupBy(a).agg(F.min(F.struct("n", "gram")).alias("g")).select(a, F.col("g.gram").alias("gram"))
+    return split_join(held, rarest, ["gram"], [b]).where(F.contains(F.lower(b), F.lower(a))).select(a, b)
+
+
+def resolve_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """``name, status, found``: a known name that is equal, or the only one that holds the name or lies in it.
+
+    ``names`` and ``known`` have ``name``. Status is exact, fuzzy, ambiguous or unknown; only
+    the first two have a name found.
+    """
+    asked, there = names.where("name IS NOT NULL").select("name").distinct(), known.where("name IS NOT NULL").select(F.col("name").alias("found")).distinct()
+    exact = asked.join(there, asked["name"] == there["found"]).select("name", F.lit("exact").alias("status"), "found")
+    rest = materialize(asked.join(exact.select("name"), "name", "left_anti"), "names")
+    loose = contained(rest, there, "name", "found").unionByName(contained(there, rest, "found", "name")).distinct()
+    best = loose.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("found").alias("one"))
+    status = F.when(F.col("n") == 1, "fuzzy").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
+    return exact.unionByName(rest.join(best, "name", "left").select("name", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("found")))
+
+
+def catalogue(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """Impact of names that are in no graph, by the catalogue: ``name, entities, files, services`` of the entries that hold the name.
+
+    ``entities`` has ``id, node_type, file``. A name lies in an entry's id or file, whatever
+    the case; entries equal in all three count once. Names that nothing holds have no row.
+    """
+    entries = entities.select("id", "node_type", "file").distinct()
+    by_id = contained(names, entries.select("id"), "name", "id").join(entries, "id")
+    by_file = contained(names, entries.select("file"), "name", "file").join(entries, "file")
+    found = by_id.select("name", "id", "node_type", "file").unionByName(by_file.select("name", "id", "node_type", "file")).distinct()
+    kind = F.lower(F.coalesce("node_type", F.lit("")))
+    service = F.contains(kind, F.lit("service")) | F.contains(kind, F.lit("svc"))
+    return found.groupBy("name").agg(
+        F.count(F.lit(1)).alias("entities"), F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("files"), F.count_distinct(F.when(service, F.col("id"))).alias("services")
+    )
+
+
+def entity_view(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``id, direction, other, edge_type, file`` of every link out of or into each asked entity (``id``), each once."""
+    ids = asked.where("id IS NOT NULL").select("id").distinct()
+    out = edges.select(F.col("source").alias("id"), F.lit("out").alias("direction"), F.col("target").alias("other"), "edge_type", "file")
+    into = edges.select(F.col("target").alias("id"), F.lit("in").alias("direction"), F.col("source").alias("other"), "edge_type", "file")
+    return out.unionByName(into).join(ids, "id", "left_semi").distinct()
+
+
 def profiles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per node: links out and in and the sorted set of files that mention it (its own and its links')."""
     out = edges.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("outbound"))

@@ -179,8 +179,15 @@ def vector_hits(rows: DataFrame, queries: DataFrame, doc: str, vector: str, k: i
     return top(near, ["query"], [F.desc("relevance"), F.asc("doc")], k)
 
 
-def inverted_index(rows: DataFrame, doc: str, vector: str, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """(every row with its ``cell``, the cells' centres): centres by spherical k-means on at most ``sample`` rows."""
+def inverted_index(rows: DataFrame, doc: str, vector: str, cells: int | None = None, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """(every row with its ``cell``, the cells' centres): centres by spherical k-means on at most ``sample`` rows.
+
+    There are twice as many cells as the root of the number of rows, unless told, and at most
+    a twentieth of the sample, so that a centre stands for some rows; a larger cell is cut into
+    blocks when it is searched.
+    """
+    if cells is None:
+        cells = int(min(max(2 * rows.count() ** 0.5, 1), max(sample // 20, 1)))
     have = rows.where(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("v"))
     picked = have.orderBy(F.xxhash64(F.lit(seed), "doc")).limit(sample).toPandas()
     x = _unit(pa.array(picked["v"].tolist(), pa.list_(pa.float64()))) if len(picked) else np.zeros((1, 1))
@@ -202,12 +209,15 @@ def inverted_index(rows: DataFrame, doc: str, vector: str, cells: int = 64, samp
     return have.mapInArrow(assign, f"doc {kind}, v {element}, cell int"), centres
 
 
-def indexed_hits(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 20, probes: int = 16, block_rows: int = 65_536) -> DataFrame:
-    """The nearest rows among the ``probes`` cells closest to each query; large cells are cut into blocks.
+def indexed_hits(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 20, probes: int | float = 0.65, block_rows: int = 65_536) -> DataFrame:
+    """The nearest rows among the ``probes`` cells closest to each query (below 1, that share of them); large cells are cut into blocks.
 
-    A zero query is equally close to all cells and looks into each of them.
+    Vectors in groups need few probes, vectors without any most of the cells: measure the
+    recall against ``vector_hits``. A zero query is equally close to all cells and looks into
+    each of them.
     """
-    sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # one row a cell
+    probes = int(np.ceil(probes * len(centres))) if probes < 1 else int(probes)
+    sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # one row a cell: at most a twentieth of the sample
     kind, element = queries.schema["query"].dataType.simpleString(), queries.schema["v"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +229,7 @@ def indexed_hits(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k:
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(np.nonzero(looked)[0])) for c in b.columns] + [pa.array(order[looked].astype(np.int32))], ["query", "v", "cell"])
 
     asked = queries.where("v IS NOT NULL").select("query", "v").mapInArrow(probe, f"query {kind}, v {element}, cell int")
-    left = asked.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = asked.join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     kinds = f"query {kind}, doc {indexed.schema['doc'].dataType.simpleString()}, relevance double"
     near = left.drop("blocks").groupBy("cell", "block").cogroup(right.drop("blocks").groupBy("cell", "block")).applyInArrow(_nearest(k), kinds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import names as N
@@ -265,16 +265,32 @@ def naming_conventions(spark: SparkSession, d: str) -> DataFrame:
     "corpus_profile",
     """SELECT 'branches' AS part, count(*) AS entries FROM (SELECT DISTINCT repo, branch FROM chunks WHERE repo IS NOT NULL AND branch IS NOT NULL) UNION ALL
     SELECT 'repos', count(DISTINCT repo) FROM chunks UNION ALL SELECT 'files', count(DISTINCT file_path) FROM chunks UNION ALL
-    SELECT 'secrets', count(DISTINCT id) FROM nodes WHERE starts_with(id, 'kv_secret:') OR starts_with(id, 'k8s_secret:') UNION ALL SELECT 'environments', count(DISTINCT id) FROM nodes WHERE starts_with(id, 'env:')""",
+    SELECT 'pipelines', count(*) FROM chunks WHERE regexp_matches(text, 'pipeline:|stage:') UNION ALL SELECT 'services', count(*) FROM ("""
+    + CORPUS.sql["services"]
+    + """) UNION ALL SELECT 'layers', count(*) FROM ("""
+    + CORPUS.sql["infra_layers"]
+    + """) UNION ALL SELECT 'secrets', count(DISTINCT id) FROM nodes WHERE starts_with(id, 'kv_secret:') OR starts_with(id, 'k8s_secret:') UNION ALL SELECT 'environments', count(DISTINCT id) FROM nodes WHERE starts_with(id, 'env:')""",
 )
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
     files, nodes = table(spark, d, "chunks"), table(spark, d, "nodes")
     return D.profile({
-        "branches": files.where("repo IS NOT NULL AND branch IS NOT NULL").select("repo", "branch").distinct(), "repos": files.where("repo IS NOT NULL").select("repo").distinct(), "files": files.select("file_path").distinct(),
+        "branches": files.where("repo IS NOT NULL AND branch IS NOT NULL").select("repo", "branch").distinct(), "repos": files.where("repo IS NOT NULL").select("repo").distinct(), "files": files.where("file_path IS NOT NULL").select("file_path").distinct(),
+        "pipelines": X.pipelines(_files(spark, d)), "services": services(spark, d), "layers": infra_layers(spark, d),
         "secrets": nodes.where("id LIKE 'kv\\_secret:%' OR id LIKE 'k8s\\_secret:%'").select("id").distinct(), "environments": nodes.where("id LIKE 'env:%'").select("id").distinct(),
     })
 
 
+@CORPUS.add(
+    "discovered_secrets",
+    "WITH e AS ((" + CORPUS.sql["terraform_edges"] + ") UNION ALL (" + CORPUS.sql["mount_edges"] + """))
+    SELECT CASE edge_type WHEN 'CREATES_KV_SECRET' THEN 'kv_secrets' WHEN 'CREATES_K8S_SECRET' THEN 'k8s_secrets' ELSE 'mounts' END AS kind, regexp_replace(target, '^[a-z0-9_]+:', '') AS name, count(DISTINCT file) AS files
+    FROM e WHERE edge_type IN ('CREATES_KV_SECRET', 'CREATES_K8S_SECRET', 'MOUNTS_SECRET') GROUP BY ALL""",
+)
+def discovered_secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets that Terraform makes and templates mount, under the type names of these tables."""
+    return D.secrets(terraform_edges(spark, d), mount_edges(spark, d))
+
+
 @CORPUS.add(
     "chunkers",
     f"""SELECT chunker, count(*) AS files FROM (SELECT CASE WHEN {_EXT} IN ('.tf', '.tfvars') THEN 'terraform' WHEN {_YAML} AND trim(text) <> '' AND contains(text, 'pipeline:') AND contains(text, 'stages:') AND contains(text, 'stage:') THEN 'pipeline'
@@ -317,6 +333,74 @@ def branch_diff_summary(spark: SparkSession, d: str) -> DataFrame:
     return B.diff_summary(_changes(spark, d))
 
 
+@CORPUS.add(
+    "branch_diff_order",
+    "WITH s AS (" + CORPUS.sql["branch_diff_summary"] + ") SELECT repo, class, total, row_number() OVER (PARTITION BY repo ORDER BY total DESC, class) AS position FROM s",
+)
+def branch_diff_order(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of changed files of each repository, those with most changes first."""
+    order = Window.partitionBy("repo").orderBy(F.desc("total"), "class")
+    return B.diff_summary(_changes(spark, d)).select("repo", "class", "total", F.row_number().over(order).alias("position"))
+
+
+@CORPUS.add(
+    "branch_status",
+    """WITH c AS (SELECT DISTINCT repo, branch FROM edges WHERE repo IS NOT NULL AND branch IS NOT NULL),
+    k AS (SELECT repo, branch, embedded_at, md5(id) AS h, row_number() OVER (PARTITION BY repo, branch ORDER BY embedded_at DESC, md5(id) DESC) AS rn FROM chunks WHERE embedded_at IS NOT NULL)
+    SELECT c.repo, c.branch, coalesce(left(h, 8), 'n/a') AS commit, coalesce(strftime(embedded_at, '%Y-%m-%d %H:%M:%S'), 'never') AS synced_at FROM c LEFT JOIN k ON k.repo = c.repo AND k.branch = c.branch AND rn = 1""",
+)
+def branch_status(spark: SparkSession, d: str) -> DataFrame:
+    """Branches that edges name, with the hash of the chunk stored last as their commit."""
+    state = table(spark, d, "chunks").where("embedded_at IS NOT NULL").select("repo", "branch", F.md5("id").alias("commit"), F.col("embedded_at").alias("synced_at"))
+    return B.status_list(table(spark, d, "edges").dropna(subset=["repo", "branch"]), state)
+
+
+@CORPUS.add(
+    "sync_delays",
+    """WITH t AS (SELECT id, date_diff('microsecond', file_mtime, embedded_at) // 1000000 AS s FROM chunks WHERE embedded_at >= file_mtime)
+    SELECT DISTINCT id, s AS seconds, CASE WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS delay FROM t""",
+)
+def sync_delays(spark: SparkSession, d: str) -> DataFrame:
+    """How long after its change each chunk was stored."""
+    rows = table(spark, d, "chunks").where("embedded_at >= file_mtime")
+    seconds = F.floor(F.timestamp_diff("MICROSECOND", F.col("file_mtime"), F.col("embedded_at")) / 1_000_000)
+    return rows.select("id", seconds.alias("seconds")).distinct().select("id", "seconds", T.duration(F.col("seconds")).alias("delay"))
+
+
+_SAID = "string_split_regex(lower(q), '\\s+')"
+_STRIP = "[.,?!:;()\\[\\]{}\"''/]+"
+_LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@CORPUS.add(
+    "proposed_branches",
+    f"""WITH p AS (SELECT doc_id AS id, branch, regexp_extract(text, '^[^\\n]*', 0) AS q FROM documents WHERE text <> '' AND branch IS NOT NULL),
+    w AS (SELECT *, regexp_extract_all(lower(q), '[a-z]+') AS said, list_filter(list_transform(list_filter({_SAID}, lambda x: x <> ''), lambda x: regexp_replace(x, '^{_STRIP}|{_STRIP}$', '', 'g')),
+      lambda x: x NOT IN ({_LISTED(N.STOP_WORDS)}) AND length(x) > 2 AND regexp_matches(x, '^[a-z0-9_]+$')) AS telling FROM p),
+    s AS (SELECT *, CASE WHEN len(telling) = 0 THEN translate(branch, '/_', '--') ELSE array_to_string(telling[:4], '-') END AS slug FROM w)
+    SELECT id, CASE WHEN list_has_any(said, [{_LISTED(N.FIX_WORDS)}]) THEN 'fix' WHEN list_has_any(said, [{_LISTED(N.UPDATE_WORDS)}]) THEN 'chore' ELSE 'feat' END || '/' || CASE WHEN length(slug) > 50 THEN regexp_replace(left(slug, 50), '-+$', '') ELSE slug END AS proposed FROM s""",
+)
+def proposed_branches(spark: SparkSession, d: str) -> DataFrame:
+    """A branch name for every document, as if its first line were a prompt."""
+    rows = table(spark, d, "documents").where("text <> '' AND branch IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("id"), N.new_branch(F.regexp_extract("text", r"^[^\n]*", 0), F.col("branch")).alias("proposed"))
+
+
+def _hint(names: list[str], inside: list[str], ends: list[str], held: list[str]) -> str:
+    clues = [f"contains(p, '{w}')" for w in inside] + [f"ends_with(p, '{w}')" for w in ends] + [f"contains(t, '{w}')" for w in held]
+    return f"CASE WHEN {' OR '.join(clues)} THEN [{_LISTED(names)}] ELSE [] END"
+
+
+@CORPUS.add(
+    "repo_hints",
+    f"""WITH c AS (SELECT DISTINCT id, file_path, lower(coalesce(file_path, '')) AS p, lower(coalesce(text, '')) AS t FROM chunks)
+    SELECT id, file_path AS file, array_to_string(list_sort(list_distinct(flatten([{', '.join(_hint(*h) for h in N.HINTS)}]))), ',') AS hints FROM c""",
+)
+def repo_hints(spark: SparkSession, d: str) -> DataFrame:
+    """What each chunk tells about the type of its repository."""
+    return _files(spark, d).select("id", "file", "text").distinct().select("id", "file", F.array_join(N.repo_hints(F.col("file"), F.col("text")), ",").alias("hints"))
+
+
 @CORPUS.add("branch_line_changes")
 def branch_line_changes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").select("repo", F.col("file_path").alias("file"), "branch", "chunk_index", "text")

@@ -168,6 +168,51 @@ def resolution_searches(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve(table(spark, d, "nodes"), ends.unionByName(bare).distinct())
 
 
+@GRAPH.add(
+    "repo_resolution",
+    """WITH names AS (SELECT DISTINCT repo AS name FROM edges WHERE repo IS NOT NULL UNION SELECT DISTINCT regexp_replace(repo, '-[^-]*$', '') FROM edges WHERE repo IS NOT NULL UNION SELECT DISTINCT repo || '-mirror' FROM nodes WHERE repo IS NOT NULL),
+    known AS (SELECT DISTINCT repo AS found FROM chunks WHERE repo IS NOT NULL),
+    loose AS (SELECT name, found FROM names, known WHERE name NOT IN (SELECT found FROM known) AND name <> '' AND found <> '' AND (contains(lower(name), lower(found)) OR contains(lower(found), lower(name)))),
+    best AS (SELECT name, count(*) AS n, min(found) AS one FROM loose GROUP BY name)
+    SELECT name, 'exact' AS status, name AS found FROM names WHERE name IN (SELECT found FROM known) UNION ALL
+    SELECT n.name, CASE WHEN b.n = 1 THEN 'fuzzy' WHEN b.n > 1 THEN 'ambiguous' ELSE 'unknown' END, CASE WHEN b.n = 1 THEN one END FROM names n LEFT JOIN best b ON b.name = n.name WHERE n.name NOT IN (SELECT found FROM known)""",
+)
+def repo_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories as edges call them, without their last part, and with one more, among those that chunks come from."""
+    edges = table(spark, d, "edges").where("repo IS NOT NULL").select("repo").distinct()
+    more = table(spark, d, "nodes").where("repo IS NOT NULL").select(F.concat("repo", F.lit("-mirror")).alias("name"))
+    names = edges.select(F.col("repo").alias("name")).unionByName(edges.select(F.regexp_replace("repo", "-[^-]*$", "").alias("name"))).unionByName(more)
+    return G.resolve_names(names, table(spark, d, "chunks").select(F.col("repo").alias("name")))
+
+
+@GRAPH.add(
+    "catalogue_impact",
+    f"""WITH {_LINKED}, ends AS (SELECT source AS id FROM linked WHERE id % 20 = 0 UNION SELECT target FROM linked WHERE id % 20 = 0),
+    names AS (SELECT DISTINCT regexp_extract(id, '[^:]+$', 0) AS name FROM ends WHERE NOT ends_with(id, ':')), open_ AS (SELECT name FROM names WHERE name NOT IN (SELECT source FROM linked) AND name NOT IN (SELECT target FROM linked)),
+    entries AS (SELECT DISTINCT id, node_type, file FROM nodes),
+    found AS (SELECT DISTINCT name, id, node_type, file FROM open_, entries WHERE name <> '' AND (contains(lower(id), lower(name)) OR contains(lower(file), lower(name))))
+    SELECT name, count(*) AS entities, count(DISTINCT CASE WHEN file <> '' THEN file END) AS files, count(DISTINCT CASE WHEN regexp_matches(lower(node_type), 'service|svc') THEN id END) AS services FROM found GROUP BY name""",
+)
+def catalogue_impact(spark: SparkSession, d: str) -> DataFrame:
+    """Names of every searched end without its kind, where the graph has no such node, by the catalogue of nodes."""
+    edges = _edges(spark, d)
+    bare = _ends(edges).where("NOT endswith(seed, ':')").select(F.regexp_extract("seed", "[^:]+$", 0).alias("name")).distinct()
+    graph = edges.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    return G.catalogue(bare.join(graph, "name", "left_anti"), table(spark, d, "nodes"))
+
+
+@GRAPH.add(
+    "entity_views",
+    f"""WITH {_LINKED}, ends AS (SELECT source AS id FROM linked WHERE id % 20 = 0 UNION SELECT target FROM linked WHERE id % 20 = 0)
+    SELECT DISTINCT e.id, 'out' AS direction, target AS other, edge_type, file FROM ends e JOIN linked l ON l.source = e.id UNION
+    SELECT DISTINCT e.id, 'in', source, edge_type, file FROM ends e JOIN linked l ON l.target = e.id""",
+)
+def entity_views(spark: SparkSession, d: str) -> DataFrame:
+    """Every link of each searched end, with the file that names it."""
+    edges = _edges(spark, d)
+    return G.entity_view(edges, _ends(edges).select(F.col("seed").alias("id")))
+
+
 @GRAPH.add(
     "fuzzy_entities",
     """SELECT DISTINCT id FROM nodes WHERE contains(translate(lower(id), '-_ ', ''), 'zonecore') OR contains('zonecore', translate(lower(id), '-_ ', ''))""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as T
 from kelpie.operators import retrieval as R
+from kelpie.operators import stores as S
 from kelpie.plans.registry import QuerySet
 from kelpie.session import table
 
@@ -131,6 +132,40 @@ def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.window_coverage(_fused(indexed, asked), asked, docs, _body()), ["query"], [F.desc("score"), F.asc("key")], 5)
 
 
+#: Documents of investigations as records of them: what happened is the first line, the kind of incident is told by a word.
+_KINDS = {"OOMKilled": "oom", "ProbeFailure": "probe", "SecretMount": "secret", "PipelineFailure": "pipeline"}
+_CASES = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{k}'" for k, w in _KINDS.items()) + " ELSE 'Other' END"
+_RECORDS = f"""records AS (SELECT doc_id AS id, repo AS client, repo AS service_name, {_CASES} AS incident_type, regexp_extract(text, '^[^\\n]*', 0) AS root_cause_summary, text AS resolution FROM documents WHERE source = 'investigations')"""
+_VALID = f"""{_RECORDS}, valid AS (SELECT id, client, service_name, CASE WHEN incident_type = 'Other' THEN 'Unknown' ELSE incident_type END AS incident_type, root_cause_summary, resolution FROM records
+  WHERE trim(coalesce(client, ''), ' ') <> '' AND trim(coalesce(root_cause_summary, ''), ' ') <> '' AND trim(coalesce(resolution, ''), ' ') <> '')"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d).where("source = 'investigations'")
+    kind = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(k)) for k, w in _KINDS.items()], F.lit("Other"))
+    return rows.select(
+        F.col("doc_id").alias("number"), F.col("repo").alias("client"), F.col("repo").alias("service_name"), kind.alias("incident_type"), F.regexp_extract("text", r"^[^\n]*", 0).alias("root_cause_summary"),
+        F.col("text").alias("resolution"), F.lit(None).cast("array<string>").alias("tags"),
+    )
+
+
+@RETRIEVAL.add("saved_investigations", f"WITH {_VALID} SELECT id, service_name, incident_type FROM valid")
+def saved_investigations(spark: SparkSession, d: str) -> DataFrame:
+    """Investigations that may be saved, with a known kind of incident."""
+    return S.investigations(_records(spark, d)).select(F.col("number").alias("id"), "service_name", "incident_type")
+
+
+@RETRIEVAL.add(
+    "recalled_investigations",
+    "WITH " + _VALID + ", " + _BM25.strip().removeprefix("WITH ").replace(f"listed AS (SELECT doc_id AS doc, {_TERMS.format(_BODY)} AS ts FROM documents)", f"""listed AS (SELECT id AS doc, {_TERMS.format("lower(concat_ws(' ', root_cause_summary, resolution, service_name, incident_type))")} AS ts FROM valid)""")
+    + "SELECT query, doc, score, rank FROM ranked WHERE rank <= 3",
+)
+def recalled_investigations(spark: SparkSession, d: str) -> DataFrame:
+    """The three past investigations closest to each question."""
+    saved = S.investigations(_records(spark, d)).drop("id").withColumnRenamed("number", "id")
+    return R.recall(saved, _asked(spark, d)).select("query", "doc", "score", "rank")
+
+
 _COSINE = """
 WITH ranked AS (SELECT a.vec_id AS query, b.vec_id AS doc,
   round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS relevance
@@ -154,8 +189,8 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
 def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     """Approximate: only the cells nearest to each query; the tests hold its recall against the exact search."""
     rows, asked = _vectors(spark, d)
-    indexed, centres = R.inverted_index(rows, "vec_id", "embedding", cells=16)
-    return R.indexed_hits(indexed, centres, asked, probes=12)
+    indexed, centres = R.inverted_index(rows, "vec_id", "embedding")
+    return R.indexed_hits(indexed, centres, asked)
 
 
 @RETRIEVAL.add(

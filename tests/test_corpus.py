@@ -43,6 +43,21 @@ def test_names(spark):
     assert column(spark, ["65", "5"], lambda c: T.duration(c.cast("int"))) == ["1m 5s", "5s"]
 
 
+def test_branches_of_prompts_and_hints_of_files(spark):
+    prompts = ["create a release precheck pipeline", "fix the deploy stage timeout", "update terraform module versions", "the a of", "", None, "add " + "abcdefghijklmnopq " * 4]
+    df = spark.createDataFrame([(p, "release/26_2") for p in prompts], "p string, b string")
+    got = [r.x for r in df.select(N.new_branch(F.col("p"), F.col("b")).alias("x")).collect()]
+    assert got == ["feat/release-precheck", "fix/fix-deploy-stage-timeout", "chore/update-terraform-module-versions", "feat/release-26-2", "feat/release-26-2", None, "feat/add-" + "-".join(["abcdefghijklmnopq"] * 3)[:46]]
+    files = spark.createDataFrame([("a/main.tf", None), ("x", "kind: Pod"), (None, None), ("charts/pipeline.yaml", "")], "p string, t string")
+    assert [r.x for r in files.select(N.repo_hints(F.col("p"), F.col("t")).alias("x")).collect()] == [["infrastructure", "terraform"], ["helm", "mixed"], [], ["cicd", "harness", "helm", "mixed"]]
+
+
+def test_status_of_configured_branches(spark):
+    configured = spark.createDataFrame([("r", "main"), ("r", "main"), ("r", "dev")], "repo string, branch string")
+    state = spark.sql("SELECT 'r' AS repo, 'main' AS branch, '0123456789' AS commit, TIMESTAMP_NTZ '2025-01-02 03:04:05' AS synced_at")
+    assert {tuple(r) for r in B.status_list(configured, state).collect()} == {("r", "main", "01234567", "2025-01-02 03:04:05"), ("r", "dev", "n/a", "never")}
+
+
 def test_extraction(spark):
     tf = 'resource "azurerm_key_vault_secret" "s" {\n  name = "db-pass"\n}\nresource "kubernetes_secret" "k" {\n  metadata {\n    name = "app"\n  }\n  data = { x = data.azurerm_key_vault_secret.d.value }\n}\ndata "azurerm_key_vault_secret" "d" {\n  name = "db-pass"\n}\ndepends_on = [azurerm.a, module.b]\n'
     df = spark.createDataFrame([("m.tf", "r", "b", tf), ("p.yaml", "r", "b", 'templateRef: "t1"\nserviceRef: s1\nserviceRef: s1\n'), ("x", None, None, None), ("h.yaml", "r", "b", "secretKeyRef:\n  name: 'app'\n  key: x\n")], FILES)

@@ -114,3 +114,21 @@ def test_resolution_compares_no_name_with_every_id(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     short = spark.createDataFrame([("x",), ("e_v",)], "name string")
     assert {(r.name, r.id) for r in G.resolve(nodes, short).collect()} == {("x", "env:x"), ("x", "svc:axcore-main"), ("e_v", "env:x")}
+
+
+def test_contained_names_and_the_catalogue(spark):
+    texts = spark.createDataFrame([("svc:Orders-API",), ("o",), ("xy",), ("",), (None,), ("svc:100%_b",), ("svc:Orders-API",)], "long string")
+    asked = spark.createDataFrame([("orders",), ("O",), ("%",), ("y",), ("none such",), ("",), (None,), ("0%_",)], "short string")
+    assert {tuple(r) for r in G.contained(asked, texts).collect()} == {("orders", "svc:Orders-API"), ("O", "svc:Orders-API"), ("O", "o"), ("%", "svc:100%_b"), ("y", "xy"), ("0%_", "svc:100%_b")}
+    assert G.contained(asked, texts.limit(0)).count() == 0 and G.contained(asked.limit(0), texts).count() == 0
+    known = spark.createDataFrame([("team-infra",), ("infra",), ("web",), (None,)], "name string")
+    got = {r.name: (r.status, r.found) for r in G.resolve_names(spark.createDataFrame([("web",), ("web-app",), ("Infra",), ("zzz",), (None,), ("",)], "name string"), known).collect()}
+    assert got == {"web": ("exact", "web"), "web-app": ("fuzzy", "web"), "Infra": ("ambiguous", None), "zzz": ("unknown", None), "": ("unknown", None)}
+    nodes = spark.createDataFrame([("a", "Service", "f/orders.tf", 1), ("a", "Service", "f/orders.tf", 2), ("orders", None, None, 3), ("b", "env", "", 4)], "id string, node_type string, file string, name int")
+    assert [tuple(r) for r in G.catalogue(spark.createDataFrame([("orders",), ("b2",)], "name string"), nodes).collect()] == [("orders", 2, 1, 1)]
+
+
+def test_entity_view_has_each_link_once(spark):
+    edges = spark.createDataFrame([("a", "b", "T", "f"), ("a", "b", "T", "f"), ("c", "a", "T", None), ("x", "y", "T", "f")], "source string, target string, edge_type string, file string")
+    got = {(r.id, r.direction, r.other, r.file) for r in G.entity_view(edges, spark.createDataFrame([("a",), ("a",), (None,)], "id string")).collect()}
+    assert got == {("a", "out", "b", "f"), ("a", "in", "c", None)}

@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 import re
@@ -101,13 +102,14 @@ def test_index_recall(spark):
     assert len(found & exact) / len(exact) >= 0.9
 
 
-def test_given_vectors_recall(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_vectors_recall(spark, sf, size):
+    df = spark.read.parquet(f"{sf}/../{size}/embeddings.parquet")
     asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
     exact = {(r.query, r.doc) for r in R.vector_hits(df, asked, "vec_id", "embedding").collect()}
-    indexed, centres = R.inverted_index(df, "vec_id", "embedding", cells=16)
-    found = {(r.query, r.doc) for r in R.indexed_hits(indexed, centres, asked, probes=12).collect()}
-    assert len(found & exact) / len(exact) >= 0.9
+    indexed, centres = R.inverted_index(df, "vec_id", "embedding")
+    found = {(r.query, r.doc) for r in R.indexed_hits(indexed, centres, asked).collect()}
+    assert len(centres) == int(2 * df.count() ** 0.5) and len(found & exact) / len(exact) >= 0.9
 
 
 def test_recall_filters_before_ranking(spark):
