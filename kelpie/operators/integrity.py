@@ -72,8 +72,12 @@ def judged(refs: DataFrame, parents: DataFrame, split_rows: int = 250_000) -> Da
 
 
 def orphans(refs: DataFrame, parents: DataFrame, split_rows: int = 250_000) -> DataFrame:
-    """References without a live parent, once for each (table, field, row, key, time)."""
-    found = judged(refs, parents, split_rows).where(F.col("status").isin("missing", "late", "deleted"))
+    """References without a parent known to be live, once for each (table, field, row, key, time).
+
+    One without a time is among them, as no parent can be shown to be live then: status
+    undated (or missing) and a null period.
+    """
+    found = judged(refs, parents, split_rows).where(F.col("status") != "live")
     return found.dropDuplicates(["ref_table", "ref_field", "row_id", "key", "at"]).withColumn("period", F.date_format("at", "yyyy-MM"))
 
 

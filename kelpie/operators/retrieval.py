@@ -31,48 +31,91 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(terms(F.col("q"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def postings(indexed: DataFrame, queries: DataFrame) -> DataFrame:
+    """``doc, dl, term, tf`` of every term of the queries in every document of ``index``, written once for all rankings.
+
+    Only terms of queries are counted and travel: occurrences meet the queries' distinct terms first.
+    """
+    occurrences = indexed.select("doc", "dl", F.explode("terms").alias("term")).join(_asked(queries).select("term").distinct(), "term", "left_semi")
+    return materialize(occurrences.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "found")
+
+
+def _gains(indexed: DataFrame, found: DataFrame, queries: DataFrame, k1: float, b: float, delta: float) -> tuple[DataFrame, DataFrame]:
+    """BM25+ taken apart: (``doc, term, gain``; ``query, term, weight, most, df``), a score being the sum of gain times weight."""
+    measured = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = float(measured["n"]), float(measured["mean"] or 0.0) or 1.0
+    gain = delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / mean) + F.col("tf"))
+    gains = found.select("doc", "term", gain.alias("gain"))
+    seen = gains.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("gain").alias("top"))
+    weight = F.log(F.lit(n + 1) / F.col("df")) * F.col("qtf")
+    return gains, _asked(queries).join(seen, "term").select("query", "term", weight.alias("weight"), (weight * F.col("top")).alias("most"), "df")
+
+
+def _sums(gains: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    met = split_join(gains, wanted.select("query", "term", "weight"), ["term"], ["doc"], rows=rows)
+    return met.groupBy("query", "doc").agg(F.sum(F.col("gain") * F.col("weight")).alias("score"))
+
+
+def _contenders(gains: DataFrame, wanted: DataFrame, k: int, rows: int, slack: float = 2e-6) -> DataFrame:
+    """``query, doc, score`` of every document that may be among a query's ``k`` best, and few others.
+
+    The two rarest terms of a query give a floor: what the k-th document scores by them
+    alone. The most frequent terms that together cannot reach the floor bring up no document,
+    so their long lists are looked into only for documents that other terms brought up and
+    that may still reach the floor. ``slack`` keeps what rounding would tie.
+    """
+    of_query = Window.partitionBy("query")
+    placed = wanted.withColumn("place", F.row_number().over(of_query.orderBy("df", "term"))).withColumn("reach", F.sum("most").over(of_query.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = materialize(placed, "terms_of_queries")
+    best = top(_sums(gains, placed.where("place <= 2"), rows), ["query"], [F.desc("score")], k)
+    floors = best.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("floor"))
+    told = placed.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack)
+    told = materialize(told.withColumn("needed", F.col("reach") >= F.col("floor")), "terms_of_queries")
+    limits = told.groupBy("query").agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("most"))).alias("spare"))
+    kept = _sums(gains, told.where("needed"), rows).join(limits, "query").where(F.col("score") + F.col("spare") >= F.col("floor")).select("query", "doc", "score")
+    open_ = kept.select("query", "doc").join(told.where("NOT needed").select("query", "term", "weight"), "query")
+    more = open_.join(gains, ["doc", "term"]).select("query", "doc", (F.col("gain") * F.col("weight")).alias("score"))
+    return kept.unionByName(more).groupBy("query", "doc").agg(F.sum("score").alias("score"))
+
+
 def bm25(indexed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
     """``query, doc, score`` of every document of ``index`` that shares a term with a query (BM25+).
 
     ``queries`` has ``query`` and ``q`` (its text). A term repeated in a query counts each
     time. Number of documents, their mean length and the frequency of each term are those
-    of all documents, those without terms included. Only terms of queries are counted and
-    travel: occurrences meet the queries' distinct terms first.
+    of all documents, those without terms included.
     """
-    measured = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
-    n, mean = float(measured["n"]), float(measured["mean"] or 0.0) or 1.0
-    asked = _asked(queries)
-    occurrences = indexed.select("doc", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = materialize(occurrences.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "found")
-    weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(F.lit(n + 1) / F.col("df")).alias("idf"))
-    part = F.col("idf") * (delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / mean) + F.col("tf")))
-    return (
-        split_join(found, asked.join(weights, "term"), ["term"], ["doc"]).select("query", "doc", (part * F.col("qtf")).alias("part"))
-        .groupBy("query", "doc").agg(F.sum("part").alias("score"))
-    )
-
-
-def keyword_hits(indexed: DataFrame, queries: DataFrame, k: int = 20, among: DataFrame | None = None) -> DataFrame:
-    """The ``k`` best documents of each query, with their share of the best score in per cent.
-
-    ``among`` (``doc``) restricts the hits after scoring, so that the statistics stay those
-    of all documents. Ties go to the smaller document id.
+    found = postings(indexed, queries)
+    gains, wanted = _gains(indexed, found, queries, k1, b, delta)
+    return _sums(gains, wanted, found.count())
+
+
+def keyword_hits(indexed: DataFrame, queries: DataFrame, k: int = 20, among: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best documents of each query by BM25+, with their share of the best score in per cent.
+
+    ``among`` (``doc``) restricts the hits, while the statistics stay those of all documents.
+    ``found`` is what ``postings`` gives, where other rankings need it, too. Ties go to the
+    smaller document id.
     """
-    scored = bm25(indexed, queries).where("score > 0").withColumn("score", F.round("score", 6))
+    found = postings(indexed, queries) if found is None else found
+    gains, wanted = _gains(indexed, found, queries, 1.5, 0.75, 1.0)
     if among is not None:
-        scored = scored.join(among.select("doc").distinct(), "doc", "left_semi")
+        gains = gains.join(among.select("doc").distinct(), "doc", "left_semi")
+    scored = _contenders(gains, wanted, k, found.count()).where("score > 0").withColumn("score", F.round("score", 6))
     best = top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
     share = F.col("score") / F.max("score").over(Window.partitionBy("query"))
     return best.withColumn("relevance_pct", F.round(share * 100, 1))
 
 
-def overlap_hits(indexed: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """Ranking by the share of a query's distinct terms that a document has."""
+def overlap_hits(indexed: DataFrame, queries: DataFrame, k: int = 3, found: DataFrame | None = None) -> DataFrame:
+    """Ranking by the share of a query's distinct terms that a document has; ``found`` as in ``keyword_hits``."""
+    found = postings(indexed, queries) if found is None else found
     asked = _asked(queries).select("query", "term")
     sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
-    held = indexed.select("doc", F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    shares = split_join(materialize(held, "held"), asked, ["term"], ["doc"]).groupBy("query", "doc").agg(F.count(F.lit(1)).alias("common")).join(sizes, "query")
-    scored = shares.select("query", "doc", F.round(F.col("common") / F.col("size"), 4).alias("score"))
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.join(counts, "term").select("query", "term", F.lit(1.0).alias("weight"), F.lit(1.0).alias("most"), "df")
+    common = _contenders(found.select("doc", "term", F.lit(1.0).alias("gain")), wanted, k, found.count()).join(sizes, "query")
+    scored = common.select("query", "doc", F.round(F.col("score") / F.col("size"), 4).alias("score"))
     return top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
 
 

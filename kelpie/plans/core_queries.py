@@ -47,7 +47,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     "p1_report",
     _REFS_SQL
     + """SELECT ref_table, ref_field, strftime(ts, '%Y-%m') AS period,
-    CASE WHEN known = 0 THEN 'missing' WHEN begun THEN 'deleted' ELSE 'late' END AS status, count(*) AS orphans
+    CASE WHEN known = 0 THEN 'missing' WHEN ts IS NULL THEN 'undated' WHEN begun THEN 'deleted' ELSE 'late' END AS status, count(*) AS orphans
     FROM state WHERE NOT live GROUP BY ALL""",
 )
 def p1_report(spark: SparkSession, d: str) -> DataFrame:

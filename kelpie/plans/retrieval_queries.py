@@ -93,7 +93,8 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(indexed: DataFrame, asked: DataFrame) -> DataFrame:
-    return R.fuse([R.keyword_hits(indexed, asked), R.overlap_hits(indexed, asked, 20)])
+    found = R.postings(indexed, asked)
+    return R.fuse([R.keyword_hits(indexed, asked, found=found), R.overlap_hits(indexed, asked, 20, found)])
 
 
 @RETRIEVAL.add("hybrid_search")

@@ -30,9 +30,9 @@ def test_splitting_a_hot_key_changes_nothing(spark):
 def test_repeated_rows_count_once_and_report(spark):
     _, r, p = judge(spark, REFS + REFS, PARENTS)
     found = I.orphans(r, p)
-    assert found.count() == 5  # row 9 is undated
+    assert found.count() == 6
     rows = {(x.period, x.status): x.orphans for x in I.report(found).collect()}
-    assert rows[("2024-02", "deleted")] == 1 and rows[(None, "missing")] == 1
+    assert rows[("2024-02", "deleted")] == 1 and rows[(None, "missing")] == 1 and rows[(None, "undated")] == 1
 
 
 def test_empty_tables(spark):

@@ -44,6 +44,32 @@ def test_bm25_against_its_formula(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_pruned_rankings_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 60 + ["of", "in"] * 25
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(300)] + [(1000, None)]
+    df = spark.createDataFrame(docs, "id int, text string")
+    asked = spark.createDataFrame([(n, " ".join(rng.choice(words) for _ in range(n % 7))) for n in range(30)] + [(99, None), (98, "nothing")], "query int, q string")
+    indexed = R.index(df, "id", F.col("text"))
+    found = R.postings(indexed, asked)
+    every = {}
+    for r in R.bm25(indexed, asked).collect():
+        every.setdefault(r.query, []).append((-round(r.score, 6), r.doc))
+    for k in (1, 5, 20):
+        want = {(q, d) for q, rows in every.items() for _, d in sorted(rows)[:k]}
+        assert {(r.query, r.doc) for r in R.keyword_hits(indexed, asked, k, found=found).collect()} == want
+    some = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc int")
+    want = {(q, d) for q, rows in every.items() for _, d in sorted(x for x in rows if x[1] % 3 == 0 and x[1] < 300)[:5]}
+    assert {(r.query, r.doc) for r in R.keyword_hits(indexed, asked, 5, some).collect()} == want
+    have = {i: set((t or "").split()) for i, t in docs}
+    want = set()
+    for r in asked.collect():
+        terms = set((r.q or "").split())
+        scored = sorted((-round(len(terms & have[i]) / len(terms), 4), i) for i in have if terms & have[i])
+        want |= {(r.query, i) for _, i in scored[:4]}
+    assert {(r.query, r.doc) for r in R.overlap_hits(indexed, asked, 4, found).collect()} == want
+
+
 def test_fusion_adds_up_and_keeps_the_first(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "x", 3)], "query int, doc string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query int, doc string, rank int")
