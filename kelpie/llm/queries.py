@@ -133,7 +133,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p7_properties(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of every mix: caps, budgets missed by no more than the shortest document left, and shares of those that take part."""
     shares = M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
-    takes = F.col("documents") > 0
+    takes = F.col("available_tokens") > 0
     scaled = F.when(takes, F.col("target_share")) / F.sum(F.when(takes, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))
     everything = Window.partitionBy(F.lit(1))  # one row for each listed source
     off = F.abs(F.col("budget_tokens") - F.col("used_tokens"))
