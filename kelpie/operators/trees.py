@@ -57,11 +57,9 @@ def flatten(df: DataFrame, key: str, text: str, yaml: bool = False, deepest: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, t in zip(b["_key"], b["_text"]):
-                for i, d in enumerate(_parsed(t, yaml)):
-                    nodes = _walk(d, deepest, long_list, preview)
-                    while part := list(islice(nodes, 10_000)):
-                        yield pd.DataFrame([(k, i, *n) for n in part], columns=[key, "document", "node_path", "depth", "kind", "preview", "content_json"])
+            nodes = ((k, i, *n) for k, t in zip(b["_key"], b["_text"]) for i, d in enumerate(_parsed(t, yaml)) for n in _walk(d, deepest, long_list, preview))
+            while part := list(islice(nodes, 10_000)):
+                yield pd.DataFrame(part, columns=[key, "document", "node_path", "depth", "kind", "preview", "content_json"])
 
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, document int, {NODES}")
 

@@ -38,9 +38,9 @@ def into_table(path: str, keys: list[str], order: str, buckets: int = 16) -> Cal
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = materialize(latest(batch, keys, [F.col(order)]).withColumn("bucket", bucket_of(keys, buckets)), "batch")
-        touched = fresh.select("bucket").distinct()
-        old = stored(batch.sparkSession, path, fresh.schema).join(touched, "bucket", "left_semi").select(*fresh.columns)
+        fresh = batch.withColumn("bucket", bucket_of(keys, buckets))
+        touched = fresh.select("bucket").distinct()  # at most as many rows as buckets
+        old = stored(batch.sparkSession, path, fresh.schema).join(F.broadcast(touched), "bucket", "left_semi").select(*fresh.columns)
         write_partitions(materialize(latest(old.unionByName(fresh), keys, [F.col(order)]), "table"), path, "bucket")
 
     return write
