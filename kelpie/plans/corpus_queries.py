@@ -305,7 +305,22 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.structural(_documents(spark, d))
 
 
-@CORPUS.add("fixed_chunks")
+def _cut(at: str) -> str:
+    """Where a piece that begins at an offset ends: after the last line end or blank of its second half."""
+    half = f"substr(text, {at} + 251, 250)"
+    return rf"""CASE WHEN {at} + 500 >= length(text) THEN length(text) WHEN contains({half}, chr(10)) THEN {at} + 500 - length(regexp_extract({half}, '[^\n]*$')) WHEN contains({half}, ' ') THEN {at} + 500 - length(regexp_extract({half}, '[^ ]*$')) ELSE {at} + 500 END"""
+
+
+_BLANK = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@CORPUS.add(
+    "fixed_chunks",
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS id, file_path AS file, text FROM documents WHERE text <> ''),
+    cuts AS (SELECT id, 0 AS start, {_cut('0')} AS stop FROM d UNION ALL SELECT c.id, c.stop - 50, {_cut('(c.stop - 50)')} FROM cuts c JOIN d ON d.id = c.id WHERE c.stop < length(text)),
+    pieces AS (SELECT d.id, file, start, regexp_replace(regexp_replace(substr(text, start + 1, stop - start), '^{_BLANK}', ''), '{_BLANK}$', '') AS text FROM cuts c JOIN d ON d.id = c.id)
+    SELECT id, file, (row_number() OVER (PARTITION BY id ORDER BY start) - 1)::INT AS chunk_index, text FROM pieces WHERE text <> ''""",
+)
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.fixed(_documents(spark, d))
 

@@ -194,6 +194,16 @@ def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     return R.indexed_hits(indexed, centres, asked)
 
 
+@RETRIEVAL.add("vector_index_recall", "SELECT count(*) AS queries, count(*) * 20 AS hits, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The index against the exact search over all rows: at least nine tenths of its hits."""
+    rows, asked = _vectors(spark, d)
+    exact = R.vector_hits(rows, asked, "vec_id", "embedding").select("query", "doc", F.lit(1).alias("hit"))
+    found = vector_index_search(spark, d).select("query", "doc", F.lit(1).alias("found"))
+    both = exact.join(found, ["query", "doc"], "full")
+    return both.agg(F.count_distinct(F.when(F.col("found") == 1, F.col("query"))).alias("queries"), F.count("found").alias("hits"), (F.count_if((F.col("hit") == 1) & (F.col("found") == 1)) / F.count("hit") >= 0.9).alias("recall_of_nine_tenths"))
+
+
 @RETRIEVAL.add(
     "term_counts",
     f"SELECT id, len(ts) AS terms, len(list_distinct(ts)) AS distinct_terms FROM (SELECT id, {_TERMS.format(_BODY)} AS ts FROM chunks)",
@@ -203,9 +213,21 @@ def term_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("id", F.size(ts).alias("terms"), F.size(F.array_distinct(ts)).alias("distinct_terms"))
 
 
-@RETRIEVAL.add("simple_relevance")
+_QUESTION = "rotate the deploy-token of queue"
+
+
+@RETRIEVAL.add(
+    "simple_relevance",
+    f"""WITH c AS (SELECT id, lower(coalesce(text, '')) AS t, lower(coalesce(file_path, '')) AS p FROM chunks),
+    w AS (SELECT *, list_distinct(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')) AS have FROM c),
+    a AS (SELECT *, len(list_intersect(['rotate', 'the', 'deploy', 'token', 'of', 'queue'], have)) / 6.0 AS base FROM w),
+    b AS (SELECT *, CASE WHEN contains(t, '{_QUESTION}') THEN least(1.0, base + 0.3) ELSE base END AS s1 FROM a),
+    m AS (SELECT *, CASE WHEN contains(t, 'deploy-token') THEN least(1.0, s1 + 0.4) ELSE s1 END AS s2 FROM b),
+    n AS (SELECT *, CASE WHEN contains(p, 'deploy-token') THEN least(1.0, s2 + 0.5) ELSE s2 END AS s3, len(list_filter(['rotate', 'the', 'deploy', 'token', 'queue'], lambda x: contains(p, x))) AS hits FROM m)
+    SELECT id, round(CASE WHEN hits > 0 THEN least(1.0, s3 + hits * 0.15) ELSE s3 END, 4)::DOUBLE AS relevance FROM n WHERE round(CASE WHEN hits > 0 THEN least(1.0, s3 + hits * 0.15) ELSE s3 END, 4) > 0""",
+)
 def simple_relevance(spark: SparkSession, d: str) -> DataFrame:
-    q = F.lit("rotate the deploy-token of queue")
+    q = F.lit(_QUESTION)
     return table(spark, d, "chunks").select("id", T.simple_relevance(q, F.col("text"), F.col("file_path")).alias("relevance")).where("relevance > 0")
 
 
