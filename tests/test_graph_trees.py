@@ -1,3 +1,5 @@
+import random
+
 import json
 
 import __spark_entry__ as E
@@ -128,6 +130,32 @@ def test_contained_names_and_the_catalogue(spark):
     assert [tuple(r) for r in G.catalogue(spark.createDataFrame([("orders",), ("b2",)], "name string"), nodes).collect()] == [("orders", 2, 1, 1)]
 
 
+def test_containment_writes_few_rows_for_each_text(spark, monkeypatch):
+    draw, letters = random.Random(5), "abcdefgh-_:%éİ中"
+    texts = ["".join(draw.choices(letters, k=draw.randint(1, 60))) for _ in range(300)]
+    names = [t[(i := draw.randrange(len(t))) : i + draw.randint(1, 30)].upper() for t in texts] + ["nothing-holds-this"]
+    written, write = {}, G.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(G, "materialize", watched)
+    long = spark.createDataFrame([(t,) for t in texts], "long string")
+    lower = {t: r for t, r in spark.createDataFrame([(t,) for t in {*texts, *names}], "t string").selectExpr("t", "lower(t)").collect()}
+
+    def pairs(some):
+        got = G.contained(spark.createDataFrame([(n,) for n in some], "short string"), long).collect()
+        assert len(got) == len(set(got))
+        assert {tuple(r) for r in got} == {(n, t) for n in some for t in texts if lower[n] in lower[t]}
+
+    pairs(names)
+    written.clear()
+    pairs([n for n in names if len(lower[n].encode()) >= 8])
+    assert written["grams"] < sum(map(len, texts)) * 0.3, written
+
+
 def test_entity_view_has_each_link_once(spark):
     edges = spark.createDataFrame([("a", "b", "T", "f"), ("a", "b", "T", "f"), ("c", "a", "T", None), ("x", "y", "T", "f")], "source string, target string, edge_type string, file string")
     got = {(r.id, r.direction, r.other, r.file) for r in G.entity_view(edges, spark.createDataFrame([("a",), ("a",), (None,)], "id string")).collect()}
