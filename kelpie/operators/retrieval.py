@@ -31,24 +31,44 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(terms(F.col("q"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _counted(indexed: DataFrame) -> DataFrame:
+    """``doc, dl, term, tf`` of every row of ``index``, counted where the row is."""
+    kind = indexed.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("terms")
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))
+            width = max(len(coded.dictionary), 1)
+            key, tf = np.unique(row * width + np.asarray(coded.indices), return_counts=True)
+            at = pa.array(key // width)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("dl").take(at), coded.dictionary.take(pa.array(key % width)), pa.array(tf.astype(np.int64))], ["doc", "dl", "term", "tf"])
+
+    return indexed.select("doc", "dl", "terms").mapInArrow(run, f"doc {kind}, dl int, term string, tf bigint")
+
+
 def postings(indexed: DataFrame, queries: DataFrame) -> DataFrame:
     """``doc, dl, term, tf`` of every term of the queries in every document of ``index``, written once for all rankings.
 
-    Only terms of queries are counted and travel: occurrences meet the queries' distinct terms first.
+    Occurrences are counted in the tasks that hold the document, then meet the queries'
+    distinct terms. Only rows of an id that occurs more than once are added up afterwards.
     """
-    occurrences = indexed.select("doc", "dl", F.explode("terms").alias("term")).join(_asked(queries).select("term").distinct(), "term", "left_semi")
-    return materialize(occurrences.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "found")
+    found = _counted(indexed).join(_asked(queries).select("term").distinct(), "term", "left_semi").select("doc", "dl", "term", "tf")
+    if indexed.count() > indexed.select(F.struct("doc")).distinct().count():
+        found = found.groupBy("doc", "dl", "term").agg(F.sum("tf").alias("tf"))
+    return materialize(found, "found")
 
 
 def _gains(indexed: DataFrame, found: DataFrame, queries: DataFrame, k1: float, b: float, delta: float) -> tuple[DataFrame, DataFrame]:
-    """BM25+ taken apart: (``doc, term, gain``; ``query, term, weight, most, df``), a score being the sum of gain times weight."""
+    """BM25+ taken apart: (``doc, term, gain``; ``query, term, weight``), a score being the sum of gain times weight."""
     measured = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = float(measured["n"]), float(measured["mean"] or 0.0) or 1.0
     gain = delta + F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / mean) + F.col("tf"))
     gains = found.select("doc", "term", gain.alias("gain"))
-    seen = gains.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("gain").alias("top"))
+    seen = gains.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(F.lit(n + 1) / F.col("df")) * F.col("qtf")
-    return gains, _asked(queries).join(seen, "term").select("query", "term", weight.alias("weight"), (weight * F.col("top")).alias("most"), "df")
+    return gains, _asked(queries).join(seen, "term").select("query", "term", weight.alias("weight"))
 
 
 def _sums(gains: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
@@ -56,26 +76,86 @@ def _sums(gains: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     return met.groupBy("query", "doc").agg(F.sum(F.col("gain") * F.col("weight")).alias("score"))
 
 
-def _contenders(gains: DataFrame, wanted: DataFrame, k: int, rows: int, slack: float = 2e-6) -> DataFrame:
-    """``query, doc, score`` of every document that may be among a query's ``k`` best, and few others.
+def _places(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values in ascending order, nulls first, and the place of each row's value among them."""
+    coded = pa.concat_arrays([pa.array([], column.type), *column.chunks]).dictionary_encode(null_encoding="encode")
+    order = np.asarray(pc.array_sort_indices(coded.dictionary, order="ascending", null_placement="at_start"))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[np.asarray(coded.indices)]
+
+
+def _best(k: int, digits: int, each_once: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``k`` best documents of a block for each query in the final order: rounded score downward, then id."""
+    scale = 10.0**digits
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        which, at, scores = [], [], []
+        docs, doc = _places(rows.column("doc"))
+        asked, query = _places(queries.column("query"))
+        names, term = _places(rows.column("term"))
+        of = pc.index_in(queries.column("term"), value_set=names)
+        known = np.asarray(of.is_valid())
+        of = np.asarray(of.fill_null(0)).astype(np.int64)
+        order = np.lexsort((doc, term))
+        term, doc, gain = term[order], doc[order], np.asarray(rows.column("gain"))[order]
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])) if len(term) else term)
+        if len(new) < len(term):  # ids with several rows
+            term, doc, gain = term[new], doc[new], (np.maximum if each_once else np.add).reduceat(gain, new)
+        starts = np.searchsorted(term, np.arange(len(names) + 1))
+        line = np.flatnonzero(known)
+        line = line[np.argsort(query[line], kind="stable")]
+        weight, size, per = np.asarray(queries.column("weight"))[line], np.asarray(queries.column("size"))[line], query[line]
+        first, last, cuts = starts[of[line]], starts[of[line] + 1], np.searchsorted(per, np.arange(len(asked) + 1))
+        for q in np.unique(per):
+            sums = np.zeros(len(docs))
+            for j in range(cuts[q], cuts[q + 1]):
+                sums[doc[first[j] : last[j]]] += gain[first[j] : last[j]] * weight[j]
+            hit = np.flatnonzero(sums)
+            value = np.floor(sums[hit] / size[cuts[q]] * scale + 0.5)
+            if len(hit) > k:
+                least = np.partition(value, len(hit) - k)[len(hit) - k]
+                above, ties = np.flatnonzero(value > least), np.flatnonzero(value == least)
+                kept = np.concatenate([above, ties[: k - len(above)]])
+                hit, value = hit[kept], value[kept]
+            which.append(np.full(len(hit), q))
+            at.append(hit)
+            scores.append(value / scale)
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({"query": asked.take(pa.array(joined(which, np.int64))), "doc": docs.take(pa.array(joined(at, np.int64))), "score": pa.array(joined(scores, np.float64))})
+
+    return run
+
 
-    The two rarest terms of a query give a floor: what the k-th document scores by them
-    alone. The most frequent terms that together cannot reach the floor bring up no document,
-    so their long lists are looked into only for documents that other terms brought up and
-    that may still reach the floor. ``slack`` keeps what rounding would tie.
+def _ranked(gains: DataFrame, wanted: DataFrame, k: int, digits: int, docs: int, asked: int, each_once: bool = False, block_docs: int = 32_768, block_terms: int = 2_000_000) -> DataFrame:
+    """``query, doc, score, rank``: the ``k`` best documents by the sum of gain times weight over the query's ``size``, rounded; ties go to the smaller id.
+
+    Queries and documents meet block by block, each with its sums in one array, so no row
+    is made of a pair that is not among the best of its block. ``docs`` and ``asked`` are
+    about the numbers of documents and of terms of queries. A term in several rows of an id
+    counts each time, or once with ``each_once``.
     """
-    of_query = Window.partitionBy("query")
-    placed = wanted.withColumn("place", F.row_number().over(of_query.orderBy("df", "term"))).withColumn("reach", F.sum("most").over(of_query.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)))
-    placed = materialize(placed, "terms_of_queries")
-    best = top(_sums(gains, placed.where("place <= 2"), rows), ["query"], [F.desc("score")], k)
-    floors = best.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("floor"))
-    told = placed.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack)
-    told = materialize(told.withColumn("needed", F.col("reach") >= F.col("floor")), "terms_of_queries")
-    limits = told.groupBy("query").agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("most"))).alias("spare"))
-    kept = _sums(gains, told.where("needed"), rows).join(limits, "query").where(F.col("score") + F.col("spare") >= F.col("floor")).select("query", "doc", "score")
-    open_ = kept.select("query", "doc").join(told.where("NOT needed").select("query", "term", "weight"), "query")
-    more = open_.join(gains, ["doc", "term"]).select("query", "doc", (F.col("gain") * F.col("weight")).alias("score"))
-    return kept.unionByName(more).groupBy("query", "doc").agg(F.sum("score").alias("score"))
+    across, down = docs // block_docs + 1, asked // block_terms + 1
+    left = wanted.select("query", "term", F.col("weight").cast("double").alias("weight"), F.col("size").cast("double").alias("size")).withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(down)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    right = gains.select("doc", "term", F.col("gain").cast("double").alias("gain")).withColumn("db", F.pmod(F.xxhash64("doc"), F.lit(across)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    kinds = f"query {wanted.schema['query'].dataType.simpleString()}, doc {gains.schema['doc'].dataType.simpleString()}, score double"
+    best = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(_best(k, digits, each_once), kinds)
+    return top(best, ["query"], [F.desc("score"), F.asc("doc")], k)
+
+
+def once(queries: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Each text of ``queries`` (``query, q``) once, under the smallest of its queries, and what gives its hits to all of them.
+
+    Of a query with several texts, all of them count.
+    """
+    texts = queries.groupBy("query").agg(F.sort_array(F.collect_list(F.lower("q"))).alias("qs"))
+    alike = materialize(texts.withColumn("first", F.min("query").over(Window.partitionBy("qs"))), "queries")
+    few = alike.where("query = first").select("query", F.array_join("qs", " ").alias("q"))
+
+    def back(hits: DataFrame) -> DataFrame:
+        return alike.select("query", "first").join(hits.withColumnRenamed("query", "first"), "first").select(*hits.columns)
+
+    return few, back
 
 
 def bm25(indexed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
@@ -101,8 +181,7 @@ def keyword_hits(indexed: DataFrame, queries: DataFrame, k: int = 20, among: Dat
     gains, wanted = _gains(indexed, found, queries, 1.5, 0.75, 1.0)
     if among is not None:
         gains = gains.join(among.select("doc").distinct(), "doc", "left_semi")
-    scored = _contenders(gains, wanted, k, found.count()).where("score > 0").withColumn("score", F.round("score", 6))
-    best = top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
+    best = _ranked(gains, wanted.withColumn("size", F.lit(1.0)), k, 6, indexed.count(), _asked(queries).count())
     share = F.col("score") / F.max("score").over(Window.partitionBy("query"))
     return best.withColumn("relevance_pct", F.round(share * 100, 1))
 
@@ -112,11 +191,8 @@ def overlap_hits(indexed: DataFrame, queries: DataFrame, k: int = 3, found: Data
     found = postings(indexed, queries) if found is None else found
     asked = _asked(queries).select("query", "term")
     sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
-    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = asked.join(counts, "term").select("query", "term", F.lit(1.0).alias("weight"), F.lit(1.0).alias("most"), "df")
-    common = _contenders(found.select("doc", "term", F.lit(1.0).alias("gain")), wanted, k, found.count()).join(sizes, "query")
-    scored = common.select("query", "doc", F.round(F.col("score") / F.col("size"), 4).alias("score"))
-    return top(scored, ["query"], [F.desc("score"), F.asc("doc")], k)
+    wanted = asked.join(sizes, "query").withColumn("weight", F.lit(1.0))
+    return _ranked(found.select("doc", "term", F.lit(1.0).alias("gain")), wanted, k, 4, indexed.count(), asked.count(), each_once=True)
 
 
 def recall(investigations: DataFrame, queries: DataFrame, service: str | None = None, incident: str | None = None, k: int = 3) -> DataFrame:
@@ -191,9 +267,14 @@ def _nearest(k: int, slab: int = 8_388_608) -> Callable[[pa.Table, pa.Table], pa
         kept = []
         for at in range(0, len(a), step):
             cosine = np.nan_to_num(a[at : at + step] @ b.T, nan=0.0)
-            key = np.floor(np.round(np.maximum(cosine, 0) * 1e4, 6) + 0.5).astype(np.int64) * n + later
-            kept.append(np.partition(key, n - m, axis=1)[:, n - m :])
-        best = np.concatenate(kept).ravel()
+            few = max(m, n // 16)  # the m-th of some rows bounds the m-th of all from below
+            least = np.floor(np.partition(cosine[:, :few], few - m, axis=1)[:, few - m] * 1e4 - 1) / 1e4
+            least[least <= 0] = -np.inf  # whatever is not above 0 ties
+            for line, may in enumerate(cosine >= least[:, None]):
+                may = np.flatnonzero(may)
+                key = np.floor(np.round(np.maximum(cosine[line, may], 0) * 1e4, 6) + 0.5).astype(np.int64) * n + later[may]
+                kept.append(np.partition(key, len(may) - m)[len(may) - m :])
+        best = np.concatenate(kept)
         return pa.table(
             {
                 "query": queries.column("query").combine_chunks().take(pa.array(np.repeat(np.arange(len(a)), m))),
@@ -299,6 +380,49 @@ def fuse(lists: list[DataFrame], k: int = 60, key: str = "doc", keep: int = 20)
     )
 
 
+def _densest(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``query, doc, covered``: the most weight of a query's terms in a stretch of a text, for the pairs of a block.
+
+    An occurrence counts for the starts of stretches up to ``window`` words ahead of it, as
+    far back as the one before it of the same word.
+    """
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        flat = lambda t, c: pa.concat_arrays([x.flatten() for x in t.column(c).chunks]) if t.num_rows else pa.array([], pa.string())
+        edges = lambda t, c: np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(t.column(c)).fill_null(0)))]).astype(np.int64)
+        coded = flat(texts, "words").dictionary_encode()
+        word, begins = np.asarray(coded.indices).astype(np.int64), edges(texts, "words")
+        asked = np.asarray(pc.index_in(flat(pairs, "terms"), value_set=coded.dictionary).fill_null(-1)).astype(np.int64)
+        from_ = edges(pairs, "terms")
+        weight = np.where(np.asarray(pc.utf8_length(coded.dictionary)) > 4, 2, 1)
+        at = {}
+        for i, d in enumerate(texts.column("doc").to_pylist()):
+            at.setdefault(d, []).append(i)
+        wanted = np.zeros(len(weight), np.int64)
+        covered = np.zeros(pairs.num_rows, np.int64)
+        for n, d in enumerate(pairs.column("doc").to_pylist()):
+            terms = asked[from_[n] : from_[n + 1]]
+            terms = terms[terms >= 0]
+            wanted[terms] = weight[terms]
+            for i in at.get(d, ()):
+                seen = word[begins[i] : begins[i + 1]]
+                spots = np.flatnonzero(wanted[seen])
+                if len(spots):
+                    held = seen[spots]
+                    order = np.argsort(held, kind="stable")
+                    before = np.full(len(spots), -1)
+                    same = held[order][1:] == held[order][:-1]
+                    before[order[1:][same]] = spots[order[:-1][same]]
+                    change = np.zeros(len(seen) + 1, np.int64)
+                    np.add.at(change, np.maximum(np.maximum(before + 1, spots - window + 1), 0), wanted[held])
+                    np.add.at(change, spots + 1, -wanted[held])
+                    covered[n] = max(covered[n], change.cumsum().max())
+            wanted[terms] = 0
+        return pa.table({"query": pairs.column("query"), "doc": pairs.column("doc"), "covered": pa.array(covered)})
+
+    return run
+
+
 def window_coverage(hits: DataFrame, questions: DataFrame, docs: DataFrame, text: Column, window: int = 40) -> DataFrame:
     """``query, key, score`` of every hit: how much of the question the densest stretch of the text covers.
 
@@ -310,12 +434,13 @@ def window_coverage(hits: DataFrame, questions: DataFrame, docs: DataFrame, text
     weight = F.when(F.length("term") > 4, 2).otherwise(1)
     asked = _asked(questions).select("query", "term", weight.alias("weight"))
     whole = asked.groupBy("query").agg(F.sum("weight").alias("whole"))
-    pairs = hits.select("query", F.col("key").alias("doc")).distinct()
-    found = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", F.posexplode(words(text)).alias("at", "term"))
-    met = found.join(pairs.join(asked, "query"), ["doc", "term"])
-    ahead = Window.partitionBy("query", "doc").orderBy("at").rangeBetween(0, window - 1)
-    covered = F.aggregate(F.collect_set(F.struct("term", "weight")).over(ahead), F.lit(0), lambda total, x: total + x["weight"])
-    best = met.select("query", "doc", covered.alias("covered")).groupBy("query", "doc").agg(F.max("covered").alias("covered"))
+    pairs = materialize(hits.select("query", F.col("key").alias("doc")).distinct(), "pairs")
+    lists = materialize(pairs.join(asked.groupBy("query").agg(F.collect_list("term").alias("terms")), "query"), "pairs")
+    blocks = lists.count() // 10_000 + 1
+    block = F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")
+    read = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", words(text).alias("words"), block)
+    kinds = f"query {pairs.schema['query'].dataType.simpleString()}, doc {pairs.schema['doc'].dataType.simpleString()}, covered bigint"
+    best = lists.select("query", "doc", "terms", block).groupBy("block").cogroup(read.groupBy("block")).applyInArrow(_densest(window), kinds).groupBy("query", "doc").agg(F.max("covered").alias("covered"))
     scored = pairs.join(best, ["query", "doc"], "left").join(whole, "query", "left")
     return scored.select("query", F.col("doc").alias("key"), F.round(F.coalesce(F.col("covered") / F.col("whole"), F.lit(0.0)), 6).alias("score"))
 

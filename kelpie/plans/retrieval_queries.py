@@ -49,7 +49,8 @@ def _indexed(spark: SparkSession, d: str) -> DataFrame:
 
 @RETRIEVAL.add("keyword_search", _BM25 + "SELECT query, doc, score, rank, round(score / max(score) OVER (PARTITION BY query) * 100, 1) AS relevance_pct FROM ranked WHERE rank <= 20")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.keyword_hits(_indexed(spark, d), _asked(spark, d))
+    asked, back = R.once(_asked(spark, d))
+    return back(R.keyword_hits(_indexed(spark, d), asked))
 
 
 @RETRIEVAL.add(

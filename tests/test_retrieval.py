@@ -169,3 +169,65 @@ def test_rerank_with_and_without_model(spark):
 def test_simple_relevance(spark):
     df = spark.createDataFrame([("deploy cd_env", "please deploy cd_env now", "a/cd_env.yaml"), ("", "x", "y"), ("foo bar", "only foo", None)], "q string, t string, p string")
     assert [r.s for r in df.select(T.simple_relevance(F.col("q"), F.col("t"), F.col("p")).alias("s")).collect()] == [1.0, 0.0, 0.5]
+
+
+def test_rankings_make_rows_of_the_best_pairs_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "common words " + "more " * (i % 3)) for i in range(300)] + [(7, "common"), (7, "common common words")], "id int, text string")
+    asked = spark.createDataFrame([(q, "Common words" if q % 2 else "common WORDS") for q in range(200)] + [(200, "more"), (201, "none"), (202, "")], "query int, q string")
+    indexed = R.index(docs, "id", F.col("text"))
+    few, back = R.once(asked)
+    assert {tuple(r) for r in few.collect()} == {(0, "common words"), (200, "more"), (201, "none"), (202, "")}
+    made, ranked = [], R.top
+
+    def watched(df, *rest):
+        made.append(df.count())
+        return ranked(df, *rest)
+
+    monkeypatch.setattr(R, "top", watched)
+    for hits in (R.keyword_hits, R.overlap_hits):
+        made.clear()
+        got = back(hits(indexed, few, 5)).collect()
+        assert made and max(made) <= 3 * 5
+        assert {r.query for r in got} == {*range(201)} and all(len({r.doc for r in got if r.query == q}) == 5 for q in (0, 1, 199))
+    assert {(r.doc, r.score) for r in got if r.query == 1} == {(i, 1.0) for i in range(5)}
+    scores = {(r.query, r.doc): r.score for r in R.bm25(indexed, few).collect()}
+    want = sorted(((-round(s, 6), d) for (q, d), s in scores.items() if q == 0))[:5]
+    assert [(-r.score, r.doc) for r in sorted(R.keyword_hits(indexed, few, 5).where("query = 0").collect(), key=lambda r: r.rank)] == want
+
+
+def test_rankings_in_many_blocks(spark):
+    rows = [(i, t, float(g)) for i in range(40) for t, g in (("a", i % 4), ("b", 1 + i % 3)) if g]
+    gains = spark.createDataFrame(rows, "doc int, term string, gain double")
+    wanted = spark.createDataFrame([(q, t, 1.0 + q, 2.0) for q in range(9) for t in "abz"], "query int, term string, weight double, size double")
+    got = {(r.query, r.rank): (r.doc, r.score) for r in R._ranked(gains, wanted, 6, 1, 40, 27, block_docs=7, block_terms=5).collect()}
+    sums = {}
+    for i, _, g in rows:
+        sums[i] = sums.get(i, 0) + g
+    assert got == {(q, n + 1): (i, round(x * (1 + q) / 2, 1)) for q in range(9) for n, (i, x) in enumerate(sorted(sums.items(), key=lambda e: (-e[1], e[0]))[:6])}
+
+
+def test_coverage_and_nearest_against_every_stretch_and_pair(spark):
+    draw = random.Random(3)
+    docs = [(i, " ".join(draw.choices(["alpha", "be", "gamma", "de", "x", "y", "z"], k=draw.randrange(0, 150)))) for i in range(40)]
+    asked = [(1, "alpha be nothing"), (2, "gamma de x alpha"), (3, "")]
+    pairs = spark.createDataFrame([(q, d) for q, _ in asked for d in range(42)], "query int, key int")
+    rows = spark.createDataFrame([*docs, (40, None)], "doc int, text string")
+    got = {(r.query, r.key): r.score for r in R.window_coverage(pairs, spark.createDataFrame(asked, "query int, q string"), rows, F.col("text"), 9).collect()}
+    texts, weight = dict(docs), lambda ts: sum(2 if len(t) > 4 else 1 for t in ts)
+    for q, question in asked:
+        terms = set(question.split())
+        for d in range(42):
+            ws = (texts.get(d) or "").split()
+            best = max([weight(terms & set(ws[i : i + 9])) for i in range(len(ws))], default=0)
+            assert got[q, d] == pytest.approx(best / weight(terms) if terms else 0, abs=1e-6)
+    vectors = [(i, [float(draw.randrange(-2, 3)) for _ in range(3)]) for i in range(500)]
+    table = spark.createDataFrame(vectors, "id int, v array<float>")
+    near = {}
+    for r in R.vector_hits(table, spark.createDataFrame([(1, [1.0, 2.0, -1.0]), (2, [0.0, 0.0, 0.0]), (3, [-1.0, 0.0, 0.0])], "query int, v array<float>"), "id", "v", 30, 90).collect():
+        near.setdefault(r.query, {})[r.rank] = r.doc
+    for q, ask in ((1, (1, 2, -1)), (2, (0, 0, 0)), (3, (-1, 0, 0))):
+        def relevance(v):
+            norm = (sum(x * x for x in v) * sum(x * x for x in ask)) ** 0.5
+            return round(max(0.0, sum(a * b for a, b in zip(v, ask)) / norm if norm else 0.0), 4)
+
+        assert [near[q][n] for n in range(1, 31)] == [i for i, _ in sorted(vectors, key=lambda e: (-relevance(e[1]), e[0]))[:30]]
