@@ -75,7 +75,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 @RETRIEVAL.add("overlap_search", _OVERLAP + "SELECT query, doc, score, rank FROM ranked WHERE rank <= 3")
 def overlap_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.overlap_hits(_indexed(spark, d), _asked(spark, d))
+    asked, back = R.once(_asked(spark, d))
+    return back(R.overlap_hits(_indexed(spark, d), asked))
 
 
 _FUSED = (
