@@ -102,9 +102,9 @@ def _fused(indexed: DataFrame, asked: DataFrame) -> DataFrame:
 @RETRIEVAL.add("hybrid_search")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits and nearest hashed embeddings of each question, fused by rank."""
-    indexed, asked = _indexed(spark, d), _asked(spark, d)
+    indexed, (asked, back) = _indexed(spark, d), R.once(_asked(spark, d))
     questions = R.embed(R.index(asked, "query", F.col("q"))).select(F.col("doc").alias("query"), "v")
-    return R.fuse([R.vector_hits(R.embed(indexed), questions, "doc", "v"), R.keyword_hits(indexed, asked)])
+    return back(R.fuse([R.vector_hits(R.embed(indexed), questions, "doc", "v"), R.keyword_hits(indexed, asked)]))
 
 
 @RETRIEVAL.add(
