@@ -60,7 +60,8 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 )
 def keyword_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of all documents, hits of one source only."""
-    return R.keyword_hits(_indexed(spark, d), _asked(spark, d), among=_documents(spark, d).where("source = 'runbooks'").select(F.col("doc_id").alias("doc")))
+    asked, back = R.once(_asked(spark, d))
+    return back(R.keyword_hits(_indexed(spark, d), asked, among=_documents(spark, d).where("source = 'runbooks'").select(F.col("doc_id").alias("doc"))))
 
 
 _OVERLAP = f"""
