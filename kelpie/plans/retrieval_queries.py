@@ -92,7 +92,8 @@ _FUSED = (
 
 @RETRIEVAL.add("rank_fusion", _FUSED + "SELECT query, key, rrf_score, lists, rank FROM placed WHERE rank <= 20")
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(_indexed(spark, d), _asked(spark, d)).drop("best_list", "best_rank")
+    asked, back = R.once(_asked(spark, d))
+    return back(_fused(_indexed(spark, d), asked).drop("best_list", "best_rank"))
 
 
 def _fused(indexed: DataFrame, asked: DataFrame) -> DataFrame:
