@@ -132,9 +132,9 @@ def branch_collections(spark: SparkSession, d: str) -> DataFrame:
 )
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     """The best five of the fused hits by how densely their whole texts cover the question."""
-    indexed, asked = _indexed(spark, d), _asked(spark, d)
+    indexed, (asked, back) = _indexed(spark, d), R.once(_asked(spark, d))
     docs = _documents(spark, d).select(F.col("doc_id").alias("doc"), "text", "file_path")
-    return R.top(R.window_coverage(_fused(indexed, asked), asked, docs, _body()), ["query"], [F.desc("score"), F.asc("key")], 5)
+    return back(R.top(R.window_coverage(_fused(indexed, asked), asked, docs, _body()), ["query"], [F.desc("score"), F.asc("key")], 5))
 
 
 #: Documents of investigations as records of them: what happened is the first line, the kind of incident is told by a word.
