@@ -160,3 +160,22 @@ def test_entity_view_has_each_link_once(spark):
     edges = spark.createDataFrame([("a", "b", "T", "f"), ("a", "b", "T", "f"), ("c", "a", "T", None), ("x", "y", "T", "f")], "source string, target string, edge_type string, file string")
     got = {(r.id, r.direction, r.other, r.file) for r in G.entity_view(edges, spark.createDataFrame([("a",), ("a",), (None,)], "id string")).collect()}
     assert got == {("a", "out", "b", "f"), ("a", "in", "c", None)}
+
+
+def test_impact_of_many_lists_no_pairs_through_hubs(spark, monkeypatch):
+    spokes = [f"{('svc_service', 'env:prod', 'x', 'environment')[i % 4]}-{i}" for i in range(120)]
+    edges = spark.createDataFrame([(i, *((s, "hub") if i % 2 else ("hub", s)), "T", ("f", "", None, f"f{i}")[i % 4], "r", "main") for i, s in enumerate(spokes)], "id int, source string, target string, edge_type string, file string, repo string, branch string")
+    nodes = spark.createDataFrame([(s, (None, "service", "entity")[i % 3], ("", "g", None, f"f{i}")[i % 4], "r", i) for i, s in enumerate(spokes[:90])] + [("alone", "service", "g", "r", 1)], "id string, node_type string, file string, repo string, indexed_at int")
+    starts = spark.createDataFrame([(s, s) for s in [*spokes, "hub", "nowhere"]] + [("file:g", n) for n in ("alone", spokes[1], "nowhere")] + [(None, "hub")], "seed string, node string")
+    want = {tuple(r) for r in G.impact(G.traverse(edges, starts, 2), nodes, edges, 2).select("seed", "entities", "services", "environments", "prod", "files", "risk_level", "summary").collect()}
+    most, write = [], G.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialize", watched)
+    got = {tuple(r) for r in G.impact_of_many(edges, starts, nodes, block_rows=50).select("seed", "entities", "services", "environments", "prod", "files", "risk_level", "summary").collect()}
+    assert got == want and len(got) == 123
+    assert max(most) < 10 * len(spokes)
