@@ -179,3 +179,41 @@ def test_impact_of_many_lists_no_pairs_through_hubs(spark, monkeypatch):
     got = {tuple(r) for r in G.impact_of_many(edges, starts, nodes, block_rows=50).select("seed", "entities", "services", "environments", "prod", "files", "risk_level", "summary").collect()}
     assert got == want and len(got) == 123
     assert max(most) < 10 * len(spokes)
+
+
+def hub_tables(spark, folder):
+    """A hub with 150 neighbours, a second hub with some of them, chains and a loop; every end is searched."""
+    draw = random.Random(7)
+    links = [(f"s{i}", "hub") if i % 2 else ("hub", f"s{i}") for i in range(150)] + [(f"s{i}", "second") for i in range(0, 150, 5)]
+    links += [(f"s{draw.randrange(150)}", f"s{draw.randrange(150)}") for _ in range(60)] + [("hub", "second"), ("loop", "loop"), ("a", "b"), ("b", "c"), ("c", "d"), ("a", "b"), ("b", "a")]
+    rows = [(20 * i, s, t, ("T", "U", None)[i % 3], f"f{i % 9}", "r", "main") for i, (s, t) in enumerate(links)]
+    edges = spark.createDataFrame([*rows, *rows[:5], (7, None, "a", "T", "f", "r", "main"), (20, "", "a", "T", "f", "r", "main")][5:], "id bigint, source string, target string, edge_type string, file string, repo string, branch string")
+    nodes = spark.createDataFrame([(f"s{i}", ("service", None)[i % 2], (None, "g", "")[i % 3], "r", i) for i in range(100)] + [("s1", "old", "o", "r", -1)], "id string, node_type string, file string, repo string, indexed_at int")
+    for name, df in (("edges", edges), ("nodes", nodes)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return G.linked(spark.read.parquet(f"{folder}/edges.parquet")), spark.read.parquet(f"{folder}/nodes.parquet")
+
+
+def most_written(monkeypatch, run):
+    most, write = [], G.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        most.append(out.count())
+        return out
+
+    with monkeypatch.context() as patch:
+        patch.setattr(G, "materialize", watched)
+        return run(), max(most)
+
+
+def test_walked_edges_of_many_write_no_pairs_through_hubs(spark, tmp_path, monkeypatch):
+    edges, _ = hub_tables(spark, tmp_path)
+    got, most = most_written(monkeypatch, lambda: [tuple(r) for r in E.queries()["walked_edge_searches"](spark, str(tmp_path)).collect()])
+    ends = edges.select(G.F.explode(G.F.array("source", "target")).alias("seed")).distinct()
+    want = {tuple(r) for r in G.traversed_edges(edges, G.traverse(edges, ends, 2), 2).select("seed", "source", "target", "edge_type").collect()}
+    assert set(got) == want and len(got) == len(want) and most < len(got) / 10
+    few = ends.where("seed IN ('a', 's5', 'loop')").unionByName(spark.createDataFrame([("nowhere",), (None,), ("a",)], "seed string"))
+    small = [tuple(r) for r in G.walked_by_each(edges, few, block_rows=20, list_rows=7, task_rows=100).collect()]
+    assert set(small) == {w for w in want if w[0] in ("a", "s5", "loop")} and len(small) == len(set(small))
+    assert G.walked_by_each(edges.limit(0), few).count() == 0 and G.walked_by_each(edges, few.limit(0)).count() == 0
