@@ -217,3 +217,16 @@ def test_walked_edges_of_many_write_no_pairs_through_hubs(spark, tmp_path, monke
     small = [tuple(r) for r in G.walked_by_each(edges, few, block_rows=20, list_rows=7, task_rows=100).collect()]
     assert set(small) == {w for w in want if w[0] in ("a", "s5", "loop")} and len(small) == len(set(small))
     assert G.walked_by_each(edges.limit(0), few).count() == 0 and G.walked_by_each(edges, few.limit(0)).count() == 0
+
+
+def test_neighbourhoods_of_many_write_no_pairs_through_hubs(spark, tmp_path, monkeypatch):
+    edges, nodes = hub_tables(spark, tmp_path)
+    columns = ["seed", "node", "hops", "node_type", "file", "repo"]
+    got, most = most_written(monkeypatch, lambda: [tuple(r) for r in E.queries()["neighbourhood_searches"](spark, str(tmp_path)).select(columns).collect()])
+    ends = edges.select(G.F.explode(G.F.array("source", "target")).alias("seed")).distinct()
+    want = {tuple(r) for r in G.described(G.traverse(edges, ends, 2), nodes).select(columns).collect()}
+    assert set(got) == want and len(got) == len(want) and most < len(got) / 10
+    few = ends.where("seed IN ('a', 's5', 'loop')").unionByName(spark.createDataFrame([("nowhere",), (None,), ("a",)], "seed string"))
+    small = [tuple(r) for r in G.neighbourhoods(edges, few, nodes, block_rows=20, list_rows=7, task_rows=100).select(columns).collect()]
+    assert set(small) == {w for w in want if w[0] in ("a", "s5", "loop")} | {("nowhere", "nowhere", 0, "unknown", "", "")} and len(small) == len(set(small))
+    assert G.neighbourhoods(edges.limit(0), few, nodes).count() == 4 and G.neighbourhoods(edges, few.limit(0), nodes).count() == 0
