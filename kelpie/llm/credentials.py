@@ -3,20 +3,23 @@
 Method: every string of a text is measured first; it is unnatural where the subwords of a
 public tokenizer cover few characters each. Context rules then go over every line and decide
 what an unnatural string, or a plain one in a place made for a password, means; what is left
-is blanked character by character, so that all offsets stay.
+is blanked character by character, so that all offsets stay. A line in ASCII without an
+unnatural string and without any word that some rule requires is passed over: none matches it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.tokenizers import FOLDER, chars_per_token
+from kelpie.llm.tokenizers import FOLDER, chars_per_token, chars_per_tokens
 from kelpie.session import spread
 
 #: Characters for each subword below which a string is unnatural.
@@ -63,8 +66,9 @@ _NAMED = re.compile(r"""["']?\bname["']?\s*[:=]\s*["']?(?P<name>[\w.\-]+)["']?""
 _VALUE = re.compile(r"""["']?\b(?:value|default)["']?\s*[:=]\s*(?P<val>"(?:[^"\\\n]|\\.)*"|'[^'\n]*'|[^\s,}"'#][^\s,}#]*)""")
 _VARIABLE = re.compile(r"""^\s*variable\s+["'](?P<name>[\w\-]+)["']""")
 _BLOCK = re.compile(r"""^(?P<pad>\s*)(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["']?\s*[:=]\s*(?:[|>][+\-]?\d*|<<[-~]?["']?\w+["']?)\s*$""")
-#: A string as the first step measures it, and the key of an assignment or list right before one.
+#: A string as the first step measures it, what of those looks made at random (letters of both cases and digits, not hexadecimal), and the key of an assignment or list right before one.
 _STRING = re.compile(r"[A-Za-z0-9_+/.~\-]{12,}={0,2}")
+_RANDOM = re.compile(r"(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])(?![0-9a-fA-F\-]+\Z)")
 _KEYED = re.compile(r"""(?<![\w.\-])(?P<key>[A-Za-z_][\w.\-]*+)["']?\s*+(?::=|=>|=|:)\s*+(?P<list>[\[{(]\s*+)?""")
 _ENDED = re.compile(r"[\"'\s,;\])}]|$")
 _ITEM = re.compile(r"^\s*(?:-\s+)?(?P<quote>[\"']?)$")
@@ -107,11 +111,22 @@ def _plain(value: str) -> bool:
 
 #: Rules of one line, and words of which each match in ASCII has one, in lower case; a search for them is cheaper than the rule.
 _RULES = (
-    (_URL, ("://",)), (_SCHEME, ("bearer", "basic")), (_USER, ("-u",)), (_OPTION, ("--",)), (_SHORT_P, ("-p",)), (_SPACED_P, ("-p",)), (_STDIN, ("--password-stdin",)), (_PAIR, ("auth", "credential")),
+    (_URL, ("://",)), (_SCHEME, ("bearer", "basic")), (_USER, ("-u",)), (_OPTION, ("--pass", "--token", "--secret", "--api-key", "--apikey", "--pin", "--auth-token")), (_SHORT_P, ("mysql", "mariadb")), (_SPACED_P, ("sshpass", "login")), (_STDIN, ("--password-stdin",)), (_PAIR, ("auth", "credential")),
     (_CALL, ("pass", "pwd", "secret", "token", "apikey", "pin")), (_PGPASS, (":*:", *(f"{d}:" for d in "0123456789"))), (_FIELD, ("pwd", "pass", "key=", "sig=", "signature=", "_authtoken", "secret")),
 )
 _LOOSE_RULES = ((_PROSE, ("pass", "pwd", "pw", "pin", "token", "api key", "secret", "kennwort", "senha")), (_LOGIN, ("login", "credential", "account", "user")), (_NETRC, ("passw",)))
 _ISSUERS = ("sk_live_", "rk_live_", "gh", "glpat-", "xox", "npm_", "hvs.", "akia", "asia", "aiza", "eyj")
+#: Parts of names, one of which each name in ASCII that holds a credential has.
+_STEMS = ("pass", "pw", "pin", "secret", "token", "credential", "auth", "key", "senha")
+
+
+def _shortest(words: set[str]) -> tuple[str, ...]:
+    """The words without those that hold another one."""
+    return tuple(sorted(w for w in words if not any(v in w for v in words - {w})))
+
+
+#: What no rule can do without: a line in ASCII with none of these, in lower case, and no unnatural string shows no credential, and later lines look up in it what they need.
+_WORDS = _shortest({w for _, words in (*_RULES, *_LOOSE_RULES) for w in words} | {*_ISSUERS, *_STEMS, "value", "default", "variable"})
 
 
 class Finder:
@@ -123,7 +138,7 @@ class Finder:
     def measure(self, texts: list[str]) -> None:
         """Characters per subword of every distinct string of the texts, at once; what earlier texts had is forgotten."""
         strings = {s for t in texts for s in _STRING.findall(t)}
-        self.ratios, self.lines = {s: chars_per_token(s, self.folder) for s in strings}, {}
+        self.ratios, self.lines = chars_per_tokens(strings, self.folder), {}
 
     def ratio(self, string: str) -> float:
         if (known := self.ratios.get(string)) is None:
@@ -131,9 +146,9 @@ class Finder:
         return known
 
     def odd(self, line: str) -> list[re.Match]:
-        """The unnatural strings of a line that look made at random: letters of both cases and digits, few characters for each subword."""
-        found = [m for m in _STRING.finditer(line) if self.ratio(m[0]) < 2.4]
-        return [m for m in found if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0]) and not re.fullmatch(r"[0-9a-fA-F\-]+", m[0])]
+        """The unnatural strings of a line or text that look made at random: letters of both cases and digits, few characters for each subword."""
+        known = self.ratios.get
+        return [m for m in _STRING.finditer(line) if (known(m[0]) or self.ratio(m[0])) < 2.4 and _RANDOM.match(m[0])]
 
     def named(self, m: re.Match, line: str, key: str) -> bool:
         """Whether an unnatural string that is all of a value is a credential under this name."""
@@ -244,35 +259,72 @@ class Finder:
         if path and not keys and (_KEY_FILE.search(path) or _CERT_FILE.search(path)) and self._key_piece(text):
             return [(1, 0, len(text))] if _KEY_FILE.search(path) else []
         found += keys
-        stop, named, variable, opened, done = -1, None, None, "", -1
-        for no, line in enumerate(text.split("\n"), 1):
-            start, stop = stop + 1, stop + 1 + len(line)
-            if start < done or any(a <= start < b for a, b in skip):
+        lines = text.split("\n")
+        starts = list(accumulate((len(x) + 1 for x in lines[:-1]), initial=0))
+        odd = {bisect_right(starts, m.start()) - 1 for m in self.odd(text)}
+        skipped = bytearray(len(lines))
+        for a, b in skip:
+            self._mark(skipped, starts, a, b)
+        variable, opened, seen = None, "", 0
+        for i in sorted(odd | self._worded(text, lines, starts)):
+            if skipped[i]:
                 continue
+            line, start, no = lines[i], starts[i], i + 1
+            stop = start + len(line)
             if "variable" in line and (m := _VARIABLE.match(line)):
                 variable = (m["name"], start) if _holds_secret(m["name"]) else None
             spans = list(self.in_line(line, code))
             if ("value" in line or "default" in line) and (v := _VALUE.search(line)):
                 value = _literal(v["val"])
-                n = _NAMED.search(line)
+                n = _NAMED.search(line) or next((n for k in (i - 1, i - 2) if k >= 0 and not skipped[k] and "name" in lines[k] and (n := _NAMED.search(lines[k]))), None)
                 inside = variable and text.find("\n}", variable[1], start) < 0 and variable[0]
-                owner = (n and n["name"]) or (named and no - named[1] <= 2 and named[0]) or inside
+                owner = (n and n["name"]) or inside
                 comment = re.search(r"(?:#|//).*\b(?:token|password|secret|api key|passphrase)\b", line[v.end() :])
                 if _plain(value) and (owner and _holds_secret(owner) or comment and self.unnatural(value)):
                     spans.append(self._inner(v, v["val"]))
-            if "name" in line and (n := _NAMED.search(line)):
-                named = (n["name"], no)
-            if opened and not spans:  # an item of a list under a telling name
-                spans += [m.span() for m in self.odd(line)[:1] if _ITEM.match(line[: m.start()]) and self.named(m, line, opened)]
-            o = _OPENED.match(line) if line.rstrip()[-1:] in tuple(":=[{(") else None
-            if o or opened and not re.match(r"\s*(?:-\s|[\"'\])}]|$)", line):
-                opened = o["key"] if o and _TELLING & set(_words(o["key"])) else ""
+            if i in odd and not spans:  # perhaps an item of a list under a telling name
+                opened, seen = self._opened(lines, skipped, opened, seen, i), i
+                if opened:
+                    spans += [m.span() for m in self.odd(line)[:1] if _ITEM.match(line[: m.start()]) and self.named(m, line, opened)]
             found += [(no, start + s, start + e) for s, e in spans]
             b = _BLOCK.match(line) if "|" in line or ">" in line or "<<" in line else None
             if b and _holds_secret(b["key"]) and stop < len(text):
-                done = self._block(text, stop + 1, no + 1, len(b["pad"]), found)
+                self._mark(skipped, starts, stop + 1, self._block(text, stop + 1, no + 1, len(b["pad"]), found))
         return sorted(set(found))
 
+    @staticmethod
+    def _worded(text: str, lines: list[str], starts: list[int]) -> set[int]:
+        """Lines, from 0, that hold a word some rule requires, and all that are not in ASCII."""
+        low, found = text.lower(), set()
+        if len(low) != len(text):
+            return set(range(len(lines)))  # offsets differ in lower case
+        if not text.isascii():
+            found = {i for i, x in enumerate(lines) if not x.isascii()}
+        for w in _WORDS:
+            at = low.find(w)
+            while at >= 0:
+                i = bisect_right(starts, at)
+                found.add(i - 1)
+                at = low.find(w, starts[i]) if i < len(starts) else -1
+        return found
+
+    @staticmethod
+    def _mark(skipped: bytearray, starts: list[int], a: int, b: int) -> None:
+        """Lines that begin from a on and before b are not looked at any more."""
+        first, last = bisect_left(starts, a), bisect_left(starts, b)
+        skipped[first:last] = b"\1" * (last - first)
+
+    @staticmethod
+    def _opened(lines: list[str], skipped: bytearray, opened: str, seen: int, at: int) -> str:
+        """The telling name whose list is open before a line, from what was open before an earlier one."""
+        for i in range(seen, at):
+            if not skipped[i]:
+                line = lines[i]
+                o = _OPENED.match(line) if line.rstrip()[-1:] in tuple(":=[{(") else None
+                if o or opened and not re.match(r"\s*(?:-\s|[\"'\])}]|$)", line):
+                    opened = o["key"] if o and _TELLING & set(_words(o["key"])) else ""
+        return opened
+
     @staticmethod
     def _private_keys(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
         """Private keys with a line each, and the stretches they take up.

@@ -12,7 +12,7 @@ from kelpie.llm import lookalikes as L
 from kelpie.llm import mixing as M
 from kelpie.llm import nearduplicates as N
 from kelpie.llm import splitting as S
-from kelpie.llm.tokenizers import byte_bpe
+from kelpie.llm.tokenizers import byte_bpe, chars_per_token, chars_per_tokens
 
 TEXTS = ["", None, "Hello world", "  spaces\n\n\tand tabs  ", "it's we'll 12345 naïve 検証済み 設定値 🚀👩‍🔧", "<|endoftext|> x", "a" * 5000, "é   x　y", "!!!???...'s 's don't", "\r\n x\r\n"]
 
@@ -88,6 +88,30 @@ def test_every_line_is_looked_at_alone_and_rules_skip_nothing(monkeypatch):
     assert {x: plain.in_line(x, False) for x in lines} == got
 
 
+def test_rules_go_over_no_line_that_none_can_match(monkeypatch):
+    seen, real = [], C.Finder._in_line
+    monkeypatch.setattr(C.Finder, "_in_line", lambda self, line, code: seen.append(line) or real(self, line, code))
+    plain = [f"  zone_{i}_replicas: {i} # of the first row, build-of-the-day-{i}" for i in range(300)]
+    assert C.Finder().find("\n".join([*plain, "password: lghuT5CE8GFbbESjfT", *plain]), "a.yaml") and seen == ["password: lghuT5CE8GFbbESjfT"]
+
+
+def test_lines_passed_over_change_nothing(monkeypatch):
+    assert [w for w in C._SECRET_WORDS if w.isascii() and not any(x in w for x in C._STEMS)] == []
+    rng, one = random.Random(3), "q8ZrT1mVb7LwYc39fK2xP"
+    lines = [x for t, _ in HOLDS + HOLDS_NONE if t for x in t.split("\n")]
+    lines += ["", "x: 1", "  indented: 2", "\r", "plain words", "keys:", "tokens = [", f"  - {one}", f'  "{one}",', "]", "password: |", "secret = <<EOF", "name: DB_PASSWORD", "value: Xy7kQ2zR9vT4", "}", "\u0130 password: Abc9-Def8", f"{one} \u212aey"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30))) for _ in range(1500)]
+    got = [C.Finder().find(t, "a.yaml") for t in texts]
+    monkeypatch.setattr(C.Finder, "_worded", staticmethod(lambda text, lines, starts: set(range(len(lines)))))
+    assert [C.Finder().find(t, "a.yaml") for t in texts] == got and sum(map(len, got)) > 3000
+
+
+def test_strings_measured_together_have_the_ratios_they_have_alone():
+    rng = random.Random(4)
+    strings = {"".join(rng.choice(string.ascii_letters + string.digits + "_+/.~-=") for _ in range(rng.randrange(1, 40))) for _ in range(9000)} | {"a" * 256, "Ab1-" * 65, "", "~" * 40, "sk_live_"}
+    assert chars_per_tokens(strings) == {x: chars_per_token(x) for x in strings} and chars_per_tokens([]) == {}
+
+
 def test_a_piece_of_a_key_without_markers_is_told_by_its_file(spark):
     rng = random.Random(5)
     piece = "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(12))
