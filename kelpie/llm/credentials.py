@@ -115,7 +115,7 @@ _RULES = (
     (_CALL, ("pass", "pwd", "secret", "token", "apikey", "pin")), (_PGPASS, (":*:", *(f"{d}:" for d in "0123456789"))), (_FIELD, ("pwd", "pass", "key=", "sig=", "signature=", "_authtoken", "secret")),
 )
 _LOOSE_RULES = ((_PROSE, ("pass", "pwd", "pw", "pin", "token", "api key", "secret", "kennwort", "senha")), (_LOGIN, ("login", "credential", "account", "user")), (_NETRC, ("passw",)))
-_ISSUERS = ("sk_live_", "rk_live_", "gh", "glpat-", "xox", "npm_", "hvs.", "akia", "asia", "aiza", "eyj")
+_ISSUERS = ("sk_live_", "rk_live_", "gh", "github_pat_", "glpat-", "xox", "npm_", "hvs.", "akia", "asia", "aiza", "eyj")
 #: Parts of names, one of which each name in ASCII that holds a credential has.
 _STEMS = ("pass", "pw", "pin", "secret", "token", "credential", "auth", "key", "senha")
 

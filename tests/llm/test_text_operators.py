@@ -106,6 +106,13 @@ def test_lines_passed_over_change_nothing(monkeypatch):
     assert [C.Finder().find(t, "a.yaml") for t in texts] == got and sum(map(len, got)) > 3000
 
 
+def test_every_issued_prefix_gets_its_lines():
+    tail = "".join(c for c in string.ascii_uppercase + string.digits if c != "I")[:35]
+    tokens = [f"{p}{tail}" for p in ("sk_live_", "rk_live_", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "npm_", "hvs.", "AIza")]
+    tokens += [f"{p}{tail[:16]}" for p in ("AKIA", "ASIA")] + [f"eyJ{tail}.{tail}.{tail}"]
+    assert [x for x in tokens if C.Finder().find(f"see {x} there", "n.md") != [(1, 4, 4 + len(x))]] == []
+
+
 def test_strings_measured_together_have_the_ratios_they_have_alone():
     rng = random.Random(4)
     strings = {"".join(rng.choice(string.ascii_letters + string.digits + "_+/.~-=") for _ in range(rng.randrange(1, 40))) for _ in range(9000)} | {"a" * 256, "Ab1-" * 65, "", "~" * 40, "sk_live_"}
