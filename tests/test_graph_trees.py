@@ -2,6 +2,8 @@ import random
 
 import json
 
+import duckdb
+
 import __spark_entry__ as E
 from kelpie.operators import components as CC
 from kelpie.operators import graph as G
@@ -181,6 +183,27 @@ def test_impact_of_many_lists_no_pairs_through_hubs(spark, monkeypatch):
     assert max(most) < 10 * len(spokes)
 
 
+def test_impact_of_files_at_a_hub_lists_no_pairs_within_one_link(spark, tmp_path, monkeypatch):
+    links = [(20 * i, *((f"svc-service-{i}", "hub") if i % 2 else ("hub", f"env:prod-{i}")), "T", f"f{i}", "r", "main") for i in range(120)]
+    links += [(i, f"svc-service-{i}", f"far{i % 7}", "U", ("f1", "", None, "g")[i % 4], "r", "main") for i in range(1, 120, 2)] + [(2400, "loop", "loop", "T", "f1", "r", "main")]
+    edges = spark.createDataFrame(links, "id bigint, source string, target string, edge_type string, file string, repo string, branch string")
+    nodes = [(f"far{i}", ("unknown", None, "service")[i % 3], ("", "f1", None)[i % 3], "r", i) for i in range(7)] + [(f"svc-service-{i}", "entity", f"n{i % 9}", "r", 1) for i in range(1, 100, 2)]
+    nodes += [("hub", "environment", "f3", "r", 1), ("hub", "env", "f4", "r", 2), ("alone", "service", "f5", "r", 1), (None, "service", "f6", "r", 1)]
+    nodes = spark.createDataFrame(nodes, "id string, node_type string, file string, repo string, indexed_at int")
+    for name, df in (("edges", edges), ("nodes", nodes)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("edges", "nodes"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["seed", "entities", "services", "environments", "prod", "files", "risk_level", "summary"]
+    want = set(con.execute(f"SELECT {', '.join(columns)} FROM ({E.oracle_sql()['impact_searches']})").fetchall())
+    got, most = most_written(monkeypatch, lambda: [tuple(r) for r in E.queries()["impact_searches"](spark, str(tmp_path)).select(columns).collect()])
+    assert set(got) == want and len(got) == len(want) and most < 120 * 120 / 8
+    whole = G.impact_of_many
+    monkeypatch.setattr(G, "impact_of_many", lambda *tables: whole(*tables, block_rows=20, part_rows=300))
+    assert sorted(tuple(r) for r in E.queries()["impact_searches"](spark, str(tmp_path)).select(columns).collect()) == sorted(got)
+
+
 def hub_tables(spark, folder):
     """A hub with 150 neighbours, a second hub with some of them, chains and a loop; every end is searched."""
     draw = random.Random(7)
